@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Aggregates per job: beyond this, generated code for one agg() grows past what the JIT compiles well.
 AGG_BATCH = 120
@@ -54,7 +57,8 @@ def agg_row(df: DataFrame, exprs: dict, batch: int = AGG_BATCH) -> dict:
 
 def local_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A table of metadata (per column, per pair), bounded by schema width rather than by row count."""
-    return spark.createDataFrame(rows, schema)
+    struct = T.StructType.fromDDL(schema)
+    fields = to_arrow_schema(struct)
+    arrays = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=fields), struct)
 
-
-__all__ = ["Column", "agg_row", "local_table", "materialize", "scratch_path", "shared_folder"]
