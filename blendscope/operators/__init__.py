@@ -1,0 +1,3 @@
+from . import clean, compat, fuse, ml, profile, quality, recommend, report, rowindex, schema, types
+
+__all__ = ["clean", "compat", "fuse", "ml", "profile", "quality", "recommend", "report", "rowindex", "schema", "types"]

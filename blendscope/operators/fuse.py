@@ -156,12 +156,11 @@ def fuse_many(tables: dict, mode: str = "per_dataset", append_rows: bool = False
 def finish_many(merged: DataFrame, names: list) -> tuple:
     """Drop empty columns, fill numbers by median and the rest by ``Unknown``, describe the outcome."""
     filled = impute(drop_empty_columns(merged), "median", "unknown")
-    spark = filled.sparkSession
     meta = filled.agg(F.count("*").alias("total_rows")).select(
         F.array(*[F.lit(n) for n in names]).alias("original_datasets"), "total_rows",
         F.lit(len(filled.columns)).alias("total_columns"),
         F.array(*[F.lit(c) for c in filled.columns]).alias("columns"),
-        F.lit(spark.range(1).select(F.current_timestamp()).first()[0]).alias("fused_at"),
+        F.current_timestamp().alias("fused_at"),
     )
     return filled, meta
 

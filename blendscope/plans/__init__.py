@@ -1,0 +1,5 @@
+from .flows import (analyze_table, fuse_tables, metadata, profile_row, profile_table, recommend_all, recommend_pair,
+                    study_fusion)
+
+__all__ = ["analyze_table", "fuse_tables", "metadata", "profile_row", "profile_table", "recommend_all",
+           "recommend_pair", "study_fusion"]

@@ -1,0 +1,3 @@
+from . import catalog, io
+
+__all__ = ["catalog", "io"]
