@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def clean_name(raw: str) -> str:
@@ -35,7 +36,7 @@ def name_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def best_ratios(names_a: pd.Series, names_b: pd.Series) -> pd.Series:
     """Per row: for each name of the first array the best ratio against the second array."""
     return pd.Series([

@@ -31,19 +31,13 @@ def profile_table(df: DataFrame, name: str = "dataset", target: str = None, orde
     files give the size.
     """
     df = io.normalize(df)
-    columns = profile.column_profile(df, approx_distinct)
-    counts = profile.duplicate_rows(df).first()
-    parts = quality.components_of(columns, counts["duplicate_rows"])
-    scored = parts.withColumn("quality_score", quality.weighted(weights)).first()
-    nulls = columns.agg(F.sum("null_count")).first()[0]
-    size = io.source_size(source).first() if source is not None else (None, None)
-    row = (name, counts["n_rows"], len(df.columns), nulls, counts["duplicate_rows"], df.columns, size[0], size[1],
-           *scored)
+    row, columns = _profile(df, name, weights, approx_distinct, source)
+    scored = row.first()
     out = {
-        "profile": local_table(df.sparkSession, [row], PROFILE),
+        "profile": row,
         "columns": columns.select(F.lit(name).alias("dataset"), "*"),
         "components": local_table(df.sparkSession, [
-            (name, k, scored[k], (weights or quality.QUALITY_WEIGHTS)[k]) for k in quality.QUALITY_WEIGHTS
+            (name, k, scored[k], w) for k, w in (weights or quality.QUALITY_WEIGHTS).items()
         ], "dataset string, component string, score double, weight double"),
         "correlation": profile.correlation(df),
     }
@@ -54,16 +48,22 @@ def profile_table(df: DataFrame, name: str = "dataset", target: str = None, orde
     return out
 
 
-def profile_row(df: DataFrame, name: str) -> DataFrame:
-    """Only the one-row profile, which is what comparisons need."""
-    df = io.normalize(df)
-    columns = profile.column_profile(df)
+def _profile(df: DataFrame, name: str, weights=None, approx_distinct=False, source=None) -> tuple:
+    """(one-row profile, column profile)."""
+    columns = profile.column_profile(df, approx_distinct)
     counts = profile.duplicate_rows(df).first()
     scored = quality.components_of(columns, counts["duplicate_rows"]).withColumn(
-        "quality_score", quality.weighted()).first()
+        "quality_score", quality.weighted(weights)).first()
     nulls = columns.agg(F.sum("null_count")).first()[0]
-    row = (name, counts["n_rows"], len(df.columns), nulls, counts["duplicate_rows"], df.columns, None, None, *scored)
-    return local_table(df.sparkSession, [row], PROFILE)
+    size = io.source_size(source).first() if source is not None else (None, None)
+    row = (name, counts["n_rows"], len(df.columns), nulls, counts["duplicate_rows"], df.columns, size[0], size[1],
+           *scored)
+    return local_table(df.sparkSession, [row], PROFILE), columns
+
+
+def profile_row(df: DataFrame, name: str) -> DataFrame:
+    """Only the one-row profile, which is what comparisons need."""
+    return _profile(io.normalize(df), name)[0]
 
 
 def metadata(df: DataFrame, name: str = "dataset", source: DataFrame = None) -> DataFrame:

@@ -30,7 +30,7 @@ def read_csv(spark: SparkSession, path, schema=None, na_tokens=None) -> DataFram
         F.when(~F.trim(col(c)).isin(tokens), col(c)).alias(c) for c in raw.columns
     ])
     if schema is not None:
-        want = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        want = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         return text.select(*[F.trim(col(f.name)).cast(f.dataType).alias(f.name)
                              if not is_string(f.dataType) else col(f.name) for f in want.fields])
     return infer_types(text)
