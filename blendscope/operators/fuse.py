@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import INTEGRAL, col, dtype_of, is_numeric, is_string
-from ..session import agg_row, local_table
+from ..session import agg_row, local_table, materialize
 from ..sources.io import normalize
 from .clean import drop_empty_columns, impute
 from .profile import duplicate_rows
@@ -70,6 +70,8 @@ def join(a: DataFrame, b: DataFrame, key, how: str = "inner", distinct: bool = T
     inner_key = {k: f"_key{i}" for i, k in enumerate(keys)}
     b = b.select(*[col(c).alias(inner_key.get(c, c)) for c in b.columns])
     new = [c for c in b.columns if c not in inner_key.values()]
+    keys_a = a.select(*[col(k) for k in keys]).distinct()
+    keys_b = b.select(*inner_key.values()).distinct()
     if distinct:
         a, b = a.distinct(), b.distinct()
     match = reduce(lambda x, y: x & y, [col(k).eqNullSafe(F.col(r)) for k, r in inner_key.items()])
@@ -80,10 +82,10 @@ def join(a: DataFrame, b: DataFrame, key, how: str = "inner", distinct: bool = T
 
     out = a.join(b, match, "inner").select(*[col(c) for c in columns])
     if how in ("left", "outer"):
-        lone = a.join(b.select(*inner_key.values()).distinct(), match, "left_anti")
+        lone = a.join(keys_b, match, "left_anti")
         out = out.unionByName(lone.select(*[col(c) for c in a.columns], *[null(b, c) for c in new]))
     if how in ("right", "outer"):
-        lone = b.join(a.select(*[col(k) for k in keys]).distinct(), match, "left_anti")
+        lone = b.join(keys_a, match, "left_anti")
         out = out.unionByName(lone.select(*[
             F.col(inner_key[c]).alias(c) if c in inner_key else null(a, c) for c in a.columns
         ], *[col(c) for c in new]))
@@ -132,7 +134,7 @@ def merge_many(tables: dict, mode: str = "per_dataset", append_rows: bool = Fals
     if not common:
         return union_all_named(tables)
     tables = _numbers_where_clean(tables, common)
-    out = tables[names[0]]
+    out, joined = tables[names[0]], False
     for name in names[1:]:
         df = tables[name]
         new = [c for c in df.columns if c not in out.columns]
@@ -143,13 +145,14 @@ def merge_many(tables: dict, mode: str = "per_dataset", append_rows: bool = Fals
             continue
         for group in ([new] if mode == "per_dataset" else [[c] for c in new]):
             side = df.select(*[col(c) for c in (*common, *group)])
-            out = join(out, side, common, "outer", distinct=False)
+            out = join(materialize(out, "merge-step") if joined else out, side, common, "outer", distinct=False)
+            joined = True
     return drop_duplicate_names(out)
 
 
 def fuse_many(tables: dict, mode: str = "per_dataset", append_rows: bool = False) -> tuple:
     """N-way fusion with empty columns dropped and gaps filled: (table, one row of metadata)."""
-    merged = merge_many(tables, mode, append_rows)
+    merged = materialize(merge_many(tables, mode, append_rows), "merged")
     return finish_many(merged, list(tables))
 
 

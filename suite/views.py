@@ -82,7 +82,9 @@ def with_views(names, body: str) -> str:
     """``body`` with the named views in front of it, for DuckDB."""
     names = [names] if isinstance(names, str) else names
     ctes = [f"{n} as (select {', '.join(VIEWS[n][1])} from {VIEWS[n][0]})" for n in names]
-    return f"with {', '.join(ctes)} {body}"
+    body = body.strip()
+    body = f", {body[4:]}" if body.startswith("with") else f" {body}"
+    return f"with {', '.join(ctes)}{body}"
 
 
 def union_all(parts) -> str:
