@@ -96,12 +96,12 @@ RULED = f"""select *, case when apart and q_a >= q_b then 'USE_A' when apart the
       from ({estimated(f"select *, {STRATEGY} as strategy from pairs")}))))"""
 
 
-@register("e1_estimated_quality", f"""with {PAIRS_SQL} select dataset_a, dataset_b, strategy, round(est, 4) as
+@register("e1_estimated_quality", f"""with {PAIRS_SQL} select dataset_a, dataset_b, strategy, round(est, 6) as
     estimated_quality from ({estimated(f'''select * from pairs, (values
       {', '.join(f"('{s}')" for s in recommend.STRATEGIES)}) t(strategy)''')})""")
 def e1(spark, sf):
     return rounded(recommend.estimate_all(pairs(spark, sf)).select(
-        "dataset_a", "dataset_b", "strategy", "estimated_quality"))
+        "dataset_a", "dataset_b", "strategy", "estimated_quality"), 6)
 
 
 @register("e2_strategy", f"with {PAIRS_SQL} select dataset_a, dataset_b, {STRATEGY} as strategy from pairs")
@@ -109,12 +109,12 @@ def e2(spark, sf):
     return pairs(spark, sf).select("dataset_a", "dataset_b", recommend.strategy().alias("strategy"))
 
 
-@register("e3_fusion_gain", f"""with {PAIRS_SQL} select dataset_a, dataset_b, round(est, 4) as estimated_fused_quality,
-    round(est - greatest(q_a, q_b), 4) + 0.0e0 as fusion_gain_score
+@register("e3_fusion_gain", f"""with {PAIRS_SQL} select dataset_a, dataset_b, round(est, 6) as estimated_fused_quality,
+    round(est - greatest(q_a, q_b), 6) + 0.0e0 as fusion_gain_score
     from ({estimated(f"select *, {STRATEGY} as strategy from pairs")})""")
 def e3(spark, sf):
     found = recommend.with_gain(pairs(spark, sf).withColumn("suggested_strategy", recommend.strategy()), digits=None)
-    return rounded(found.select("dataset_a", "dataset_b", "estimated_fused_quality", "fusion_gain_score"))
+    return rounded(found.select("dataset_a", "dataset_b", "estimated_fused_quality", "fusion_gain_score"), 6)
 
 
 @register("e4_recommendation", f"""with {PAIRS_SQL} select dataset_a, dataset_b, recommendation, strategy as
@@ -256,8 +256,8 @@ NATION_PAIRS = "a join n b on a.dataset < b.dataset"
 @register("j10_pair_features", f"""with n as (select *, list_slice(['a', 'b', 'c', 'd', 'e', 'f', 'g'], n_cols - 2,
     n_cols) as columns from ({NATIONS})) select a.dataset as dataset_a, b.dataset as dataset_b, a.n_rows as num_rows_a,
     b.n_rows as num_rows_b, round(a.quality_score, 2) as q_a, round(b.quality_score, 2) as q_b,
-    a.null_cells as null_cells_a, len(list_filter(a.columns, x -> not list_contains(b.columns, x))) as only_a,
-    len(list_filter(b.columns, x -> not list_contains(a.columns, x))) as only_b,
+    a.null_cells as null_cells_a, len(a.columns) - len(list_intersect(a.columns, b.columns)) as only_a,
+    len(b.columns) - len(list_intersect(a.columns, b.columns)) as only_b,
     len(list_distinct(list_concat(a.columns, b.columns))) as all_columns, 1.0e0 as has_primary_key,
     abs(a.n_rows - b.n_rows) * 1.0e0 as row_overlap from n {NATION_PAIRS}""")
 def j10(spark, sf):
