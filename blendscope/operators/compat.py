@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import INTEGRAL, as_double, col, dtype_of, is_numeric, numeric_names
 from ..functions.names import best_ratios, clean_name, name_ratio
-from ..session import agg_row, local_table
+from ..session import agg_row, local_table, together
 from ..sources.io import normalize
 from .profile import correlation_dict, distinct_counts
 from .rowindex import indexed
@@ -140,8 +140,8 @@ def correlation_similarity(a: DataFrame, b: DataFrame) -> float:
     shared = [c for c in common_columns(a, b) if is_numeric(dtype_of(a, c)) and is_numeric(dtype_of(b, c))]
     if len(shared) < 2:
         return 100.0
-    ra = correlation_dict(normalize(a.select(*[col(c) for c in shared])), shared)
-    rb = correlation_dict(normalize(b.select(*[col(c) for c in shared])), shared)
+    ra, rb = together(a.sparkSession, *[
+        lambda df=df: correlation_dict(normalize(df.select(*[col(c) for c in shared])), shared) for df in (a, b)])
     total = sum(abs(ra[p] - rb[p]) * (1 if p[0] == p[1] else 2) for p in ra)
     return max(0.0, 100.0 * (1.0 - total / len(shared) ** 2 / 2.0))
 
@@ -165,8 +165,8 @@ def missing_overlap(a: DataFrame, b: DataFrame, order_a=None, order_b=None, pari
     if watched:
         if not (order_a and order_b):
             raise ValueError("pairing rows by position needs order_a and order_b")
-        left, n_a = _null_flags(a, watched, order_a, "l")
-        right, _ = _null_flags(b, watched, order_b, "r")
+        (left, n_a), (right, _) = together(
+            a.sparkSession, lambda: _null_flags(a, watched, order_a, "l"), lambda: _null_flags(b, watched, order_b, "r"))
         if shared:
             met = left.join(right, F.col("_l") == F.col("_r")).agg(*[
                 F.count_if(F.col(f"l{i}") & F.col(f"r{i}")).alias(c) for i, c in enumerate(watched)]).first()
@@ -258,15 +258,21 @@ def compare(a: DataFrame, b: DataFrame, name_a: str = "a", name_b: str = "b", or
         order_a, order_b = ([clean_name(k) for k in o] if o else None for o in (order_a, order_b))
     a, b = normalize(a), normalize(b)
     scores = schema_scores(a, b)
-    key = find_key(a, b)
-    overlap = row_overlap(a, b, key).first()
+
+    def keyed():
+        key = find_key(a, b)
+        return key, row_overlap(a, b, key).first()
+
+    def missing():
+        try:
+            found = [r["overlap"] for r in missing_overlap(a, b, order_a, order_b, parity).collect()]  # per column
+        except ValueError:
+            return None
+        return sum(found) / len(found) if found else 100.0
+
+    (key, overlap), scores["correlation_similarity"], scores["missing_value_overlap"] = together(
+        a.sparkSession, keyed, lambda: correlation_similarity(a, b), missing)
     scores["row_overlap"] = overlap["row_overlap"]
-    scores["correlation_similarity"] = correlation_similarity(a, b)
-    try:
-        missing = [r["overlap"] for r in missing_overlap(a, b, order_a, order_b, parity).collect()]  # per column
-        scores["missing_value_overlap"] = sum(missing) / len(missing) if missing else 100.0
-    except ValueError:
-        scores["missing_value_overlap"] = None
     total = sum(w * scores[k] for k, w in COMPATIBILITY_WEIGHTS.items())
     row = (name_a, name_b, *[scores[k] for k in (
         "schema_similarity", "column_name_similarity", "dtype_compatibility", "common_columns_ratio",
@@ -319,15 +325,17 @@ def complementarity(a: DataFrame, b: DataFrame, order_a, order_b, limit: int = N
     cols_a, cols_b = sorted(numeric_names(a))[:per_side], sorted(numeric_names(b))[:per_side]
     scores = []
     if cols_a and cols_b:
-        sides = []
-        for df, names, order, side in ((a, cols_a, order_a, "l"), (b, cols_b, order_b, "r")):
+        def placed(df, names, order, side):
             keys = [f"k{i}" for i in range(len(order))]
             slim = df.select(*[as_double(c).alias(f"{side}{i}") for i, c in enumerate(names)],
                              *[col(k).alias(x) for k, x in zip(order, keys)])
             if limit is not None:
                 slim = slim.orderBy(*keys).limit(limit)
-            sides.append(indexed(slim, keys, f"_{side}", keep=[f"{side}{i}" for i in range(len(names))])[0])
-        rows = sides[0].join(sides[1], F.col("_l") == F.col("_r"))
+            return indexed(slim, keys, f"_{side}", keep=[f"{side}{i}" for i in range(len(names))])[0]
+
+        left, right = together(a.sparkSession, lambda: placed(a, cols_a, order_a, "l"),
+                               lambda: placed(b, cols_b, order_b, "r"))
+        rows = left.join(right, F.col("_l") == F.col("_r"))
         parts = {}
         for i in range(len(cols_a)):
             for j in range(len(cols_b)):

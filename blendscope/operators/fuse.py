@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import INTEGRAL, col, dtype_of, is_numeric, is_string
-from ..session import agg_row, local_table, materialize
+from ..session import agg_row, local_table, materialize, together
 from ..sources.io import normalize
 from .clean import drop_empty_columns, impute
 from .profile import duplicate_rows
@@ -30,8 +30,8 @@ def concat(a: DataFrame, b: DataFrame, order_a, order_b) -> DataFrame:
     """Row i of A beside row i of B; the shorter side is padded with NULLs. No de-duplication."""
     b_named = suffix_clashes(a, normalize(b))
     order_b = [b_named.columns[b.columns.index(k)] for k in order_b]
-    left, _ = indexed(normalize(a), order_a, "_row")
-    right, _ = indexed(b_named, order_b, "_row_b")
+    (left, _), (right, _) = together(
+        a.sparkSession, lambda: indexed(normalize(a), order_a, "_row"), lambda: indexed(b_named, order_b, "_row_b"))
     both = left.join(right, F.col("_row") == F.col("_row_b"), "full_outer")
     return both.select(*[col(c) for c in a.columns], *[col(c) for c in b_named.columns])
 
@@ -171,12 +171,15 @@ def finish_many(merged: DataFrame, names: list) -> tuple:
 def stats(a: DataFrame, b: DataFrame, fused: DataFrame, strategy: str, key: str = None) -> DataFrame:
     """One row: sizes before and after, missing cells and their percentage, duplicates left."""
     fused = normalize(fused)
-    seen = agg_row(fused, {"*": F.count(F.lit(1)), **{(c,): F.count(col(c)) for c in fused.columns}})
+    seen, copies, rows_a, rows_b = together(
+        fused.sparkSession,
+        lambda: agg_row(fused, {"*": F.count(F.lit(1)), **{(c,): F.count(col(c)) for c in fused.columns}}),
+        lambda: duplicate_rows(fused).first()["duplicate_rows"], a.count, b.count)
     n, width = seen["*"], len(fused.columns)
     missing = sum(n - seen[c,] for c in fused.columns)
     cells = n * width
-    row = (strategy, key, a.count(), b.count(), len(a.columns), len(b.columns), n, width, missing,
-           100.0 * missing / cells if cells else 0.0, duplicate_rows(fused).first()["duplicate_rows"])
+    row = (strategy, key, rows_a, rows_b, len(a.columns), len(b.columns), n, width, missing,
+           100.0 * missing / cells if cells else 0.0, copies)
     return local_table(fused.sparkSession, [row], FUSION_STATS)
 
 

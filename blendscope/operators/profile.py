@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import INTEGRAL, as_double, col, numeric_names
 from ..functions.values import percent
-from ..session import agg_row, local_table
+from ..session import agg_row, local_table, together
 from ..sources.io import normalize
 from .rowindex import exact_quantiles, indexed
 
@@ -153,41 +153,50 @@ def outlier_rows(df: DataFrame, column: str) -> DataFrame:
 
 # ---------------------------------------------------------------- the column profile
 
-def column_profile(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
+def table_facts(df: DataFrame) -> tuple:
+    """What one scan tells about all columns: ``number_facts`` plus the row count ``*`` and every count."""
+    others = {(c, "n"): F.count(col(c)) for c in df.columns if c not in numeric_names(df)}
+    return number_facts(df, numeric_names(df), {"*": F.count(F.lit(1)), **others})
+
+
+def column_profile(df: DataFrame, approx_distinct: bool = False, facts: tuple = None) -> DataFrame:
     """One row per column: nulls, moments, quartiles, distinct values, mode, outliers.
 
-    Four scans, each reading all columns once: moments; quartiles; outliers; value counts (the only
-    one with a shuffle, none with ``approx_distinct``, which then gives no modes).
+    A scan for the moments, then side by side: scans for quartiles and outliers, and the value counts,
+    which alone shuffle. ``approx_distinct`` replaces those by a sketch and gives no modes.
     """
     df = normalize(df)
     if not df.columns:
         raise ValueError("the dataset is empty")
-    numeric = numeric_names(df)
-    others = {(c, "n"): F.count(col(c)) for c in df.columns if c not in numeric}
-    facts, means, seen = number_facts(df, numeric, {"*": F.count(F.lit(1)), **others})
+    facts, means, seen = facts or table_facts(df)
     n = seen["*"]
     require_rows(df, n)
-    bounds = iqr_bounds(df, numeric, facts)
-    spread = agg_row(df, {
-        key: value for c, b in bounds.items() for key, value in (
-            ((c, "outliers"), F.count_if(outside(c, b))), ((c, "squares"), deviation(c, means[c])))
-    }) if bounds else {}
-    if approx_distinct:
-        approx = distinct_counts(df, approx=True)
-        values = {i: (approx[c], None, None) for i, c in enumerate(df.columns)}
-    else:
-        values = {r[0]: tuple(r[1:]) for r in distinct_and_mode(df).collect()}  # one row per column
+    numeric = numeric_names(df)
+
+    def spread():
+        bounds = iqr_bounds(df, numeric, facts)
+        return bounds, agg_row(df, {
+            key: value for c, b in bounds.items() for key, value in (
+                ((c, "outliers"), F.count_if(outside(c, b))), ((c, "squares"), deviation(c, means[c])))
+        }) if bounds else {}
 
+    def values():
+        if approx_distinct:
+            approx = distinct_counts(df, approx=True)
+            return {i: (approx[c], None, None) for i, c in enumerate(df.columns)}
+        return {r[0]: tuple(r[1:]) for r in distinct_and_mode(df).collect()}  # one row per column
+
+    (bounds, wide), counted = together(df.sparkSession, spread, values)
     rows = []
     for i, c in enumerate(df.columns):
         nulls = n - seen[c, "n"]
-        unique, mode, freq = values.get(i, (0, "N/A", 0))
-        row = [i, c, "Numeric" if c in numeric else "Categorical", n, nulls, 100.0 * nulls / n]
-        if c in numeric:
-            std = sample_std(facts[c], spread.get((c, "squares")))
+        unique, mode, freq = counted.get(i, (0, "N/A", 0))
+        row = [i, c, "Numeric" if c in facts else "Categorical", n, nulls, 100.0 * nulls / n]
+        if c in facts:
+            std = sample_std(facts[c], wide.get((c, "squares")))
             row += [0.0 if v is None else float(v) for v in (means[c], std, facts[c][1], facts[c][2])]
             q1, q3 = bounds[c][:2] if c in bounds else (None, None)
-            out = spread.get((c, "outliers"), 0)
+            out = wide.get((c, "outliers"), 0)
             row += [q1, q3, unique, None, None, None, out, 100.0 * out / n]
         else:
             row += [None] * 6
@@ -196,22 +205,32 @@ def column_profile(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     return local_table(df.sparkSession, rows, COLUMN_PROFILE)
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: rows, distinct rows (NULLs equal), duplicates. Copies collapse before the shuffle."""
+def row_digest(df: DataFrame) -> list:
+    """Two 64-bit hashes of a whole row. NULL flags take part, since a hash passes over NULLs."""
+    cells = [*[col(c) for c in df.columns], *[col(c).isNull() for c in df.columns]]
+    return [F.xxhash64(*cells).alias("_h1"), F.xxhash64(F.lit("second"), *cells).alias("_h2")]
+
+
+def duplicate_rows(df: DataFrame, digest: bool = False) -> DataFrame:
+    """One row: rows, distinct rows (NULLs equal), duplicates. Copies collapse before the shuffle.
+
+    ``digest`` compares 128-bit digests instead of rows: 16 bytes per row are shuffled however wide the
+    table is, and two different rows count as one with a chance of about n * n / 2**129.
+    """
     df = normalize(df)
-    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("_copies"))
-    return groups.agg(
+    groups = df.select(*row_digest(df)).groupBy("_h1", "_h2") if digest else df.groupBy(*[col(c) for c in df.columns])
+    return groups.agg(F.count("*").alias("_copies")).agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("n_rows"), F.count("*").alias("distinct_rows"),
     ).withColumn("duplicate_rows", F.col("n_rows") - F.col("distinct_rows"))
 
 
-def correlation_dict(df: DataFrame, cols=None) -> dict:
+def correlation_dict(df: DataFrame, cols=None, known: tuple = None) -> dict:
     """``{(x, y): r}`` for the upper triangle and the diagonal; 0 where r is undefined."""
     names = numeric_names(df) if cols is None else list(cols)
     pairs = [(x, y) for i, x in enumerate(names) for y in names[i:]]
     if not pairs:
         return {}
-    facts, means, seen = number_facts(df, names, {"*": F.count(F.lit(1))})
+    facts, means, seen = known or number_facts(df, names, {"*": F.count(F.lit(1))})
     full = {c for c in names if facts[c][0] == seen["*"]}
     flat = {c for c in names if facts[c][0] < 2 or facts[c][1] == facts[c][2]}
 
@@ -241,7 +260,7 @@ def correlation_dict(df: DataFrame, cols=None) -> dict:
     return out
 
 
-def correlation(df: DataFrame) -> DataFrame:
+def correlation(df: DataFrame, known: tuple = None) -> DataFrame:
     """Pearson matrix of the numeric columns as rows (col_x, col_y, r); empty below two such columns.
 
     Each pair uses the rows where both values are present. Scans only; rows are never shuffled.
@@ -250,7 +269,7 @@ def correlation(df: DataFrame) -> DataFrame:
     names = numeric_names(df)
     rows = []
     if len(names) > 1:
-        upper = correlation_dict(df, names)
+        upper = correlation_dict(df, names, known)
         rows = [(x, y, upper.get((x, y), upper.get((y, x)))) for x in names for y in names]
     return local_table(df.sparkSession, rows, "col_x string, col_y string, r double")
 

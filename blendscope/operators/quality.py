@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, numeric_names, string_names
 from ..functions.values import clamp, number, percent
-from ..session import agg_row
+from ..session import agg_row, together
 from ..sources.io import normalize
 from .profile import column_profile, duplicate_rows
 
@@ -74,15 +74,16 @@ def components_of(columns: DataFrame, duplicates: int, mixed: int = 0, invalid:
 
 
 def components(df: DataFrame, consistency: str = "types", expected_types: dict = None,
-               approx_distinct: bool = False, columns: DataFrame = None) -> DataFrame:
+               approx_distinct: bool = False, digest: bool = False) -> DataFrame:
     """One row with the seven components of ``df``.
 
     A Spark column has one type, so consistency is 100 under ``types``; ``content`` looks for text
     columns that mix numbers with other text. Validity counts raw values failing ``expected_types``.
     """
     df = normalize(df)
-    columns = column_profile(df, approx_distinct) if columns is None else columns
-    duplicates = duplicate_rows(df).first()["duplicate_rows"]
+    columns, duplicates = together(
+        df.sparkSession, lambda: column_profile(df, approx_distinct),
+        lambda: duplicate_rows(df, digest).first()["duplicate_rows"])
     mixed = mixed_columns(df) if consistency == "content" else 0
     return components_of(columns, duplicates, mixed, invalid_columns(df, expected_types or {}))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,14 +19,15 @@ def indexed(df: DataFrame, order_by, name: str = "_idx", keep=None) -> tuple:
 
     The sort is a range exchange; it is written once to the shared folder so that the partition
     sizes and the rows come from the same run. Only one number per partition meets the driver.
-    ``keep`` limits the written columns. Rows with equal ``order_by`` values get any order among
-    themselves, so give keys that identify a row.
+    ``keep`` limits the written columns. ``order_by`` should identify a row; rows it does not tell
+    apart are ordered by a digest, which keeps the order repeatable and spreads a hot key.
     """
     if not order_by:
         raise ValueError("row positions need order_by columns")
     keys = [col(k) if isinstance(k, str) else k for k in order_by]
     columns = list(df.columns) if keep is None else list(keep)
-    ordered = df.orderBy(*keys).withColumn("_mid", F.monotonically_increasing_id())
+    tie = F.xxhash64(*[col(c) for c in df.columns])
+    ordered = df.orderBy(*keys, tie).withColumn("_mid", F.monotonically_increasing_id())
     stored = materialize(ordered.select(*[col(c) for c in columns], "_mid"), "rowindex")
     stored = stored.withColumn("_part", F.shiftright("_mid", PARTITION_BITS))
 
@@ -126,11 +128,11 @@ def _values_at(df: DataFrame, ranks: set, facts: dict, small_bucket: int) -> dic
 def _bucket(x, low: float, high: float, by_value: bool):
     """Bucket number of ``x`` in [low, high], or ``x`` itself; NULL outside."""
     inside = x.between(low, high)
-    place, start, stop = x * 0.5, low * 0.5, high * 0.5  # halves, so that the width cannot overflow
-    if math.isinf(low) or math.isinf(high):
-        place, start, stop = F.atan(x), math.atan(low), math.atan(high)
+    # Halves, so that the width cannot overflow; infinities count as the largest finite number.
+    start, stop = (max(-sys.float_info.max, min(sys.float_info.max, v)) * 0.5 for v in (low, high))
     if by_value or stop <= start:
         return F.when(inside, x)
+    place = F.greatest(F.lit(-sys.float_info.max), F.least(F.lit(sys.float_info.max), x)) * 0.5
     step = F.floor((place - start) * (BUCKETS / (stop - start))).cast("double")
     return F.when(inside, F.least(step, F.lit(BUCKETS - 1.0)))
 

@@ -109,10 +109,11 @@ def standardize(df: DataFrame) -> DataFrame:
     for c in texts + flags:
         tests[c, "n"] = F.count(col(c))
     for c in texts:
+        separated = col(c).rlike(DATE_SEPARATOR_PATTERN)
         tests[c, "number"] = F.count(number(col(c)))
-        tests[c, "separator"] = F.count_if(col(c).rlike(DATE_SEPARATOR_PATTERN))
-        for layout in DATE_LAYOUTS:
-            tests[c, layout] = F.count(parse_date(col(c), layout))
+        tests[c, "separator"] = F.count_if(separated)
+        for layout in DATE_LAYOUTS:  # only worth trying on short text with a separator
+            tests[c, layout] = F.count(F.when((F.length(col(c)) <= 40) & separated, parse_date(col(c), layout)))
     seen = agg_row(df, tests, batch=60)
     n = seen["*"]
     out = []

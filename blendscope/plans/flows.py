@@ -11,7 +11,7 @@ from ..functions.columns import col
 from ..operators import clean, compat, fuse, ml, profile, quality, recommend, types
 from ..operators.clean import impute
 from ..operators.schema import clean_names
-from ..session import agg_row, local_table, materialize
+from ..session import agg_row, local_table, materialize, together
 from ..sources import io
 
 PROFILE = (
@@ -23,7 +23,7 @@ PROFILE = (
 
 
 def profile_table(df: DataFrame, name: str = "dataset", target: str = None, order_by=None, weights: dict = None,
-                  approx_distinct: bool = False, source: DataFrame = None) -> dict:
+                  approx_distinct: bool = False, digest: bool = False, source: DataFrame = None) -> dict:
     """Everything known about one table, as tables:
 
     ``profile`` (one row), ``columns``, ``components``, ``correlation``, and on request ``null_heatmap``
@@ -31,7 +31,10 @@ def profile_table(df: DataFrame, name: str = "dataset", target: str = None, orde
     files give the size.
     """
     df = io.normalize(df)
-    row, columns = _profile(df, name, weights, approx_distinct, source)
+    known = profile.table_facts(df)
+    (row, columns), matrix = together(
+        df.sparkSession, lambda: _profile(df, name, weights, approx_distinct, digest, source, known),
+        lambda: profile.correlation(df, known))
     scored = row.first()
     out = {
         "profile": row,
@@ -39,7 +42,7 @@ def profile_table(df: DataFrame, name: str = "dataset", target: str = None, orde
         "components": local_table(df.sparkSession, [
             (name, k, scored[k], w) for k, w in (weights or quality.QUALITY_WEIGHTS).items()
         ], "dataset string, component string, score double, weight double"),
-        "correlation": profile.correlation(df),
+        "correlation": matrix,
     }
     if order_by:
         out["null_heatmap"] = profile.null_heatmap(df, order_by)
@@ -48,10 +51,12 @@ def profile_table(df: DataFrame, name: str = "dataset", target: str = None, orde
     return out
 
 
-def _profile(df: DataFrame, name: str, weights=None, approx_distinct=False, source=None) -> tuple:
+def _profile(df: DataFrame, name: str, weights=None, approx_distinct=False, digest=False, source=None,
+             known=None) -> tuple:
     """(one-row profile, column profile)."""
-    columns = profile.column_profile(df, approx_distinct)
-    counts = profile.duplicate_rows(df).first()
+    columns, counts = together(
+        df.sparkSession, lambda: profile.column_profile(df, approx_distinct, known),
+        lambda: profile.duplicate_rows(df, digest).first())
     scored = quality.components_of(columns, counts["duplicate_rows"]).withColumn(
         "quality_score", quality.weighted(weights)).first()
     nulls = columns.agg(F.sum("null_count")).first()[0]
@@ -99,9 +104,10 @@ def recommend_pair(a: DataFrame, b: DataFrame, name_a: str = "a", name_b: str =
                    scorer=recommend.rules) -> DataFrame:
     """Profile both, compare them, and let ``scorer`` (rules, or a model's) recommend: one row."""
     a, b = clean_names(a), clean_names(b)
-    profiles = profile_row(a, name_a).unionByName(profile_row(b, name_b))
-    compared = compat.compare(a, b, name_a, name_b, order_a, order_b, rename=False)
-    return scorer(recommend.pair_features(profiles, compared))
+    left, right, compared = together(
+        a.sparkSession, lambda: profile_row(a, name_a), lambda: profile_row(b, name_b),
+        lambda: compat.compare(a, b, name_a, name_b, order_a, order_b, rename=False))
+    return scorer(recommend.pair_features(left.unionByName(right), compared))
 
 
 def recommend_all(tables: dict, order_by: dict = None, scorer=recommend.rules) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -55,6 +57,13 @@ def agg_row(df: DataFrame, exprs: dict, batch: int = AGG_BATCH) -> dict:
     return out
 
 
+def together(spark: SparkSession, *calls) -> list:
+    """Run independent jobs side by side, so that the tail of one does not idle the cluster."""
+    with ThreadPoolExecutor(max_workers=len(calls)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(call)) for call in calls]
+        return [job.result() for job in started]
+
+
 def local_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A table of metadata (per column, per pair), bounded by schema width rather than by row count."""
     struct = T.StructType.fromDDL(schema)

@@ -146,6 +146,13 @@ def a7(spark, sf):
     return profile.duplicate_rows(view(spark, sf, "li_dup"))
 
 
+@register("a7_duplicate_rows_digest", with_views("ev_null", f"""select count(*) as n_rows, (select count(*) from (
+    select distinct user_id, event_type from ev_null)) as distinct_rows, count(*) - (select count(*) from (
+    select distinct user_id, event_type from ev_null)) as duplicate_rows from ev_null"""))
+def a7_digest(spark, sf):
+    return profile.duplicate_rows(view(spark, sf, "ev_null").select("user_id", "event_type"), digest=True)
+
+
 def corr_sql(x, y, t):
     both = f"{x} is not null and {y} is not null"
     return (f"select '{x}' as col_x, '{y}' as col_y, round(case when stddev_pop({x}) filter (where {both}) = 0 or "
