@@ -97,14 +97,14 @@ def overlap_rows() -> Column:
     """Rows both sides are taken to share; with a key never less than a tenth of the smaller side."""
     smaller = F.least(_num("num_rows_a"), _num("num_rows_b"))
     shared = F.floor(smaller * (_num("row_overlap") / 100.0))
-    return F.when((shared == 0) & F.col("primary_key").isNotNull(), F.floor(smaller * 0.1)).otherwise(shared)
+    tenth = F.when(F.col("primary_key").isNotNull(), F.floor(smaller * 0.1)).otherwise(0)
+    return F.coalesce(F.nullif(shared, F.lit(0)), tenth).cast("double")
 
 
-def null_ratio(strategy: Column) -> Column:
+def null_ratio(strategy: Column, shared: Column) -> Column:
     """Simulated share of NULL cells after fusing by ``strategy``."""
     rows_a, rows_b, cols_a, cols_b = (_num(c) for c in ("num_rows_a", "num_rows_b", "num_cols_a", "num_cols_b"))
     nulls_a, nulls_b = _num("null_cells_a"), _num("null_cells_b")
-    shared = overlap_rows().cast("double")
     joined_cols = cols_a + cols_b - F.col("primary_key").isNotNull().cast("double")
     stacked = rows_a + rows_b - shared
     lone_a, lone_b = rows_a - shared, rows_b - shared
@@ -125,29 +125,32 @@ def null_ratio(strategy: Column) -> Column:
     return out.otherwise(side_by_side)
 
 
-def estimated_quality(strategy: Column) -> Column:
-    """Quality score expected of the fused table."""
-    r = null_ratio(strategy)
-    w = QUALITY_WEIGHTS
+def with_estimate(pairs: DataFrame, strategy: str, name: str = "estimated_quality") -> DataFrame:
+    """Add the quality score expected of the table fused by the strategy in column ``strategy``.
+
+    The shared rows and the NULL share are columns of their own, so that each is worked out once per pair.
+    """
+    staged = pairs.withColumn("_shared", overlap_rows()).withColumn(
+        "_nulls", null_ratio(F.col(strategy), F.col("_shared")))
     parts = {
-        "missing_values": F.greatest(F.lit(0.0), 100.0 * (1.0 - r)),
+        "missing_values": F.greatest(F.lit(0.0), 100.0 * (1.0 - F.col("_nulls"))),
         "duplicate_rows": F.lit(100.0),
-        "data_completeness": F.greatest(F.lit(0.0), 100.0 * (1.0 - r * 1.5)),
+        "data_completeness": F.greatest(F.lit(0.0), 100.0 * (1.0 - F.col("_nulls") * 1.5)),
         "feature_diversity": F.least(F.lit(100.0), F.greatest(_num("diversity_a"), _num("diversity_b")) + 5.0),
         "outlier_ratio": (_num("outlier_score_a") + _num("outlier_score_b")) / 2.0,
         "data_consistency": F.lit(95.0),
         "data_type_validity": F.lit(95.0),
     }
     total = F.lit(0.0)
-    for name, part in parts.items():
-        total = total + F.lit(w[name]) * part
-    return total
+    for part, value in parts.items():
+        total = total + F.lit(QUALITY_WEIGHTS[part]) * value
+    return staged.withColumn(name, total).drop("_shared", "_nulls")
 
 
 def estimate_all(pairs: DataFrame) -> DataFrame:
     """One row per pair and strategy with the estimated quality."""
-    every = pairs.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in STRATEGIES])))
-    return every.withColumn("estimated_quality", estimated_quality(F.col("strategy")))
+    return with_estimate(pairs.withColumn(
+        "strategy", F.explode(F.array(*[F.lit(s) for s in STRATEGIES]))), "strategy")
 
 
 # ---------------------------------------------------------------- the rules
@@ -166,11 +169,13 @@ def strategy() -> Column:
 
 def with_gain(pairs: DataFrame, digits: int = 2) -> DataFrame:
     """Add the estimated quality under ``suggested_strategy`` and the gain over the better side."""
-    est = estimated_quality(F.col("suggested_strategy"))
-    est = est if digits is None else F.round(est, digits)
-    gain = F.col("estimated_fused_quality") - F.greatest("q_a", "q_b")
-    return pairs.withColumn("estimated_fused_quality", est).withColumn(
-        "fusion_gain_score", gain if digits is None else F.round(gain, digits))
+    def shown(c):
+        return c if digits is None else F.round(c, digits)
+
+    out = with_estimate(pairs, "suggested_strategy", "estimated_fused_quality")
+    out = out.withColumn("estimated_fused_quality", shown(F.col("estimated_fused_quality")))
+    return out.withColumn(
+        "fusion_gain_score", shown(F.col("estimated_fused_quality") - F.greatest("q_a", "q_b")))
 
 
 def _text(c, digits: int = 2) -> Column:
