@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, numeric_names, string_names
-from ..functions.values import clamp, number, percent
+from ..functions.values import clamp, number, percent, ratio
 from ..session import agg_row, together
 from ..sources.io import normalize
 from .profile import column_profile, duplicate_rows
@@ -101,8 +101,8 @@ def score_v2(df: DataFrame) -> DataFrame:
     for c in df.columns:
         filled = filled + F.when(col(c).isNotNull(), 1).otherwise(0)
     totals = df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(filled), F.lit(0)).alias("filled"))
-    missing = 1.0 - F.coalesce(F.try_divide(F.col("filled").cast("double"), F.col("n_rows") * F.lit(float(width))),
-                               F.lit(1.0))
+    cells = F.col("n_rows") * width
+    missing = F.coalesce(ratio(cells - F.col("filled"), cells), F.lit(0.0))
     few = F.when(F.col("n_rows") < 50, 30.0).when(F.col("n_rows") < 100, 15.0).otherwise(0.0)
     tilt = (10.0 if nums / width > 0.3 else 0.0) - (20.0 if text / width > 0.5 else 0.0)
     return totals.select("n_rows", missing.alias("missing_ratio"),
