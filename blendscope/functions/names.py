@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ def unique_names(names: list) -> list:
     return out
 
 
+@lru_cache(maxsize=1 << 16)
 def name_ratio(a: str, b: str) -> float:
     """Ratcliff-Obershelp similarity of two names, 0..1; ``a`` first, since it is not symmetric."""
     return SequenceMatcher(None, a, b).ratio()

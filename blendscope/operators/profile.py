@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -238,8 +240,11 @@ def correlation_dict(df: DataFrame, cols=None, known: tuple = None) -> dict:
         return as_double(c) - F.lit(means[c])
 
     # Without NULLs a pair is one sum of products around the known means; with NULLs each pair has its
-    # own rows, hence its own means.
+    # own rows, hence its own means. Many pairs would take many scans, so those share one.
     live = [(x, y) for x, y in pairs if x not in flat and y not in flat]
+    if len(live) > MANY_PAIRS:
+        found = gram_correlation(df, [c for c in names if c not in flat], means)
+        return {p: found.get(p, 0.0) for p in pairs}
     plain = [(x, y) for x, y in live if x in full and y in full]
     sums = agg_row(df, {(x, y): F.sum(centred(x) * centred(y)) for x, y in plain}) if plain else {}
     own = {}
@@ -252,11 +257,53 @@ def correlation_dict(df: DataFrame, cols=None, known: tuple = None) -> dict:
     out = {}
     for x, y in pairs:
         if (x, y) in sums:
-            xy, xx, yy = sums[x, y], sums[x, x], sums[y, y]
+            out[x, y] = pearson(sums[x, y], sums[x, x], sums[y, y])
         else:
-            xy, xx, yy = (own.get((x, y, k)) for k in ("xy", "xx", "yy"))
-        spread = math.sqrt(xx) * math.sqrt(yy) if xx and yy and xx > 0 and yy > 0 else 0.0
-        out[x, y] = max(-1.0, min(1.0, xy / spread)) if spread > 0 else 0.0
+            out[x, y] = pearson(*(own.get((x, y, k)) for k in ("xy", "xx", "yy")))
+    return out
+
+
+def pearson(xy, xx, yy) -> float:
+    """r from sums of squares and products; 0 without variance."""
+    spread = math.sqrt(xx) * math.sqrt(yy) if xx and yy and xx > 0 and yy > 0 else 0.0
+    return max(-1.0, min(1.0, xy / spread)) if spread > 0 else 0.0
+
+
+MANY_PAIRS = 300  # from about 24 columns on, one scan with matrix products beats many scans of sums
+FLAT_SHARE = 1e-13  # below this share of its sum of squares a variance is rounding
+
+
+def gram_correlation(df: DataFrame, names: list, means: dict) -> dict:
+    """Upper triangle of the pairwise-complete matrix in one scan.
+
+    Each task multiplies its Arrow batches with themselves and emits one row per pair of columns, so
+    what is shuffled and collected depends on the width of the table only.
+    """
+    centre = np.array([means[c] for c in names])
+
+    def products(batches):
+        total = 0.0
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            here = (~np.isnan(x)).astype(float)
+            z = np.where(here > 0, x - centre, 0.0)
+            total = total + np.stack([here.T @ here, z.T @ here, (z * z).T @ here, z.T @ z])
+        if isinstance(total, np.ndarray):
+            i, j = np.triu_indices(len(centre))
+            n, one, two, both = total
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v) for v in (i, j, n[i, j], one[i, j], one[j, i], two[i, j], two[j, i], both[i, j])],
+                names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    parts = df.select(*[as_double(c).alias(f"c{k}") for k, c in enumerate(names)]).mapInArrow(
+        products, "i bigint, j bigint, n double, x double, y double, xx double, yy double, xy double")
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")]).collect()
+    out = {}
+    for s in sums:
+        if s.n > 1:
+            xx, yy = s.xx - s.x * s.x / s.n, s.yy - s.y * s.y / s.n
+            xx, yy = (0.0 if v <= FLAT_SHARE * whole else v for v, whole in ((xx, s.xx), (yy, s.yy)))
+            out[names[s.i], names[s.j]] = pearson(s.xy - s.x * s.y / s.n, xx, yy)
     return out
 
 

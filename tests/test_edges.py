@@ -106,6 +106,20 @@ def test_heatmap_bins(spark):
     assert profile.null_heatmap(df.limit(3), ["id"]).select("bin").distinct().count() == 3
 
 
+def test_matrix_products_equal_sums(spark, monkeypatch):
+    x = F.col("id")
+    df = spark.range(3000).repartition(4).select(
+        x.cast("double").alias("a"), (x * x + 1e6).alias("b"), F.when(x % 3 > 0, F.sin(x.cast("double"))).alias("c"),
+        F.when(x % 4 > 0, F.rand(1)).alias("d"), F.lit(0.1).alias("flat"),
+        F.when(x % 3 == 0, F.lit(5.0)).when(x % 7 == 0, F.lit(6.0)).alias("flat_where_c_is_null"))
+    plain = profile.correlation_dict(df)
+    monkeypatch.setattr(profile, "MANY_PAIRS", 0)
+    by_matrix = profile.correlation_dict(df)
+    assert set(plain) == set(by_matrix)
+    for pair, r in plain.items():
+        assert by_matrix[pair] == pytest.approx(r, abs=1e-9), pair
+
+
 def test_histogram_fractional_width_and_closed_end(spark):
     ten = spark.range(10).select(F.col("id").cast("double").alias("x"))
     assert [r["n"] for r in profile.histogram(ten, "x").orderBy("bin").collect()] == [3, 3, 3, 1]
