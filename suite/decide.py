@@ -256,9 +256,9 @@ NATION_PAIRS = "a join n b on a.dataset < b.dataset"
 @register("j10_pair_features", f"""with n as (select *, list_slice(['a', 'b', 'c', 'd', 'e', 'f', 'g'], n_cols - 2,
     n_cols) as columns from ({NATIONS})) select a.dataset as dataset_a, b.dataset as dataset_b, a.n_rows as num_rows_a,
     b.n_rows as num_rows_b, round(a.quality_score, 2) as q_a, round(b.quality_score, 2) as q_b,
-    a.null_cells as null_cells_a, len(a.columns) - len(list_intersect(a.columns, b.columns)) as only_a,
-    len(b.columns) - len(list_intersect(a.columns, b.columns)) as only_b,
-    len(list_distinct(list_concat(a.columns, b.columns))) as all_columns, 1.0e0 as has_primary_key,
+    a.null_cells as null_cells_a, cast(len(a.columns) - len(list_intersect(a.columns, b.columns)) as integer) as only_a,
+    cast(len(b.columns) - len(list_intersect(a.columns, b.columns)) as integer) as only_b,
+    cast(len(list_distinct(list_concat(a.columns, b.columns))) as integer) as all_columns, 1.0e0 as has_primary_key,
     abs(a.n_rows - b.n_rows) * 1.0e0 as row_overlap from n {NATION_PAIRS}""")
 def j10(spark, sf):
     profiles = nations(spark, sf)

@@ -172,12 +172,26 @@ def j9_lev(spark, sf):
     {join_sql('cust_a', 'ord_b', A_COLS, B_COLS, 'left')})
     select 'left_join' as strategy, 'id' as primary_key, (select count(*) from cust_a) as rows_before_a,
       (select count(*) from ord_b) as rows_before_b, 5 as cols_before_a, 4 as cols_before_b, count(*) as rows_after,
-      8 as cols_after, 0 as missing_cells, 0.0e0 as missing_ratio, 0 as duplicate_rows from fused"""))
+      8 as cols_after, cast(0 as bigint) as missing_cells, 0.0e0 as missing_ratio, cast(0 as bigint) as duplicate_rows
+    from fused"""))
 def j11(spark, sf):
     _, stats, _ = plans.fuse_tables(view(spark, sf, "cust_a"), view(spark, sf, "ord_b"), "left_join", impute_gaps=True)
     return stats
 
 
+@register("a16_fused_stats", with_views(["cust_a", "ord_b"], f"""with fused as (
+    {join_sql('cust_a', 'ord_b', A_COLS, B_COLS, 'right')}), gaps as (select cast(count(*) * 8 - count(id) - count(name)
+      - count(balance) - count(segment) - count(nation) - count(balance_b) - count(segment_b) - count(status) as bigint)
+      as missing, count(*) as n from fused)
+    select 'right_join' as strategy, 'id' as primary_key, (select count(*) from cust_a) as rows_before_a,
+      (select count(*) from ord_b) as rows_before_b, 5 as cols_before_a, 4 as cols_before_b, n as rows_after,
+      8 as cols_after, missing as missing_cells, round(100.0e0 * missing / (n * 8), 4) as missing_ratio,
+      cast(0 as bigint) as duplicate_rows from gaps"""))
+def a16(spark, sf):
+    a, b = view(spark, sf, "cust_a"), view(spark, sf, "ord_b")
+    return rounded(fuse.stats(a, b, fuse.join(a, b, "id", "right"), "right_join", "id"))
+
+
 def filled(c, t, numeric):
     if numeric:
         return f"round(coalesce(cast({c} as double), (select avg({c}) from {t})), 4) + 0.0e0 as {c}"
@@ -349,7 +363,7 @@ def c10(spark, sf):
     found = compat.feature_overlap(a, b).select(
         "overlap_percentage", "type_match_percentage", *[F.array_join(c, ",").alias(c) for c in (
             "common_columns", "unique_to_a", "unique_to_b")])
-    return found.withColumns({"n_a": F.lit(a.count()), "n_b": F.lit(b.count())})
+    return found.withColumns({"n_a": F.lit(a.count()).cast("bigint"), "n_b": F.lit(b.count()).cast("bigint")})
 
 
 def paired_corr(x, y):

@@ -107,8 +107,8 @@ def k2_millis(spark, sf):
 
 @register("k3_save_stats", with_views(["li_a", "li_b"], """select 'union' as strategy, cast(null as varchar) as primary_key,
     (select count(*) from li_a) as rows_before_a, (select count(*) from li_b) as rows_before_b, 5 as cols_before_a,
-    5 as cols_before_b, count(*) as rows_after, 5 as cols_after, 0 as missing_cells, 0.0e0 as missing_ratio,
-    0 as duplicate_rows from (select * from li_a union select * from li_b)"""))
+    5 as cols_before_b, count(*) as rows_after, 5 as cols_after, cast(0 as bigint) as missing_cells,
+    0.0e0 as missing_ratio, cast(0 as bigint) as duplicate_rows from (select * from li_a union select * from li_b)"""))
 def k3(spark, sf):
     a, b = view(spark, sf, "li_a"), view(spark, sf, "li_b")
     path = scratch_path(spark, "stats")
@@ -202,7 +202,7 @@ def p2_sets(spark, sf):
     a, b = view(spark, sf, "cust_a"), view(spark, sf, "ord_b")
     found = schema.column_sets(a, b)
     return found.select(*[F.array_join(c, ",").alias(c) for c in found.columns]).withColumns(
-        {"rows_a": F.lit(a.count()), "rows_b": F.lit(b.count())})
+        {"rows_a": F.lit(a.count()).cast("bigint"), "rows_b": F.lit(b.count()).cast("bigint")})
 
 
 @register("p3_align", with_views(["cust_a", "ord_b"], """select balance, id, name, nation, segment,
