@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -294,11 +295,11 @@ def pairs(datasets: DataFrame) -> DataFrame:
 def compare_all(tables: dict, order_by: dict = None) -> DataFrame:
     """``compare`` for every unordered pair of the named tables."""
     order_by = order_by or {}
-    out = None
-    for x, y in combinations(tables, 2):
-        one = compare(tables[x], tables[y], x, y, order_by.get(x), order_by.get(y))
-        out = one if out is None else out.unionByName(one)
-    return out
+    spark = next(iter(tables.values())).sparkSession
+    rows = together(spark, *[
+        lambda x=x, y=y: compare(tables[x], tables[y], x, y, order_by.get(x), order_by.get(y))
+        for x, y in combinations(tables, 2)])
+    return reduce(DataFrame.unionByName, rows)
 
 
 # ---------------------------------------------------------------- the second comparison

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -113,10 +114,9 @@ def recommend_pair(a: DataFrame, b: DataFrame, name_a: str = "a", name_b: str =
 def recommend_all(tables: dict, order_by: dict = None, scorer=recommend.rules) -> DataFrame:
     """Recommendations for all pairs of a catalog; each table is profiled once."""
     tables = {n: clean_names(df) for n, df in tables.items()}
-    profiles = None
-    for n, df in tables.items():
-        one = profile_row(df, n)
-        profiles = one if profiles is None else profiles.unionByName(one)
+    spark = next(iter(tables.values())).sparkSession
+    rows = together(spark, *[lambda n=n, df=df: profile_row(df, n) for n, df in tables.items()])
+    profiles = reduce(DataFrame.unionByName, rows)
     return scorer(recommend.pair_features(profiles, compat.compare_all(tables, order_by)))
 
 
@@ -124,8 +124,8 @@ def fuse_tables(a: DataFrame, b: DataFrame, strategy: str, key: str = None, impu
                 order_a=None, order_b=None, export_to: str = None, name: str = None) -> tuple:
     """Fuse two tables: (fused table, one row of statistics, {format: path}).
 
-    Names are cleaned, the strategy applied, types standardised, gaps filled on request. The result is
-    written once; statistics and exports read that.
+    Names are cleaned, the strategy applied, types standardised, gaps filled on request. The combined
+    rows are written once; types and fillers are projections over that, read by statistics and exports.
     """
     if strategy not in fuse.STRATEGIES:
         raise ValueError(f"invalid fusion strategy: {strategy}")
@@ -143,7 +143,6 @@ def fuse_tables(a: DataFrame, b: DataFrame, strategy: str, key: str = None, impu
     fused = types.standardize(materialize(raw, "fused-raw"))
     if impute_gaps:
         fused = impute(fused)
-    fused = materialize(fused, "fused")
     stats = fuse.stats(a, b, fused, strategy, key)
     paths = {}
     if export_to:
@@ -160,7 +159,8 @@ def study_fusion(tables: dict, order_by: dict, target: str = None, regressor=Non
     if len(tables) < 2:
         raise ValueError("need at least 2 datasets for fusion analysis")
     spark = next(iter(tables.values())).sparkSession
-    scores = [(n, float(quality.score_v2(df).first()["quality_score"])) for n, df in tables.items()]
+    found = together(spark, *[lambda df=df: quality.score_v2(df).first() for df in tables.values()])
+    scores = [(n, float(row["quality_score"])) for n, row in zip(tables, found)]
     rows = []
     for x, y in combinations(tables, 2):
         a, b = tables[x], tables[y]

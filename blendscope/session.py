@@ -15,6 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 # Aggregates per job: beyond this, generated code for one agg() grows past what the JIT compiles well.
 AGG_BATCH = 120
 
+# Independent jobs submitted at once by one call.
+SIDE_BY_SIDE = 8
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
@@ -59,7 +62,7 @@ def agg_row(df: DataFrame, exprs: dict, batch: int = AGG_BATCH) -> dict:
 
 def together(spark: SparkSession, *calls) -> list:
     """Run independent jobs side by side, so that the tail of one does not idle the cluster."""
-    with ThreadPoolExecutor(max_workers=len(calls)) as pool:
+    with ThreadPoolExecutor(max_workers=min(len(calls), SIDE_BY_SIDE)) as pool:
         started = [pool.submit(inheritable_thread_target(spark)(call)) for call in calls]
         return [job.result() for job in started]
 

@@ -430,3 +430,24 @@ def test_kpis_without_profiles(spark):
     sources = local_table(spark, [("a",)], "dataset string")
     none = local_table(spark, [], "dataset string, quality_score double")
     assert tuple(catalog.kpis(sources, none, none, none).first()) == (1, 0.0, 0, 0)
+
+
+def test_catalog_recommendation(spark, customers, purchases):
+    other = customers.select("id", F.col("age").alias("height"))
+    found = plans.recommend_all({"c": customers, "p": purchases, "o": other})
+    rows = {(r["dataset_a"], r["dataset_b"]): r for r in found.collect()}
+    assert set(rows) == {("c", "p"), ("c", "o"), ("p", "o")}
+    assert rows["c", "p"]["suggested_strategy"] == "left_join"
+    assert rows["c", "o"]["suggested_strategy"] == "inner_join"
+
+
+def test_study_of_several_tables(spark):
+    a = spark.range(300).select("id", (F.col("id") % 10).cast("double").alias("x"),
+                                (F.col("id") % 10 * 2).cast("double").alias("y"))
+    found = plans.study_fusion({"a": a, "b": a.where("x < 9")}, {"a": ["id"], "b": ["id"]}, target="y",
+                               regressor=ml.boosted_trees(rounds=3))
+    row = found["overall"].first()
+    assert found["pairs"].first()["overlap_percentage"] == 100.0 and len(row["reasons"]) == 5
+    assert 0 <= row["overall_score"] <= 100 and found["quality"].count() == 2
+    with pytest.raises(ValueError):
+        plans.study_fusion({"a": a}, {"a": ["id"]})
