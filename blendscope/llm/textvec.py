@@ -29,7 +29,7 @@ LETTERS = np.zeros(256, bool)
 LETTERS[[b for b in range(128) if chr(b).isalpha()]] = True
 
 # Distinct words whose ids a worker keeps; beyond it the memory is emptied, so it never grows with the input.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 700_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,7 +59,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def chunks(texts, size: int = 4_000_000):
+def chunks(texts, size: int = 1_000_000):
     """Slices (first row, texts) of about ``size`` characters, at least one text each."""
     first, total = 0, 0
     for i, t in enumerate(texts):
