@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from blendscope.session import scratch_path
 
-from . import packing, rans
+from . import neardup, packing, pii, quality, rans
 
 QUERIES, ORACLES = {}, {}
 
@@ -18,8 +18,12 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> None:
-    """Workers on this machine import the package from here; a cluster has it installed or shipped."""
+    """Workers on this machine import the package from here; a cluster has it installed or shipped.
+
+    Rows hold whole texts, so Arrow batches hold fewer rows than by default.
+    """
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def register(name, sql=None):
@@ -56,3 +60,38 @@ def op3(spark, sf):
                         vocabulary=49_408, spaced=False, end_id=2)
     docs = rans.read(blocks, folder)
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+# ---------------------------------------------------------------- near duplicates
+
+@register("op4_minhash_neardup")
+def op4(spark, sf):
+    return neardup.near_duplicates(table(spark, sf, "documents"))
+
+
+# ---------------------------------------------------------------- personal data
+
+def same(kind):
+    return lambda s: s["kind"] == kind
+
+
+def joined(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@register("op6_pii_spans")
+def op6(spark, sf):
+    found = pii.find(table(spark, sf, "documents"))
+    count = [F.size(F.filter("spans", same(kind))).cast("bigint").alias(f"n_{kind}")
+             for kind in pii.BASE_KINDS]
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    return found.select("doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+# ---------------------------------------------------------------- quality rules
+
+@register("op8_quality_log_ratio")
+def op8(spark, sf):
+    docs = table(spark, sf, "documents")
+    judged = quality.judge(docs, quality.fit(docs, table(spark, sf, "labels")))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")

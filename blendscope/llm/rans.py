@@ -55,7 +55,7 @@ def normalise(counts: np.ndarray) -> np.ndarray:
     if excess <= 0:
         freq[order[0]] -= excess
     else:  # take what the ones forced to 1 added from the most frequent, in proportion
-        room = freq[order] - 1
+        room = np.maximum(freq[order] - 1, 0)
         cut = np.minimum(room, -(-room * excess // max(1, int(room.sum()))))
         cut = np.minimum(cut, np.maximum(0, excess - (np.cumsum(cut) - cut)))
         freq[order] -= cut

@@ -29,7 +29,7 @@ LETTERS = np.zeros(256, bool)
 LETTERS[[b for b in range(128) if chr(b).isalpha()]] = True
 
 # Distinct words whose ids a worker keeps; beyond it the memory is emptied, so it never grows with the input.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 400_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
