@@ -45,7 +45,7 @@ class Packer:
     def emit(self, pieces: list) -> None:
         offset = 0
         for doc, start, length, total, ids in pieces:
-            self.done.append((doc, start, length, total, self.next_id, offset, ids))
+            self.done.append((doc, start, length, total, self.next_id, offset, bytes(ids)))
             offset += length
         self.next_id += 1
 
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, tokenizer: str, spaced: bool = True, end_id: int = 1,
                 window[1] = [(*p[:4], bytes(p[4])) for p in window[1]]
             yield packer.take(task)
         rest = packer.merge()
-        packer.done += [(doc, start, n, total, None, None, ids) for doc, start, n, total, ids in rest]
+        packer.done += [(doc, start, n, total, None, None, bytes(ids)) for doc, start, n, total, ids in rest]
         yield packer.take(task)
 
     def merge(frame: pa.Table) -> pa.Table:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from blendscope.session import scratch_path
 
-from . import neardup, packing, pii, quality, rans
+from . import mixing, neardup, packing, pii, quality, rans, search, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -95,3 +95,64 @@ def op8(spark, sf):
     docs = table(spark, sf, "documents")
     judged = quality.judge(docs, quality.fit(docs, table(spark, sf, "labels")))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
+
+
+# ---------------------------------------------------------------- exact search
+
+@register("op5_term_at_a_time", """
+    with v as (
+        select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as w
+        from embeddings
+        where vec_id is not null and embedding is not null
+          and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+    s as (
+        select q.vec_id as query_id, c.vec_id,
+               cast(list_inner_product(cast(q.w as double[]), cast(c.w as double[])) as bigint) as score
+        from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+    r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+    select query_id, rank, vec_id, score from r where rank <= 5""")
+def op5(spark, sf):
+    return search.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+# ---------------------------------------------------------------- toxicity
+
+@register("op10_ftrl_toxicity")
+def op10(spark, sf):
+    docs = table(spark, sf, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+# ---------------------------------------------------------------- mixing
+
+@register("op1_pfair_mix", """
+    with recursive d as (
+        select doc_id, source, coalesce('=' || source, '') as key, length(coalesce(text, '')) as size,
+               md5(coalesce(cast(doc_id as varchar), '') || ':' || cast(length(coalesce(text, '')) as varchar)) as digest
+        from documents),
+    p as (
+        select *, coalesce(sum(size) over (partition by key order by digest, doc_id
+                           rows between unbounded preceding and 1 preceding), 0) as start from d),
+    w as (select key, pow(greatest(sum(size), 1), 0.5) as w from d group by key),
+    a as (select key, greatest(1, cast(round(1000 * w / sum(w) over ()) as bigint)) as share from w),
+    s as (select list(key order by key) as keys, list(share order by key) as sh, cast(sum(share) as bigint) as q, count(*) as n from a),
+    e as (
+        select cast(0 as bigint) as t, [cast(0 as bigint) for i in range(1, n + 1)] as done, cast(null as bigint) as pick from s
+        union all
+        select t + 1, [done[i] + case when i = pick then 1 else 0 end for i in range(1, n + 1)], pick from (
+            select t, done, n, list_min([ceil((done[i] + 1) * q / sh[i])::bigint * (n + 1) + i for i in range(1, n + 1)
+                if done[i] < sh[i] and floor(done[i] * q / sh[i]) <= t]) % (n + 1) as pick
+            from e, s where t < q)),
+    f as (select keys[pick] as key, t - 1 as slot from e, s where pick is not null),
+    g as (select key, slot, row_number() over (partition by key order by slot) - 1 as j from f),
+    b as (select p.*, a.share, s.q, cast(floor(start / 65536) as bigint) as block from p join a using (key), s)
+    select doc_id, source, cast(start as bigint) as start, block,
+           cast((block // share) * q + floor((block % share) * q / share) as bigint) as release,
+           cast((block // share) * q + ceil((block % share + 1) * q / share) as bigint) as deadline,
+           cast((block // share) * q + g.slot as bigint) as slot
+    from b join g on g.key = b.key and g.j = block % share""")
+def op1(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.length(F.coalesce("text", F.lit(""))).alias("size"))
+    return mixing.mix(docs, F.col("size")).select("doc.doc_id", "source", "start", "block", "release", "deadline", "slot")
