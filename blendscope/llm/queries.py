@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from blendscope.session import scratch_path
 
-from . import mixing, neardup, packing, pii, quality, rans, search, toxicity
+from . import mixing, neardup, packing, pii, quality, rans, search, toxicity, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -156,3 +156,12 @@ def op10(spark, sf):
 def op1(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source", F.length(F.coalesce("text", F.lit(""))).alias("size"))
     return mixing.mix(docs, F.col("size")).select("doc.doc_id", "source", "start", "block", "release", "deadline", "slot")
+
+
+# ---------------------------------------------------------------- web archives
+
+@register("op9_warc_index")
+def op9(spark, sf):
+    folder = scratch_path(spark, "warc")
+    index = warc.write(table(spark, sf, "pages"), folder)
+    return warc.read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
