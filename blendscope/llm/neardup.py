@@ -163,9 +163,10 @@ def star_pairs(buckets: DataFrame, turn: int) -> DataFrame:
     """
     key = F.lit(0) if turn == 0 else F.xxhash64("node", F.lit(turn), "band")
     centres = (buckets.select("band", F.struct(key.alias("key"), "node", "n", "label").alias("row")).groupBy("band")
-               .agg(F.min("row").alias("centre")))
-    pairs = (buckets.join(centres, "band").where("label != centre.label")
-             .where(f"100 * least(n, centre.n) >= {SIMILAR} * greatest(n, centre.n)"))
+               .agg(F.min("row").alias("centre"), F.min("label").alias("low"), F.max("label").alias("high"))
+               .where("low != high").select(F.col("band").alias("centre_band"), "centre"))
+    pairs = buckets.join(centres, F.expr(f"""band = centre_band and label != centre.label
+        and 100 * least(n, centre.n) >= {SIMILAR} * greatest(n, centre.n)"""))
     return pairs.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
 
 
@@ -200,8 +201,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if labels is None:
             continue
         named = buckets.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-        buckets = materialize(named.join(mixed.select("band"), "band", "left_semi").select("band", "node", "n", "label"), "buckets")
+        buckets = materialize(named.select("band", "node", "n", "label"), "buckets")
 
     out = known.select("doc_id", "n_shingles", "set_id").join(copies, "set_id", "left")
     if labels is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from blendscope.session import scratch_path
 
-from . import mixing, neardup, packing, pii, quality, rans, search, toxicity, warc
+from . import htmltext, mixing, neardup, packing, pii, quality, rans, search, toxicity, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -165,3 +165,11 @@ def op9(spark, sf):
     folder = scratch_path(spark, "warc")
     index = warc.write(table(spark, sf, "pages"), folder)
     return warc.read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# ---------------------------------------------------------------- main text of pages
+
+@register("op7_lstm_main_text")
+def op7(spark, sf):
+    pages = table(spark, sf, "pages")
+    return htmltext.extract(pages, htmltext.fit(pages)).withColumn("n_chars", F.length("text").cast("bigint"))
