@@ -163,7 +163,7 @@ def star_pairs(buckets: DataFrame, turn: int) -> DataFrame:
     """
     key = F.lit(0) if turn == 0 else F.xxhash64("node", F.lit(turn), "band")
     centres = (buckets.select("band", F.struct(key.alias("key"), "node", "n", "label").alias("row")).groupBy("band")
-               .agg(F.min("row").alias("centre"), F.min("label").alias("low"), F.max("label").alias("high"))
+               .agg(F.min("row").alias("centre"), F.min("row.label").alias("low"), F.max("row.label").alias("high"))
                .where("low != high").select(F.col("band").alias("centre_band"), "centre"))
     pairs = buckets.join(centres, F.expr(f"""band = centre_band and label != centre.label
         and 100 * least(n, centre.n) >= {SIMILAR} * greatest(n, centre.n)"""))
