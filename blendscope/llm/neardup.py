@@ -24,6 +24,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from blendscope.session import materialize
@@ -212,3 +213,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id",
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The documents kept, unchanged; of rows with one doc_id the one with the smallest text stays."""
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
+    one = (rows.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("turn", first)
+           .where("turn = 1").select("doc.*"))
+    return one.unionByName(docs.where("doc_id is null"))
