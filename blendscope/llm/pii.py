@@ -20,16 +20,18 @@ from pyspark.sql import functions as F
 
 EMPTY = "array<struct<kind:string,start:int,end:int,score:double>>"
 
+W = "[A-Za-z0-9_]"
+
 # Patterns, score without context, context words (lower case), what a context word adds.
 KINDS = {
     "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
               0.8, "mail|contact|write|address", 0.15),
-    "ip": (r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.5, r"\bip\b|host|server|address", 0.3),
+    "ip": (r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.5, "host|server|address", 0.3),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", 0.7, "card|visa|credit|payment", 0.25),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|call|tel|fax|mobile", 0.3),
-    "iban": (r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", 0.8, "iban|account|bank", 0.2),
-    "aws_key": (r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", 0.8, "key|access|aws", 0.2),
-    "secret": (r"\b[0-9a-f]{16,64}\b", 0.3, "password|passwd|pwd|token|secret|key|auth", 0.5),
+    "iban": (rf"(?<!{W})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?(?!{W})", 0.8, "iban|account|bank", 0.2),
+    "aws_key": (rf"(?<!{W})(?:AKIA|ASIA)[0-9A-Z]{{16}}(?!{W})", 0.8, "key|access|aws", 0.2),
+    "secret": (rf"(?<!{W})[0-9a-f]{{16,64}}(?!{W})", 0.3, "password|passwd|pwd|token|secret|key|auth", 0.5),
 }
 BASE_KINDS = ("email", "ip", "card", "phone")
 # A text without these characters holds no span of the kind.

@@ -79,7 +79,45 @@ def joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-@register("op6_pii_spans")
+@register("op6_pii_spans", r"""
+    with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+    p(ord, kind, pattern, base, words, bonus) as (values
+        (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 0.8, 'mail|contact|write|address', 0.15),
+        (2, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)', 0.5, 'host|server|address', 0.3),
+        (3, 'card', '[0-9](?:[\x20-]?[0-9])+', 0.7, 'card|visa|credit|payment', 0.25),
+        (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]', 0.6, 'phone|call|tel|fax|mobile', 0.3),
+        (5, 'iban', '\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b', 0.8, 'iban|account|bank', 0.2),
+        (6, 'aws_key', '\b(?:AKIA|ASIA)[0-9A-Z]{16}\b', 0.8, 'key|access|aws', 0.2),
+        (7, 'secret', '\b[0-9a-f]{16,64}\b', 0.3, 'password|passwd|pwd|token|secret|key|auth', 0.5)),
+    f as (select rid, text, ord, kind, base, words, bonus, regexp_extract_all(text, pattern) as found,
+                 string_split_regex(text, pattern) as gaps from t, p),
+    g as (select * exclude (found, gaps), unnest(found) as m, unnest(gaps[1:len(found)]) as gap,
+                 unnest(range(len(found))) as i from f where len(found) > 0),
+    h as (select *, sum(length(gap) + length(m)) over (partition by rid, ord order by i) as stop,
+                 regexp_replace(m, '[^0-9]', '', 'g') as digits from g),
+    k as (select *, cast(stop - length(m) as bigint) as start from h where case kind
+        when 'ip' then regexp_full_match(m, '0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}')
+        when 'card' then length(digits) between 13 and 19 and list_sum([
+            cast(digits[length(digits) - j] as integer) * (1 + j % 2)
+            - case when cast(digits[length(digits) - j] as integer) * (1 + j % 2) > 9 then 9 else 0 end
+            for j in range(length(digits))]) % 10 = 0
+        when 'phone' then length(digits) between 9 and 15
+        when 'iban' then list_reduce([cast(c as bigint) for c in string_split(array_to_string([
+            case when c between '0' and '9' then c else cast(ascii(c) - 55 as varchar) end
+            for c in string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), '')], ''), '')],
+            lambda a, b: (a * 10 + b) % 97) = 1
+        else true end),
+    n as (select *, base + case when regexp_matches(lower(substr(text, greatest(start - 40, 0) + 1, start - greatest(start - 40, 0))), words)
+                 then bonus else 0 end as score from k),
+    s as (select rid, ord, kind, start, kind || ':' || start || ':' || cast(stop as bigint) as span from n
+          where ord <= 4 or score >= 0.5),
+    a as (select rid, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip,
+                 count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone,
+                 string_agg(span, ',' order by ord, start) filter (ord <= 4) as base, string_agg(span, ',' order by ord, start) as spans
+          from s group by rid)
+    select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card,
+           coalesce(n_phone, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+    from t left join a using (rid)""")
 def op6(spark, sf):
     found = pii.find(table(spark, sf, "documents"))
     count = [F.size(F.filter("spans", same(kind))).cast("bigint").alias(f"n_{kind}")
