@@ -13,7 +13,7 @@ from ..functions.names import best_ratios, clean_name, name_ratio
 from ..session import agg_row, local_table, together
 from ..sources.io import normalize
 from .profile import correlation_dict, distinct_counts
-from .rowindex import indexed
+from .rowindex import indexed, tie_digest
 from .schema import clean_names, common_columns, only_in_first, same_kind
 
 # Names that mark a key, in order of preference.
@@ -147,6 +147,10 @@ def correlation_similarity(a: DataFrame, b: DataFrame) -> float:
     return max(0.0, 100.0 * (1.0 - total / len(shared) ** 2 / 2.0))
 
 
+class OrderNeeded(ValueError):
+    """The answer depends on the order of rows, and none was given."""
+
+
 def missing_overlap(a: DataFrame, b: DataFrame, order_a=None, order_b=None, parity: bool = False) -> DataFrame:
     """Rows (column, nulls_a, nulls_b, nulls_both, overlap) per common column, rows paired by position.
 
@@ -165,7 +169,7 @@ def missing_overlap(a: DataFrame, b: DataFrame, order_a=None, order_b=None, pari
     watched = [c for c in common if nb[c]] if needs_tail else shared
     if watched:
         if not (order_a and order_b):
-            raise ValueError("pairing rows by position needs order_a and order_b")
+            raise OrderNeeded("pairing rows by position needs order_a and order_b")
         (left, n_a), (right, _) = together(
             a.sparkSession, lambda: _null_flags(a, watched, order_a, "l"), lambda: _null_flags(b, watched, order_b, "r"))
         if shared:
@@ -188,8 +192,8 @@ def _null_flags(df: DataFrame, columns: list, order_by, side: str) -> tuple:
     flags = [f"{side}{i}" for i in range(len(columns))]
     keys = [f"k{i}" for i in range(len(order_by))]
     slim = df.select(*[col(c).isNull().alias(f) for c, f in zip(columns, flags)],
-                     *[col(k).alias(x) for k, x in zip(order_by, keys)])
-    placed, n = indexed(slim, keys, f"_{side}", keep=flags)
+                     *[col(k).alias(x) for k, x in zip(order_by, keys)], tie_digest(df).alias("tie"))
+    placed, n = indexed(slim, [*keys, "tie"], f"_{side}", keep=flags)
     some = F.col(flags[0])
     for f in flags[1:]:
         some = some | F.col(f)
@@ -267,7 +271,7 @@ def compare(a: DataFrame, b: DataFrame, name_a: str = "a", name_b: str = "b", or
     def missing():
         try:
             found = [r["overlap"] for r in missing_overlap(a, b, order_a, order_b, parity).collect()]  # per column
-        except ValueError:
+        except OrderNeeded:
             return None
         return sum(found) / len(found) if found else 100.0
 
@@ -316,11 +320,11 @@ def feature_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
         "unique_to_a array<string>, unique_to_b array<string>")
 
 
-def complementarity(a: DataFrame, b: DataFrame, order_a, order_b, limit: int = None, per_side: int = 3) -> DataFrame:
+def complementarity(a: DataFrame, b: DataFrame, order_a, order_b, limit: int = None, per_side: int = None) -> DataFrame:
     """One row: how differently the numeric columns of two tables run when rows are paired by position.
 
-    Takes the first ``per_side`` numeric columns by name of each side. ``limit`` pairs only so many
-    leading rows; by default all rows are paired.
+    All numeric columns of both sides take part. For parity, ``per_side=3`` takes the first three by name of
+    each side, and ``limit`` pairs only so many leading rows.
     """
     a, b = normalize(a), normalize(b)
     cols_a, cols_b = sorted(numeric_names(a))[:per_side], sorted(numeric_names(b))[:per_side]

@@ -13,7 +13,7 @@ from ..sources.io import normalize
 from .clean import drop_empty_columns, impute
 from .profile import duplicate_rows
 from .rowindex import indexed
-from .schema import align, drop_duplicate_names, suffix_clashes, to_common_types, with_source
+from .schema import align, drop_duplicate_names, separate_cases, suffix_clashes, to_common_types, with_source
 from .types import clean_numeric_names
 
 JOINS = {"inner_join": "inner", "left_join": "left", "right_join": "right", "outer_join": "outer"}
@@ -129,6 +129,7 @@ def merge_many(tables: dict, mode: str = "per_dataset", append_rows: bool = Fals
         raise ValueError("need at least 2 datasets to fuse")
     if mode not in ("per_dataset", "per_column"):
         raise ValueError(f"unknown mode: {mode}")
+    tables = dict(zip(names, separate_cases(*tables.values())))
     others = [set(tables[n].columns) for n in names[1:]]
     common = [c for c in tables[names[0]].columns if all(c in o for o in others)]
     if not common:

@@ -20,7 +20,7 @@ from .recommend import FEATURES, features, rules, with_gain
 from .rowindex import indexed
 from .schema import common_columns, to_common_types
 
-BROADCAST_BYTES = 32 << 20  # dictionaries up to this size go to every executor, larger ones are shuffled
+BROADCAST_BYTES = 32 << 20  # of all dictionaries of a call that go to every executor; the others are shuffled
 
 
 # ---------------------------------------------------------------- samples and splits
@@ -30,20 +30,38 @@ def row_hash(columns, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", *[col(c).cast("string") for c in columns], F.lit(str(seed))))
 
 
+def numbered_copies(df: DataFrame, name: str = "_copy") -> DataFrame:
+    """``df`` with a number 1, 2, ... for the copies of equal rows: they are counted before the shuffle, then dealt out again."""
+    counted = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("_copies"))
+    return counted.withColumn(name, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).drop("_copies")
+
+
+def copy_hash(columns, seed: int, copy: str = "_copy") -> Column:
+    """Digest of a row and its copy number; the first copy has the digest of the row."""
+    again = F.md5(F.concat_ws("|", row_hash(columns, seed), F.col(copy).cast("string")))
+    return F.when(F.col(copy) == 1, row_hash(columns, seed)).otherwise(again)
+
+
 def stable_sample(df: DataFrame, n: int = 1000, seed: int = 42, key=None) -> DataFrame:
-    """``n`` rows chosen by digest of ``key`` (default: the whole row). Each task keeps only its best ``n``."""
-    return df.orderBy(row_hash(key or df.columns, seed)).limit(n)
+    """``n`` rows chosen by digest. Each task keeps only its best ``n``.
 
+    Without ``key`` rows are chosen, each copy of a row by itself; with ``key``, all rows of a key stand or fall together
+    up to the limit.
+    """
+    if key:
+        return df.orderBy(row_hash(key, seed)).limit(n)
+    return numbered_copies(df).orderBy(copy_hash(df.columns, seed)).limit(n).drop("_copy")
 
-def split_bucket(columns, seed: int = 42, buckets: int = 10000) -> Column:
-    head = F.conv(F.substring(row_hash(columns, seed), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(head, F.lit(buckets))
+
+def split_bucket(digest: Column, buckets: int = 10000) -> Column:
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
 
 
 def split(df: DataFrame, share: float = 0.8, seed: int = 42, key=None) -> tuple:
-    """(train, test) by digest of ``key``: the same row falls on the same side in every run."""
-    first = split_bucket(key or df.columns, seed) < int(round(share * 10000))
-    return df.where(first), df.where(~first)
+    """(train, test) by digest, the same in every run. Without ``key`` each copy of a row falls by itself."""
+    rows = df if key else numbered_copies(df)
+    first = split_bucket(row_hash(key, seed) if key else copy_hash(df.columns, seed)) < int(round(share * 10000))
+    return rows.where(first).drop("_copy"), rows.where(~first).drop("_copy")
 
 
 # ---------------------------------------------------------------- preparation
@@ -59,7 +77,7 @@ def label_codes(df: DataFrame, columns) -> tuple:
         "value is not null").distinct()
     placed, _ = indexed(values, ["ordinal", "value"], "_rank")
     groups = placed.groupBy("ordinal").agg(
-        F.min("_rank").alias("_first"), F.sum(F.length("value") + 16).alias("bytes")).collect()  # one per column
+        F.min("_rank").alias("_first"), F.sum(F.octet_length("value") + 16).alias("bytes")).collect()  # one per column
     first = local_table(df.sparkSession, [(g["ordinal"], g["_first"]) for g in groups], "ordinal int, _first bigint")
     codes = placed.join(F.broadcast(first), "ordinal").select(
         "ordinal", "value", (F.col("_rank") - F.col("_first")).alias("code"))
@@ -67,12 +85,13 @@ def label_codes(df: DataFrame, columns) -> tuple:
 
 
 def encode_with(df: DataFrame, columns, codes: DataFrame, sizes: dict) -> DataFrame:
-    """Replace each column's values by their codes."""
-    out = df
+    """Replace each column's values by their codes; broadcast dictionaries stay below ``BROADCAST_BYTES`` together."""
+    out, sent = df, 0
     for i, c in enumerate(columns):
         words = codes.where(F.col("ordinal") == i).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-        if sizes.get(i, 0) <= BROADCAST_BYTES:
+        if sent + sizes.get(i, 0) <= BROADCAST_BYTES:
             words = F.broadcast(words)
+            sent += sizes.get(i, 0)
         order = [col(x) if x != c else F.col("_code").alias(c) for x in out.columns]
         out = out.join(words, col(c).cast("string") == F.col("_value"), "left").select(*order)
     return out
@@ -127,8 +146,11 @@ def _forest(label: str, trees: int, depth: int, seed: int) -> Pipeline:
     ])
 
 
-def train_recommender(pairs: DataFrame, trees: int = 100, depth: int = 12, seed: int = 42) -> dict:
-    """Two forests, one for the action and one for the strategy, taught by the rules on ``pairs``."""
+def train_recommender(pairs: DataFrame, trees: int = 100, depth: int = 30, seed: int = 42) -> dict:
+    """Two forests, one for the action and one for the strategy, taught by the rules on ``pairs``.
+
+    ``depth`` is the largest that MLlib's trees take.
+    """
     labelled = rules(features(pairs)).select(
         *FEATURES, F.col("recommendation").alias("action"), F.col("suggested_strategy").alias("plan"))
     labelled = materialize(labelled, "training-pairs")
@@ -191,7 +213,7 @@ def top_features(pairs: DataFrame, importances: dict, n: int = 3) -> DataFrame:
         bound = 100.0 if any(k in c for k in ("score", "ratio", "similarity")) else 10000.0
         parts.append(F.struct((-(F.col(c).cast("double") / bound * F.lit(float(importances.get(c, 0.0))))).alias("w"),
                               F.lit(i).alias("i"), F.lit(c).alias("name")))
-    ranked = F.slice(F.array_sort(F.array(*parts)), 1, n)
+    ranked = F.slice(F.sort_array(F.array(*parts)), 1, n)
     return pairs.withColumn("top_features", F.transform(ranked, lambda x: x["name"]))
 
 
@@ -268,12 +290,14 @@ def fused_training_set(a: DataFrame, b: DataFrame, target: str) -> DataFrame:
 
 
 def score_arm(df: DataFrame, target: str, regressor=None, seed: int = 42, scale: bool = False):
-    """(r2, mse, training rows) of a regressor on an 80/20 split, or None below the minimum of rows."""
+    """(r2, mse, training rows) of a regressor on an 80/20 split, or None below the minimum of rows or with an empty side."""
     names = [c for c in df.columns if c != target]
     data = df.select(*[as_double(c).alias(c) for c in names], as_double(target).alias(target))
     if not names or data.count() <= MIN_ROWS:
         return None
     train, test = split(data, 0.8, seed)
+    if train.isEmpty() or test.isEmpty():
+        return None
     if scale:
         train, test = standard_scale(train, names), standard_scale(test, names, fit_on=train)
     ready = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="keep")

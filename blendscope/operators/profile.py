@@ -14,7 +14,7 @@ from ..functions.columns import INTEGRAL, as_double, col, numeric_names
 from ..functions.values import percent
 from ..session import agg_row, local_table, together
 from ..sources.io import normalize
-from .rowindex import exact_quantiles, indexed
+from .rowindex import exact_quantiles, indexed, tie_digest
 
 COLUMN_PROFILE = (
     "ordinal int, column string, type string, n_rows bigint, null_count bigint, null_percent double, "
@@ -83,15 +83,14 @@ def value_counts(df: DataFrame, cols=None) -> DataFrame:
 
 def distinct_and_mode(df: DataFrame, cols=None) -> DataFrame:
     """Rows (ordinal, unique_count, mode, mode_freq); the smallest of equally frequent values wins."""
-    ranked = F.min(F.struct((-F.col("n")).alias("minus_n"), "num_value", "dbl_value", "str_value"))
-    return value_counts(df, cols).groupBy("ordinal").agg(
-        F.count("*").alias("unique_count"), ranked.alias("top")
-    ).select(
-        "ordinal", "unique_count",
-        F.coalesce("top.str_value", F.col("top.num_value").cast("string"),
-                   F.col("top.dbl_value").cast("string")).alias("mode"),
-        (-F.col("top.minus_n")).alias("mode_freq"),
-    )
+    counted = value_counts(df, cols)
+    best = counted.groupBy("ordinal").agg(F.count("*").alias("unique_count"), F.max("n").alias("mode_freq"))
+    # Numbers aggregate by hash; only the text values that reach the highest count are compared with each other.
+    top = counted.join(F.broadcast(best), "ordinal").where("n = mode_freq")  # best has one row per column
+    return top.groupBy("ordinal", "unique_count", "mode_freq").agg(
+        F.min("num_value").alias("num"), F.min("dbl_value").alias("dbl"), F.min("str_value").alias("str")
+    ).select("ordinal", "unique_count", F.coalesce("str", F.col("num").cast("string"), F.col("dbl").cast("string")).alias("mode"),
+             "mode_freq")
 
 
 def distinct_counts(df: DataFrame, cols=None, approx: bool = False) -> dict:
@@ -239,28 +238,14 @@ def correlation_dict(df: DataFrame, cols=None, known: tuple = None) -> dict:
     def centred(c):
         return as_double(c) - F.lit(means[c])
 
-    # Without NULLs a pair is one sum of products around the known means; with NULLs each pair has its
-    # own rows, hence its own means. Many pairs would take many scans, so those share one.
+    # Without NULLs a pair is one sum of products around the known means. With NULLs each pair has its own
+    # rows, hence its own means, which the matrix pass finds in one scan for all pairs, as it does for many pairs.
     live = [(x, y) for x, y in pairs if x not in flat and y not in flat]
-    if len(live) > MANY_PAIRS:
+    if len(live) > MANY_PAIRS or any(x not in full for x, _ in live):
         found = gram_correlation(df, [c for c in names if c not in flat], means)
         return {p: found.get(p, 0.0) for p in pairs}
-    plain = [(x, y) for x, y in live if x in full and y in full]
-    sums = agg_row(df, {(x, y): F.sum(centred(x) * centred(y)) for x, y in plain}) if plain else {}
-    own = {}
-    for x, y in live:
-        if (x, y) not in sums:
-            ax, ay = as_double(x), as_double(y)
-            own.update({(x, y, "xy"): F.regr_sxy(ay, ax), (x, y, "xx"): F.regr_sxx(ay, ax),
-                        (x, y, "yy"): F.regr_syy(ay, ax)})
-    own = agg_row(df, own, batch=24) if own else {}
-    out = {}
-    for x, y in pairs:
-        if (x, y) in sums:
-            out[x, y] = pearson(sums[x, y], sums[x, x], sums[y, y])
-        else:
-            out[x, y] = pearson(*(own.get((x, y, k)) for k in ("xy", "xx", "yy")))
-    return out
+    sums = agg_row(df, {(x, y): F.sum(centred(x) * centred(y)) for x, y in live}) if live else {}
+    return {(x, y): pearson(sums[x, y], sums[x, x], sums[y, y]) if (x, y) in sums else 0.0 for x, y in pairs}
 
 
 def pearson(xy, xx, yy) -> float:
@@ -330,8 +315,8 @@ def null_heatmap(df: DataFrame, order_by, bins: int = 40) -> DataFrame:
     flags = [f"f{i}" for i in range(len(df.columns))]
     keys = [f"k{i}" for i in range(len(order_by))]
     slim = df.select(*[col(c).isNull().cast("int").alias(f) for c, f in zip(df.columns, flags)],
-                     *[col(k).alias(a) for k, a in zip(order_by, keys)])
-    placed, n = indexed(slim, keys, keep=flags)
+                     *[col(k).alias(a) for k, a in zip(order_by, keys)], tie_digest(df).alias("tie"))
+    placed, n = indexed(slim, [*keys, "tie"], keep=flags)
     require_rows(df, n)
     used = min(bins, n)
     size = n // used
@@ -393,11 +378,11 @@ def missing_status(columns: DataFrame) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, column: str, closed_last: bool = False) -> DataFrame:
-    """Rows (bin, low, high, n) of ``column`` in at most eight equal bins ``[low, high)``.
+def histogram(df: DataFrame, column: str, closed_last: bool = True) -> DataFrame:
+    """Rows (bin, low, high, n) of ``column`` in at most eight equal bins ``[low, high)``; the last holds the maximum too.
 
-    The bin count is sqrt(n) up to 8 and may be fractional; then the last bin reaches past the maximum.
-    When it is whole the maximum itself lies outside, unless ``closed_last``.
+    The bin count is sqrt(n) up to 8 and may be fractional; then the last bin reaches past the maximum. For parity,
+    ``closed_last=False`` leaves the maximum out when the count is whole.
     """
     df = normalize(df.select(col(column)))
     x = as_double(column)

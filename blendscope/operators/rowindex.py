@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import sys
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, col
@@ -14,6 +14,11 @@ from ..session import agg_row, local_table, materialize
 PARTITION_BITS = 33  # monotonically_increasing_id() keeps the partition above this many row bits
 
 
+def tie_digest(df: DataFrame) -> Column:
+    """Digest of all columns: a repeatable order among rows that the keys do not tell apart."""
+    return F.xxhash64(*[col(c) for c in df.columns])
+
+
 def indexed(df: DataFrame, order_by, name: str = "_idx", keep=None) -> tuple:
     """(``df`` with a dense 0-based position in ``order_by`` order, row count).
 
@@ -26,8 +31,7 @@ def indexed(df: DataFrame, order_by, name: str = "_idx", keep=None) -> tuple:
         raise ValueError("row positions need order_by columns")
     keys = [col(k) if isinstance(k, str) else k for k in order_by]
     columns = list(df.columns) if keep is None else list(keep)
-    tie = F.xxhash64(*[col(c) for c in df.columns])
-    ordered = df.orderBy(*keys, tie).withColumn("_mid", F.monotonically_increasing_id())
+    ordered = df.orderBy(*keys, tie_digest(df)).withColumn("_mid", F.monotonically_increasing_id())
     stored = materialize(ordered.select(*[col(c) for c in columns], "_mid"), "rowindex")
     stored = stored.withColumn("_part", F.shiftright("_mid", PARTITION_BITS))
 

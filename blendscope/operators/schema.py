@@ -67,8 +67,28 @@ def column_presence(tables: dict) -> DataFrame:
     )
 
 
+def separate_cases(*tables: DataFrame) -> list:
+    """The tables with names that differ in case only numbered (``id``, ``Id_2``); the first spelling keeps its name.
+
+    Spark resolves names without regard to case and would take such columns for one.
+    """
+    spelled, renamed = {}, {}
+    for df in tables:
+        for c in df.columns:
+            spelled.setdefault(c.lower(), c)
+    for df in tables:
+        for c in df.columns:
+            if spelled[c.lower()] != c and c not in renamed:
+                n = 2
+                while f"{c}_{n}".lower() in spelled:
+                    n += 1
+                renamed[c] = spelled[f"{c}_{n}".lower()] = f"{c}_{n}"
+    return [df.toDF(*[renamed.get(c, c) for c in df.columns]) if renamed else df for df in tables]
+
+
 def align(a: DataFrame, b: DataFrame) -> tuple:
     """Both tables with the same columns, sorted by name; absent ones are NULL."""
+    a, b = separate_cases(a, b)
     names = sorted(set(a.columns) | set(b.columns))
 
     def widen(df, other):
@@ -117,6 +137,7 @@ def same_kind(a: DataFrame, b: DataFrame, name: str) -> bool:
 
 def to_common_types(a: DataFrame, b: DataFrame) -> tuple:
     """Cast common columns whose types cannot be unioned to text on both sides."""
+    a, b = separate_cases(a, b)
     clash = []
     for c in common_columns(a, b):
         ta, tb = dtype_of(a, c), dtype_of(b, c)

@@ -43,16 +43,18 @@ def cards(sources: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def upsert_history(history: DataFrame, new: DataFrame, key=None) -> DataFrame:
-    """Latest row per (file_a, file_b, strategy) with ``first_seen``, which is the place in the list.
+    """Latest row per (file_a, file_b, strategy) with ``first_seen``, which is the place in the list; of equal
+    times the new one.
 
     An aggregate, so that a key with very many entries shrinks before it is shuffled.
     """
     keys = HISTORY_KEY if key is None else list(key)
     if "first_seen" not in history.columns:
         history = history.withColumn("first_seen", F.col("ts"))
-    rows = history.unionByName(new.withColumn("first_seen", F.col("ts")))
-    rest = [c for c in rows.columns if c not in (*keys, "ts", "first_seen")]
-    latest = F.max(F.struct("ts", *rest)).alias("_last")
+    rows = history.withColumn("_new", F.lit(0)).unionByName(
+        new.withColumn("first_seen", F.col("ts")).withColumn("_new", F.lit(1)))
+    rest = [c for c in rows.columns if c not in (*keys, "ts", "first_seen", "_new")]
+    latest = F.max(F.struct("ts", "_new", *rest)).alias("_last")
     return rows.groupBy(*keys).agg(latest, F.min("first_seen").alias("first_seen")).select(
         *keys, "_last.ts", *[F.col("_last").getField(c).alias(c) for c in rest], "first_seen")
 

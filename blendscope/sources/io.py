@@ -16,18 +16,21 @@ NA_TOKENS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-INTEGER_PATTERN = r"^[+-]?[0-9]{1,18}$"
+INTEGER_PATTERN = r"^[+-]?[0-9]+$"
+INFINITE_PATTERN = r"(?i)^[+-]?inf(inity)?$"
+EXACT_DIGITS = r"^[+-]?0*[0-9]{1,15}$"  # integers that a double holds exactly
 
 
-def read_csv(spark: SparkSession, path, schema=None, na_tokens=None) -> DataFrame:
+def read_csv(spark: SparkSession, path, schema=None, na_tokens=None, multi_line: bool = False) -> DataFrame:
     """Read delimited text with a header; every NA token becomes NULL and types follow the values.
 
-    Give ``schema`` on large data: it saves the inference pass.
+    Give ``schema`` on large data: it saves the inference pass. ``multi_line`` allows line breaks inside quotes, at the
+    price that a file is no longer split.
     """
     tokens = NA_TOKENS if na_tokens is None else list(na_tokens)
-    raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=False)
+    raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line)
     text = raw.select(*[
-        F.when(~F.trim(col(c)).isin(tokens), col(c)).alias(c) for c in raw.columns
+        F.when(~col(c).isin(tokens), col(c)).alias(c) for c in raw.columns
     ])
     if schema is not None:
         want = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -37,13 +40,17 @@ def read_csv(spark: SparkSession, path, schema=None, na_tokens=None) -> DataFram
 
 
 def infer_types(text: DataFrame) -> DataFrame:
-    """Give each text column the narrowest of bigint, double, boolean, string that loses nothing."""
+    """Give each text column the narrowest of bigint, double, boolean, string that loses nothing.
+
+    A column with an integer beyond bigint, or with longer integers than a double holds among fractions, stays text.
+    """
     tests = {}
     for c in text.columns:
         v = F.trim(col(c))
         tests[c, "n"] = F.count(col(c))
-        tests[c, "bigint"] = F.count_if(v.rlike(INTEGER_PATTERN))
-        tests[c, "double"] = F.count_if(v.rlike(NUMBER_PATTERN))
+        whole = v.rlike(INTEGER_PATTERN)
+        tests[c, "bigint"] = F.count_if(whole & v.try_cast("bigint").isNotNull())
+        tests[c, "double"] = F.count_if((v.rlike(NUMBER_PATTERN) | v.rlike(INFINITE_PATTERN)) & (~whole | v.rlike(EXACT_DIGITS)))
         tests[c, "boolean"] = F.count_if(F.lower(v).isin("true", "false"))
     found = agg_row(text, tests)
     out = []

@@ -119,15 +119,11 @@ def e3(spark, sf):
 
 @register("e4_recommendation", f"""with {PAIRS_SQL} select dataset_a, dataset_b, recommendation, strategy as
     suggested_strategy, est as estimated_fused_quality, gain + 0.0e0 as fusion_gain_score,
-    round(confidence, 4) as confidence from ({RULED})""")
+    round(confidence, 1) as confidence_score from ({RULED})""")
 def e4(spark, sf):
-    found = recommend.rules(pairs(spark, sf))
-    sure = F.when(F.col("recommendation") == "FUSE", F.least(
-        F.lit(98.0), 50.0 + F.col("comp_score") * 0.4 + F.greatest(F.lit(0.0), "fusion_gain_score") * 2.0)).otherwise(
-        F.least(F.lit(95.0), 60.0 + F.abs(F.col("q_a") - F.col("q_b")) + (40.0 - F.col("comp_score"))))
-    return found.select(
+    return recommend.rules(pairs(spark, sf)).select(
         "dataset_a", "dataset_b", "recommendation", "suggested_strategy", "estimated_fused_quality",
-        (F.col("fusion_gain_score") + 0.0).alias("fusion_gain_score"), F.round(sure, 4).alias("confidence"))
+        (F.col("fusion_gain_score") + 0.0).alias("fusion_gain_score"), "confidence_score")
 
 
 def sql_text(template, *parts):
@@ -292,11 +288,33 @@ def r8(spark, sf):
         test.select("o_orderkey", F.lit("test").alias("part")))
 
 
+COPIES = """(select *, md5(concat_ws('|', l_returnflag, l_linestatus, cast(l_linenumber as varchar), '42')) as digest,
+    row_number() over (partition by l_returnflag, l_linestatus, l_linenumber order by 1) as copy from li_dup)"""
+COPY_DIGEST = "case when copy = 1 then digest else md5(digest || '|' || cast(copy as varchar)) end"
+
+
+@register("r6_stable_sample_repeats", with_views("li_dup", f"""select l_returnflag, l_linestatus, l_linenumber, count(*) as n
+    from (select * from {COPIES} order by {COPY_DIGEST} limit 1000) group by all"""))
+def r6_repeats(spark, sf):
+    return ml.stable_sample(view(spark, sf, "li_dup"), 1000).groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(
+        F.count("*").alias("n"))
+
+
+@register("r8_split_repeats", with_views("li_dup", f"""select l_returnflag, l_linestatus, l_linenumber, count(*) filter (
+    cast('0x' || substr({COPY_DIGEST}, 1, 8) as bigint) % 10000 < 8000) as n_train, count(*) filter (
+    cast('0x' || substr({COPY_DIGEST}, 1, 8) as bigint) % 10000 >= 8000) as n_test from {COPIES} group by all"""))
+def r8_repeats(spark, sf):
+    train, test = ml.split(view(spark, sf, "li_dup"))
+    both = train.withColumn("part", F.lit(1)).unionByName(test.withColumn("part", F.lit(0)))
+    return both.groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(
+        F.count_if(F.col("part") == 1).alias("n_train"), F.count_if(F.col("part") == 0).alias("n_test"))
+
+
 @register("m3_train_recommender")
 def m3(spark, sf):
     data = pairs(spark, sf)
     train, test = ml.split(data, key=["dataset_b"])
-    models = ml.train_recommender(train, trees=10, depth=6)
+    models = ml.train_recommender(train)
     judged = recommend.rules(test).select("dataset_b", F.col("recommendation").alias("label"))
     guessed = ml.predict(models, test).select("dataset_b", F.col("recommendation").alias("guess"))
     return rounded(ml.evaluate(judged.join(guessed, "dataset_b"), "label", "guess"))
@@ -305,7 +323,7 @@ def m3(spark, sf):
 @register("m6_model_recommend")
 def m6(spark, sf):
     data = pairs(spark, sf)
-    models = ml.train_recommender(data, trees=10, depth=6)
+    models = ml.train_recommender(data)
     return ml.recommend(models, data).select(
         "dataset_a", "dataset_b", "recommendation", "suggested_strategy", "confidence_score", "fusion_gain_score",
         F.array_join("reasoning", " ~ ").alias("reasoning"))

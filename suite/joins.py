@@ -383,10 +383,23 @@ def c11(spark, sf):
         view(spark, sf, "ev_null"), view(spark, sf, "ord_null"), ["event_id"], ["event_id"]))
 
 
+WIDE = ("id", "group_id", "mix", "price", "trend")
+
+
+@register("c11_complementarity_wide", with_views(["ord_wide", "cust_wide"], f"""with
+    a as (select *, row_number() over (order by id) as rn from ord_wide),
+    b as (select *, row_number() over (order by id) as rn from cust_wide)
+    select round(avg(s), 4) as complementarity_score, 0 as unique_cols_a, 0 as unique_cols_b,
+      cast(count(s) as integer) as compared_pairs
+    from ({union_all([paired_corr(x, y) for x in WIDE for y in WIDE])})"""))
+def c11_wide(spark, sf):
+    return rounded(compat.complementarity(view(spark, sf, "ord_wide"), view(spark, sf, "cust_wide"), ["id"], ["id"]))
+
+
 @register("c1_c5_compare_catalog")
 def compare_catalog(spark, sf):
     tables = {n: view(spark, sf, n) for n in ("cust_a", "ord_b", "supp_null_key")}
-    return rounded(compat.compare_all(tables))
+    return rounded(compat.compare_all(tables, {"cust_a": ["id"], "ord_b": ["id", "balance"], "supp_null_key": ["balance"]}))
 
 
 # ---------------------------------------------------------------- end to end

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blendscope import plans, profile, quality, rowindex
 from blendscope.session import local_table
 
-from .views import union_all, view, with_views
+from .views import table, union_all, view, with_views
 
 QUERIES, ORACLES = {}, {}
 
@@ -218,15 +221,25 @@ def a14(spark, sf):
     return profile.missing_status(profile.column_profile(view(spark, sf, "sparse")))
 
 
-@register("a15_histogram", with_views("ev_null", """select cast(i as integer) as bin, round(low + i * size, 4) as low,
+def histogram_sql(last):
+    """Bins of ev_null.value; ``last`` says which further values the last bin holds."""
+    return with_views("ev_null", f"""select cast(i as integer) as bin, round(low + i * size, 4) as low,
     round(low + i * size + size, 4) as high, (select count(*) from ev_null where value >= low + i * size
-      and value < low + i * size + size) as n
-    from (select min(value) as low, (max(value) - min(value)) / least(8, sqrt(count(value))) as size,
-      ceil(least(8, sqrt(count(value)))) as w from ev_null), range(8) t(i) where i < w"""))
+      and (value < low + i * size + size or {last})) as n
+    from (select min(value) as low, max(value) as top, (max(value) - min(value)) / least(8, sqrt(count(value))) as size,
+      ceil(least(8, sqrt(count(value)))) as w from ev_null), range(8) t(i) where i < w""")
+
+
+@register("a15_histogram", histogram_sql("i = w - 1"))
 def a15(spark, sf):
     return rounded(profile.histogram(view(spark, sf, "ev_null"), "value"))
 
 
+@register("a15_histogram_open", histogram_sql("false"))
+def a15_open(spark, sf):
+    return rounded(profile.histogram(view(spark, sf, "ev_null"), "value", closed_last=False))
+
+
 @register("a17_metadata", with_views("labels_v", f"""select count(*) as n_rows, 7 as n_cols,
     'o_orderkey,o_totalprice,day,day_gap,flag,priority,ts' as columns,
     'Integer,Float,Datetime,Categorical/String,Boolean,Categorical/String,Datetime' as labels,
@@ -301,15 +314,18 @@ def q7(spark, sf):
         "size_text": "double", "p_retailprice": "double"}).select("data_type_validity"))
 
 
-@register("q9_quality_v2", with_views(["cust_a", "ev_null"], union_all([
+@register("q9_quality_v2", with_views(["cust_a", "ev_null", "str_date"], union_all([
     f"""select '{t}' as dataset, count(*) as n_rows, {r(f"({miss}) / ({w}.0e0 * count(*))")} as missing_ratio,
-    {r(f"greatest(0, least(100, 100 - 50.0e0 * ({miss}) / ({w}.0e0 * count(*)) - case when count(*) < 50 then 30 when count(*) < 100 then 15 else 0 end + 10))")}
-    as quality_score from {t}""" for t, w, miss in (
-        ("cust_a", 5, "count(*) - count(balance)"),
-        ("ev_null", 4, "2 * count(*) - count(value) - count(event_type)"))])))
+    {r(f"greatest(0, least(100, 100 - 50.0e0 * ({miss}) / ({w}.0e0 * count(*)) - case when count(*) < 50 then 30 when count(*) < 100 then 15 else 0 end + {tilt}))")}
+    as quality_score from {t}""" for t, w, miss, tilt in (
+        ("cust_a", 5, "count(*) - count(balance)", 10),
+        ("ev_null", 4, "2 * count(*) - count(value) - count(event_type)", 10),
+        ("str_date", 3, "0", -10), ("nation", 3, "0", 10), ("region", 2, "0", 10))])))
 def q9(spark, sf):
-    parts = [quality.score_v2(view(spark, sf, t)).select(F.lit(t).alias("dataset"), "*") for t in ("cust_a", "ev_null")]
-    return rounded(parts[0].unionByName(parts[1]))
+    frames = {t: view(spark, sf, t) for t in ("cust_a", "ev_null", "str_date")} | {
+        t: table(spark, sf, t) for t in ("nation", "region")}
+    parts = [quality.score_v2(df).select(F.lit(t).alias("dataset"), "*") for t, df in frames.items()]
+    return rounded(reduce(DataFrame.unionByName, parts))
 
 
 # ---------------------------------------------------------------- positions and quantiles

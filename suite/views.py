@@ -41,6 +41,12 @@ VIEWS = {
     "ord_null": ("orders", [
         "o_orderkey as event_id", "case when o_orderkey % 3 = 0 then null else o_totalprice end as value",
         "o_orderstatus as status"]),
+    "ord_wide": ("orders", [
+        "o_orderkey as id", "o_custkey as group_id", "o_totalprice + o_custkey * 100.0e0 as mix", "o_totalprice as price",
+        "o_orderkey * 2.0e0 + o_custkey as trend"]),
+    "cust_wide": ("customer", [
+        "c_custkey as id", "c_nationkey as group_id", "c_acctbal - c_custkey * 50.0e0 as mix", "c_acctbal as price",
+        "c_custkey * 3.0e0 + c_nationkey as trend"]),
     "ord_pos": ("orders", [
         "o_orderkey as id", "o_totalprice as balance", "o_orderstatus as status"]),
     "str_num": ("lineitem", [

@@ -124,7 +124,7 @@ def test_histogram_fractional_width_and_closed_end(spark):
     ten = spark.range(10).select(F.col("id").cast("double").alias("x"))
     assert [r["n"] for r in profile.histogram(ten, "x").orderBy("bin").collect()] == [3, 3, 3, 1]
     many = spark.range(64).select(F.col("id").cast("double").alias("x"))
-    assert sum(r["n"] for r in profile.histogram(many, "x").collect()) == 63
+    assert sum(r["n"] for r in profile.histogram(many, "x", closed_last=False).collect()) == 63
     assert sum(r["n"] for r in profile.histogram(many, "x", closed_last=True).collect()) == 64
     same = spark.range(10).select(F.lit(2.0).alias("x"))
     assert profile.histogram(same, "x").orderBy("bin").first()["n"] == 10
@@ -451,3 +451,81 @@ def test_study_of_several_tables(spark):
     assert 0 <= row["overall_score"] <= 100 and found["quality"].count() == 2
     with pytest.raises(ValueError):
         plans.study_fusion({"a": a}, {"a": ["id"]})
+
+
+# ---------------------------------------------------------------- rows, copies, ties, cases
+
+def test_sample_and_split_take_rows_not_distinct_values(spark):
+    two = local_table(spark, [("a", 1)] * 400 + [("b", 2)] * 100, "x string, y int")
+    assert ml.stable_sample(two, 200).count() == 200
+    train, test = ml.split(two)
+    assert train.count() + test.count() == 500 and 60 < test.count() < 140
+    lift = ml.fusion_lift(two, two, target="y", regressor=ml.boosted_trees(rounds=2))
+    assert {r.arm for r in lift.collect()} <= {"a_only", "b_only", "fused"}
+
+
+def test_empty_side_of_a_split_gives_no_score(spark, monkeypatch):
+    df = local_table(spark, [(float(i), 1.0) for i in range(30)], "x double, y double")
+    monkeypatch.setattr(ml, "split", lambda data, share, seed: (data, data.where("false")))
+    assert ml.score_arm(df, "y") is None
+
+
+def test_new_history_entry_wins_on_equal_time(spark):
+    schema = "file_a string, file_b string, strategy string, ts string, gain double"
+    old = local_table(spark, [("a", "b", "union", "2026-01-01", 9.0)], schema)
+    new = local_table(spark, [("a", "b", "union", "2026-01-01", 0.7)], schema)
+    assert catalog.upsert_history(old, new).first()["gain"] == 0.7
+
+
+def test_null_bins_of_a_constant_key_are_mixed(spark):
+    df = local_table(spark, [(1, i, None if i % 2 else float(i)) for i in range(4000)], "k int, i int, x double")
+    shares = [r.null_percent for r in profile.null_heatmap(df, ["k"], bins=4).where("column = 'x'").collect()]
+    assert len(shares) == 4 and all(40 < s < 60 for s in shares)
+
+
+def test_names_that_differ_in_case_only(spark):
+    a = local_table(spark, [(1, 2.0)], "Id int, v double")
+    b = local_table(spark, [("x", 2.0)], "id string, v double")
+    merged = fuse.merge_many({"a": a, "b": b})
+    assert {c.lower() for c in merged.columns} == {"id", "v", "id_2"}
+    assert len(fuse.union(a, b).columns) == 3
+
+
+def test_long_integers_and_infinities_lose_nothing(spark, tmp_path):
+    text = local_table(spark, [("1234567890123456789", "99999999999999999999", "inf", "1.5"),
+                               ("1234567890123456788", "1", "-Infinity", "1234567890123456789")], "a string, b string, c string, d string")
+    typed = io.infer_types(text)
+    assert [t for _, t in typed.dtypes] == ["bigint", "string", "double", "string"]
+    assert typed.select("a").distinct().count() == 2
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('a,b\n1,"two\nlines"\n')
+    assert io.read_csv(spark, str(tmp_path / "x.csv"), multi_line=True).collect() == [(1, "two\nlines")]
+
+
+def test_one_rule_for_flat_columns(spark):
+    """A column without variance where its partner has values gives 0, whatever the number of columns."""
+    rows = [(1e9 if i % 2 else 1e9 + i, float(i) if i % 2 else None, float(i * i)) for i in range(100)]
+    few = local_table(spark, rows, "x double, y double, z double")
+    wide = few.selectExpr("*", *[f"z * {k} + y as c{k}" for k in range(1, 30)])
+    small, large = ({(r.col_x, r.col_y): r.r for r in profile.correlation(df).collect()} for df in (few, wide))
+    assert small["x", "y"] == large["x", "y"] == 0.0
+    assert small["x", "z"] == pytest.approx(large["x", "z"])
+
+
+def test_complementarity_reads_all_columns(spark):
+    df = local_table(spark, [(i, float(i % 7), float(i % 5), float(i % 3), float(i % 11)) for i in range(50)],
+                     "id int, a double, b double, c double, d double")
+    assert compat.complementarity(df, df, ["id"], ["id"]).first()["compared_pairs"] == 25
+    assert compat.complementarity(df, df, ["id"], ["id"], per_side=3).first()["compared_pairs"] == 9
+
+
+def test_missing_order_is_the_only_error_compare_forgives(spark, monkeypatch):
+    a = local_table(spark, [(1, None), (2, 1.0)], "id int, x double")
+    assert compat.compare(a, a).first()["missing_value_overlap"] is None
+    def broken(*_, **__):
+        raise ValueError("other")
+    monkeypatch.setattr(compat, "missing_overlap", broken)
+    with pytest.raises(ValueError):
+        compat.compare(a, a, order_a=["id"], order_b=["id"])
