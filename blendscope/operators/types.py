@@ -26,17 +26,40 @@ DATE_LAYOUTS = {
     "dd/MM/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
     "dd-MM-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
     "dd.MM.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
+    "yyyy-MM-dd HH:mm": r"^\d{4}-\d{1,2}-\d{1,2} \d{2}:\d{2}$",
+    "yyyy/MM/dd HH:mm:ss": r"^\d{4}/\d{1,2}/\d{1,2} \d{2}:\d{2}:\d{2}$",
+    "MM/dd/yyyy HH:mm": r"^\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}$",
+    "MM/dd/yyyy HH:mm:ss": r"^\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}:\d{2}$",
+    "MM/dd/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+    "dd/MM/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+    "dd-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
+    "MMM-dd-yyyy": r"^[A-Za-z]{3}-\d{1,2}-\d{4}$",
+    "dd-MMM-yy": r"^\d{1,2}-[A-Za-z]{3}-\d{2}$",
 }
 
+# Fixed value: ISO instants with fractions or a zone, which a cast reads; zones are turned to the session's.
+ISO = "iso"
+DATE_LAYOUTS[ISO] = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)? ?(Z|[+-]\d{2}:\d{2})?$"
+
 # A text column becomes numeric below this share of new NULLs, a date above this share.
 MAX_NEW_NULLS = 0.10
 MIN_DATES = 0.80
 
 
 def parse_date(text, layout: str):
+    """Timestamp of a text in a layout, NULL otherwise. Two-digit years lie in 1969 to 2068."""
     trimmed = F.trim(text)
-    single = layout.replace("MM", "M").replace("dd", "d")
-    return F.when(trimmed.rlike(DATE_LAYOUTS[layout]), F.try_to_timestamp(trimmed, F.lit(single)))
+    if layout == ISO:
+        return F.when(trimmed.rlike(DATE_LAYOUTS[ISO]), trimmed.try_cast("timestamp"))
+    shown, single = trimmed, layout.replace("dd", "d")
+    if "MMM" in layout:  # month names are read with a capital, which needs spaces between the parts
+        shown, single = F.initcap(F.replace(trimmed, F.lit("-"), F.lit(" "))), single.replace("-", " ")
+    else:
+        single = single.replace("MM", "M")
+    found = F.try_to_timestamp(shown, F.lit(single))
+    if single.count("y") == 2:
+        found = F.when(F.year(found) > 2068, found - F.make_ym_interval(F.lit(100))).otherwise(found)
+    return F.when(trimmed.rlike(DATE_LAYOUTS[layout]), found)
 
 
 def rich_label_dict(df: DataFrame) -> dict:
@@ -98,7 +121,8 @@ def binary_labels(df: DataFrame) -> DataFrame:
 def standardize(df: DataFrame) -> DataFrame:
     """Text that is nearly all numbers becomes double, text that is mostly dates becomes a timestamp.
 
-    One scan decides for all columns; each date column takes the layout that parses most values.
+    A first scan counts numbers and, by pattern alone, the shapes of dates; a second one parses only those columns and
+    layouts that can still pass. Each date column takes the layout that parses most values.
     """
     df = normalize(df)
     texts = string_names(df)
@@ -109,22 +133,25 @@ def standardize(df: DataFrame) -> DataFrame:
     for c in texts + flags:
         tests[c, "n"] = F.count(col(c))
     for c in texts:
-        separated = col(c).rlike(DATE_SEPARATOR_PATTERN)
         tests[c, "number"] = F.count(number(col(c)))
-        tests[c, "separator"] = F.count_if(separated)
-        for layout in DATE_LAYOUTS:  # only worth trying on short text with a separator
-            tests[c, layout] = F.count(F.when((F.length(col(c)) <= 40) & separated, parse_date(col(c), layout)))
-    seen = agg_row(df, tests, batch=60)
+        tests[c, "separator"] = F.count_if(col(c).rlike(DATE_SEPARATOR_PATTERN))
+        short = F.when(F.length(col(c)) <= 40, F.trim(col(c)))
+        for shape in dict.fromkeys(DATE_LAYOUTS.values()):
+            tests[c, shape] = F.count_if(short.rlike(shape))
+    seen = agg_row(df, tests)
     n = seen["*"]
+    numeric = {c for c in texts if n and seen[c, "number"] > 0 and (seen[c, "n"] - seen[c, "number"]) / n < MAX_NEW_NULLS}
+    worth = [(c, k) for c in texts for k, shape in DATE_LAYOUTS.items()
+             if n and c not in numeric and seen[c, "separator"] and seen[c, shape] / n > MIN_DATES]
+    parsed = agg_row(df, {p: F.count(parse_date(col(p[0]), p[1])) for p in worth}) if worth else {}
     out = []
     for f in df.schema.fields:
         c, expr = f.name, col(f.name)
         if n and c in texts:
-            lost = seen[c, "n"] - seen[c, "number"]
-            best = max(DATE_LAYOUTS, key=lambda k: seen[c, k])
-            if seen[c, "number"] > 0 and lost / n < MAX_NEW_NULLS:
+            best = max(DATE_LAYOUTS, key=lambda k: parsed.get((c, k), 0))
+            if c in numeric:
                 expr = number(expr)
-            elif seen[c, "separator"] and seen[c, best] / n > MIN_DATES:
+            elif parsed.get((c, best), 0) / n > MIN_DATES:
                 expr = parse_date(expr, best).cast("timestamp_ntz")
         elif n and c in flags and 0 < seen[c, "n"] < n:
             expr = expr.cast("double")

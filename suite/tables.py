@@ -67,19 +67,21 @@ def s6(spark, sf):
     return catalog.load(spark, path)
 
 
-@register("s7_catalog_cards", """with s as (select distinct source || '/' || lang as dataset from documents),
+@register("s7_catalog_cards", """with s as (select distinct source || '/' || lang as dataset from documents
+      union all select 'pages/' || regexp_extract(url, '^[a-z]+', 0) from pages group by 1),
     p as (select source || '/' || lang as dataset, sum(n_chars) || ' chars' as size,
       cast(round(100.0e0 * avg(quality), 2) as varchar) as quality_score
-      from documents join labels using (doc_id) where toxic = 1 group by 1)
+      from documents join labels using (doc_id) group by 1)
     select dataset, coalesce(size, 'N/A') as size, coalesce(quality_score, 'N/A') as quality_score
     from s left join p using (dataset)""")
 def s7(spark, sf):
     docs = table(spark, sf, "documents").select(
         "doc_id", F.concat_ws("/", "source", "lang").alias("dataset"), "n_chars")
-    stored = docs.join(table(spark, sf, "labels").where("toxic = 1"), "doc_id").groupBy("dataset").agg(
+    pages = table(spark, sf, "pages").select(F.concat(F.lit("pages/"), F.regexp_extract("url", "^[a-z]+", 0)).alias("dataset"))
+    stored = docs.join(table(spark, sf, "labels"), "doc_id").groupBy("dataset").agg(
         F.concat(F.sum("n_chars").cast("string"), F.lit(" chars")).alias("size_text"),
         (F.avg("quality") * 100.0).alias("quality_score"))
-    return catalog.cards(docs.select("dataset").distinct(), stored)
+    return catalog.cards(docs.select("dataset").distinct().unionByName(pages.distinct()), stored)
 
 
 # ---------------------------------------------------------------- sinks
@@ -325,6 +327,19 @@ def t1(spark, sf):
     return types.standardize(view(spark, sf, "str_num"))
 
 
+@register("t2_standardize_formats", """select o_orderkey, cast(date_trunc('day', o_orderdate) as timestamp) as month_name,
+    cast(date_trunc('day', o_orderdate) as timestamp) as short_year, date_trunc('minute', o_orderdate) + interval 9 hour as minutes,
+    date_trunc('day', o_orderdate) + interval 1500 millisecond as fractions, date_trunc('day', o_orderdate) - interval 2 hour as zone
+    from orders""")
+def t2_formats(spark, sf):
+    day = F.col("o_orderdate")
+    return types.standardize(table(spark, sf, "orders").select(
+        "o_orderkey", F.date_format(day, "dd-MMM-yyyy").alias("month_name"), F.date_format(day, "MM/dd/yy").alias("short_year"),
+        F.date_format(F.date_trunc("minute", day) + F.expr("interval 9 hours"), "yyyy-MM-dd HH:mm").alias("minutes"),
+        F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:01.500")).alias("fractions"),
+        F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00+02:00")).alias("zone")))
+
+
 @register("t2_standardize_date", with_views("str_date", "select o_orderkey, cast(d as timestamp) as d, d_bad from str_date"))
 def t2(spark, sf):
     return types.standardize(view(spark, sf, "str_date"))

@@ -529,3 +529,11 @@ def test_missing_order_is_the_only_error_compare_forgives(spark, monkeypatch):
     monkeypatch.setattr(compat, "missing_overlap", broken)
     with pytest.raises(ValueError):
         compat.compare(a, a, order_a=["id"], order_b=["id"])
+
+
+def test_exported_timestamps_are_read_back(spark, tmp_path):
+    stamped = spark.sql("select id, timestamp_ntz'1997-01-15 00:00:00' + make_interval(0, 0, 0, cast(id as int)) as ts from range(20)")
+    path = io.export(stamped, str(tmp_path / "out"), "csv")
+    back = types.standardize(io.read_csv(spark, path))
+    assert back.dtypes == [("id", "bigint"), ("ts", "timestamp_ntz")]
+    assert rows_of(back) == rows_of(stamped)
