@@ -40,7 +40,7 @@ BIN_BITS = BINS.bit_length() - 1
 PROBES = 512
 LEAST_ROUNDS = 3
 
-# A table of ids of at most so many rows (8 bytes each) may be broadcast; above, the join shuffles.
+# A table of ids or pairs of ids of at most so many rows (8 or 16 bytes each) may be broadcast; above, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 FEATURES = "doc_id bigint, n_shingles bigint, set_id binary, bands array<bigint>"
@@ -151,10 +151,10 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    needed = sets.join(few(nodes, nodes.count()), "node")
-    one, two = (needed.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
+    # Each side gets its sets from one scan; below the limit only the sets needed are shuffled, to meet each other.
+    sent = few(pairs, pairs.count())
+    one, two = (sets.join(sent, F.col("node") == F.col(c)).select("a", "b", F.col("shingles").alias(f"set_{c}")) for c in "ab")
+    return one.join(two, ["a", "b"]).mapInArrow(run, "a bigint, b bigint")
 
 
 def star_pairs(buckets: DataFrame, turn: int) -> DataFrame:
