@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, col, is_numeric, numeric_names, string_names
 from ..functions.values import ratio
-from ..session import agg_row, local_table, materialize
+from ..session import agg_row, local_table, materialize, together
 from .clean import drop_sparse_columns, impute, target_rows
 from .profile import deviation, number_facts
 from .recommend import FEATURES, features, rules, with_gain
@@ -325,16 +325,13 @@ def fusion_lift(a: DataFrame, b: DataFrame, target: str = None, regressor=None,
     target = target or next(iter([*numeric_names(ready_a), *numeric_names(ready_b)]), None)
     if target is None:
         raise ValueError("no numeric target column found")
-    rows = []
-    for arm, df in (("a_only", ready_a), ("b_only", ready_b)):
-        got = score_arm(df, target, regressor, seed) if target in df.columns else None
-        if got:
-            rows.append((arm, *got, None, target))
     shared = [c for c in common_columns(ready_a, ready_b) if c != target]
+    arms = {name: (df, None, False) for name, df in (("a_only", ready_a), ("b_only", ready_b)) if target in df.columns}
     if shared:
-        got = score_arm(fused_training_set(ready_a, ready_b, target), target, regressor, seed, scale=True)
-        if got:
-            rows.append(("fused", *got, len(shared), target))
+        arms["fused"] = (fused_training_set(ready_a, ready_b, target), len(shared), True)
+    scores = together(a.sparkSession, *[
+        lambda df=df, scale=scale: score_arm(df, target, regressor, seed, scale) for df, _, scale in arms.values()])
+    rows = [(arm, *got, width, target) for (arm, (_, width, _)), got in zip(arms.items(), scores) if got]
     return local_table(a.sparkSession, rows, LIFT)
 
 

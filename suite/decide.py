@@ -209,7 +209,7 @@ def e7(spark, sf):
 def e6_study(spark, sf):
     ev, orders = view(spark, sf, "ev_null"), view(spark, sf, "ord_null")
     found = plans.study_fusion({"events": ev, "orders": orders}, {"events": ["event_id"], "orders": ["event_id"]},
-                               target="value", regressor=ml.boosted_trees(rounds=5))
+                               target="value")
     return found["overall"].select("avg_quality", "avg_overlap", "avg_complementarity", "overall_score", "recommended")
 
 
@@ -376,7 +376,7 @@ def m7(spark, sf):
 @register("m8_fusion_lift")
 def m8(spark, sf):
     a, b = view(spark, sf, "ev_null"), view(spark, sf, "ord_null")
-    return rounded(ml.fusion_lift(a, b, target="value", regressor=ml.boosted_trees(rounds=10)))
+    return rounded(ml.fusion_lift(a, b, target="value"))
 
 
 @register("m9_improvement", """select o_orderkey, round(((o_orderkey % 1000) / 1000.0e0 - ((o_custkey % 997) / 1000.0e0
