@@ -3,6 +3,8 @@
 import random
 import zlib
 
+
+import numpy as np
 from blendscope.llm import toxicity
 from pyspark.sql import functions as F
 
@@ -53,3 +55,12 @@ def test_features_are_words_pairs_and_skips():
     one, two = toxicity.features(["a b c", "A, b! c"])
     assert one.tolist() == two.tolist() and len(one) == 3 + 2 + 1
     assert [len(f) for f in toxicity.features([None, "", "x", "x y"])] == [0, 0, 1, 3]
+
+
+def test_calibration_recovers_a_scale():
+    rng = np.random.default_rng(1)
+    sums = rng.normal(0, 1, 20_000)
+    labels = (rng.random(20_000) < 1 / (1 + np.exp(-(2 * sums - 1)))).astype(int)
+    scale, shift = toxicity.calibration(sums, labels)
+    assert abs(scale - 2) < 0.15 and abs(shift + 1) < 0.15
+    assert toxicity.calibration(sums, np.zeros(20_000, int)) == toxicity.calibration(np.zeros(0), np.zeros(0, int)) == (1.0, 0.0)
