@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import NESTED, col, is_string
 from ..functions.values import NUMBER_PATTERN, size_text
-from ..session import agg_row
+from ..session import agg_row, local_table
 
 # Text that means "no value" in a delimited file.
 NA_TOKENS = [
@@ -96,13 +96,12 @@ def preview(df: DataFrame, n: int = 5, order_by=None, as_text: bool = True) -> D
 
 
 def source_files(df: DataFrame) -> DataFrame:
-    """One row per file behind ``df``: path, size, modification time."""
-    meta = df.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_size").alias("size_bytes"),
-        F.col("_metadata.file_modification_time").alias("modified"),
-    )
-    return meta.groupBy("path").agg(F.max("size_bytes").alias("size_bytes"), F.max("modified").alias("modified"))
+    """One row per file behind ``df``: path, size, modification time. Files are listed; no row is read."""
+    files = df.inputFiles()
+    if not files:
+        return local_table(df.sparkSession, [], "path string, size_bytes bigint, modified timestamp")
+    return df.sparkSession.read.format("binaryFile").load(files).select(
+        "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
 
 
 def source_size(df: DataFrame) -> DataFrame:
