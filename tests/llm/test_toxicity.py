@@ -3,7 +3,6 @@
 import random
 import zlib
 
-
 import numpy as np
 from blendscope.llm import toxicity
 from pyspark.sql import functions as F
