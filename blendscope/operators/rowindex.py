@@ -57,7 +57,9 @@ def dense_index(df: DataFrame, order_by, name: str = "_idx") -> DataFrame:
 # ---------------------------------------------------------------- exact quantiles
 
 SMALL_COLUMN = 50_000  # up to this many values one percentile() buffer is the cheapest way
-BUCKETS = 1024  # equal-width buckets an interval is cut into per scan
+BUCKETS = 1024  # equal-width buckets an interval within two doublings is cut into per scan
+PER_DOUBLING = 32  # buckets per doubling in a wider interval
+ABOVE_ALL_STEPS = 40_000  # makes the step of the smallest double positive
 SMALL_BUCKET = 200_000  # a bucket with so few values is resolved value by value
 
 
@@ -67,7 +69,8 @@ def exact_quantiles(df: DataFrame, cols, probs, facts=None, small: int = SMALL_C
 
     Columns with at most ``small`` values use ``percentile``, whose buffer holds every distinct value.
     Longer ones are narrowed instead: a scan counts values per bucket, the bucket that holds a wanted
-    rank is cut again, until it holds one value or few. All columns and ranks share each scan, and only
+    rank is cut again, until it holds one value or few. The number of scans does not depend on how many
+    decades the values span: a first one leaves an interval within a doubling, each next one its 1024th part. All columns and ranks share each scan, and only
     counts per bucket are shuffled. ``facts`` = ``{column: (count, min, max)}`` saves a scan.
     """
     cols, probs = list(cols), list(probs)
@@ -136,7 +139,13 @@ def _bucket(x, low: float, high: float, by_value: bool):
     start, stop = (max(-sys.float_info.max, min(sys.float_info.max, v)) * 0.5 for v in (low, high))
     if by_value or stop <= start:
         return F.when(inside, x)
-    place = F.greatest(F.lit(-sys.float_info.max), F.least(F.lit(sys.float_info.max), x)) * 0.5
+    finite = F.greatest(F.lit(-sys.float_info.max), F.least(F.lit(sys.float_info.max), x))
+    small, large = sorted((abs(start), abs(stop)))
+    if start < 0 < stop or large > 4 * small:
+        # Steps that grow with the value: however many decades an interval spans, a step spans the 32nd part of a doubling.
+        step = F.floor(F.log2(F.abs(finite)) * PER_DOUBLING) + ABOVE_ALL_STEPS
+        return F.when(inside, F.when(x == 0, 0.0).otherwise(F.signum(x) * step))
+    place = finite * 0.5
     step = F.floor((place - start) * (BUCKETS / (stop - start))).cast("double")
     return F.when(inside, F.least(step, F.lit(BUCKETS - 1.0)))
 

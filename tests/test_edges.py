@@ -537,3 +537,15 @@ def test_exported_timestamps_are_read_back(spark, tmp_path):
     back = types.standardize(io.read_csv(spark, path))
     assert back.dtypes == [("id", "bigint"), ("ts", "timestamp_ntz")]
     assert rows_of(back) == rows_of(stamped)
+
+
+@pytest.mark.parametrize("decades", [1, 60, 300])
+def test_scans_for_quantiles_do_not_grow_with_decades(spark, monkeypatch, decades):
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, -1.0).otherwise(1.0).alias("s"), "id").select(
+        (F.col("s") * F.pow(F.lit(10.0), (F.col("id") % 9973) / 9973.0 * decades - decades / 2.0)).alias("x"))
+    scans = []
+    monkeypatch.setattr(rowindex, "local_table", lambda *a: scans.append(1) or local_table(*a))
+    got = rowindex.exact_quantiles(df, ["x"], [0.1, 0.5, 0.9], small=100, small_bucket=2000)["x"]
+    assert len(scans) <= 4
+    want = np.quantile(np.array([r.x for r in df.collect()]), [0.1, 0.5, 0.9])
+    assert got == pytest.approx(list(want), rel=1e-12)
