@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blendscope.session import materialize
+
 from .textvec import Texts
 
 SAMPLE = 400
@@ -399,8 +401,12 @@ def train(pages: list[str]) -> Labeller:
 
 
 def fit(pages: DataFrame) -> Labeller:
-    chosen = pages.select("page_id", "html").where("html is not null").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(SAMPLE)
-    return train([r["html"] for r in chosen.collect()])
+    """Fitted on the pages with the smallest hashes of their ids; ids are chosen first, so that only their pages move."""
+    ids = materialize(pages.where("html is not null and page_id is not null").select("page_id")
+                      .orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE), "page-sample").distinct()
+    rows = pages.where("html is not null").select("page_id", "html").join(F.broadcast(ids), "page_id").limit(4 * SAMPLE).collect()
+    rows.sort(key=lambda r: (r["page_id"], r["html"]))
+    return train([r["html"] for r in rows[:SAMPLE]])
 
 
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:
