@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -34,8 +36,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Lists of the open ``scratch`` blocks, innermost last; jobs side by side share them.
+_OWNERS: list[list[str]] = []
+
+
+@contextmanager
+def scratch():
+    """Delete, at the end of the block, the intermediate tables written in it.
+
+    Results are read from those tables, so write or collect them inside the block.
+    """
+    mine: list[str] = []
+    _OWNERS.append(mine)
+    try:
+        yield
+    finally:
+        _OWNERS.remove(mine)
+        for path in mine:
+            system, place = fs.FileSystem.from_uri(path)
+            if system.get_file_info(place).type == fs.FileType.Directory:
+                system.delete_dir(place)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/blendscope/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/blendscope/{label}-{uuid.uuid4().hex}"
+    if _OWNERS:
+        _OWNERS[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

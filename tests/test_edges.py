@@ -1,6 +1,7 @@
 """Edge cases, brute-force comparisons and properties that must hold for any table."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -11,7 +12,7 @@ from blendscope import (catalog, clean, compat, fuse, io, ml, plans, profile, qu
                         schema, types)
 from blendscope.functions.names import clean_name, name_ratio
 from blendscope.functions.values import metric_label, shorten, size_text
-from blendscope.session import local_table
+from blendscope.session import local_table, materialize, scratch
 
 
 def rows_of(df):
@@ -549,3 +550,13 @@ def test_scans_for_quantiles_do_not_grow_with_decades(spark, monkeypatch, decade
     assert len(scans) <= 4
     want = np.quantile(np.array([r.x for r in df.collect()]), [0.1, 0.5, 0.9])
     assert got == pytest.approx(list(want), rel=1e-12)
+
+
+def test_scratch_block_deletes_what_it_wrote(spark):
+    kept = materialize(spark.range(3), "kept")
+    with scratch():
+        df = materialize(spark.range(5), "gone")
+        assert df.count() == 5
+        files = df.inputFiles()
+    assert files and not [f for f in files if os.path.exists(f.removeprefix("file:").replace("///", "/"))]
+    assert kept.count() == 3
