@@ -9,8 +9,14 @@ them with a probability of about 5e-6.
 Copies with equal sets are grouped first; only one of each takes part. In every bucket one member is the centre and
 is compared with each other one, so pairs grow with the members, not with their square. Buckets that still hold several
 components after that get another centre, compared with the members of other components, and so on until a
-round finds no link, after ``LEAST_ROUNDS`` rounds at least. Nothing is capped: any bucket, however large, takes part
-in full, and a hot one is aggregated before the shuffle and split in joins.
+round finds no link, after ``LEAST_ROUNDS`` rounds at least.
+
+Members of buckets that hold several components even then meet in an exact prefix join: shingles of every set are ordered
+rare ones first, and a pair at 0.75 has a shingle in common within the first seventh of the smaller set and the first
+quarter of the larger one, at places that leave enough shingles behind them. So pairs that no centre linked are found,
+while members of one template, whose own shingles come first, do not meet. How rare a shingle is decides only the cost:
+it is read from counts per 2^20 hash ranges. Nothing is capped: any bucket, however large, takes part in full, and a hot
+one is aggregated before the shuffle and split in joins.
 
 Defined cases: null or empty text, or text of white space, has an empty set and is linked with nothing; fewer than
 five words are one shingle; rows with a null doc_id are linked with nothing, get a null component and are
@@ -39,6 +45,7 @@ BINS = ROWS * BANDS
 BIN_BITS = BINS.bit_length() - 1
 PROBES = 512
 LEAST_ROUNDS = 3
+RANGE_BITS = 20  # hash ranges in which shingles are counted, to put rare ones first
 
 # A table of ids or pairs of ids of at most so many rows (8 or 16 bytes each) may be broadcast; above, the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -171,6 +178,78 @@ def star_pairs(buckets: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
 
 
+def range_counts(sets: DataFrame) -> np.ndarray:
+    """Number of shingles of all sets per hash range; a fixed number of counts."""
+    def run(batches):
+        counts = np.zeros(1 << RANGE_BITS, np.int64)
+        for batch in batches:
+            values = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0)]
+            if values:
+                counts += np.bincount((np.concatenate(values) >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        for first in range(0, len(at), 50_000):
+            part = at[first:first + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["slot", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << RANGE_BITS, np.int64)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def rare_shingles(members: DataFrame, counts: np.ndarray) -> DataFrame:
+    """The first quarter of each set of (node, n, label, shingles), rare shingles first, without those of one set only."""
+    sent = members.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                tokens, places = [], []
+                for x in part.column(3):
+                    values = np.frombuffer(x.as_buffer(), np.uint64)
+                    times = sent.value[(values >> np.uint64(64 - RANGE_BITS)).astype(np.int64)]
+                    order = np.lexsort((values, times))[:len(values) // 4 + 1]
+                    kept = np.flatnonzero(times[order] > 1)
+                    tokens.append(values[order[kept]])
+                    places.append(kept)
+                sizes = [len(t) for t in tokens]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places))]
+                    + [pa.array(np.repeat(part.column(i).to_numpy(), sizes)) for i in range(3)],
+                    names=["token", "place", "node", "n", "label"])
+
+    return members.select("node", "n", "label", "shingles").mapInArrow(
+        run, "token bigint, place bigint, node bigint, n bigint, label bigint")
+
+
+def prefix_pairs(buckets: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Pairs (a < b) of different components, among the members of buckets with several, that can still be similar enough.
+
+    Of a shingle's members those of its commonest component meet only the others, so a large component costs no square.
+    """
+    mixed = buckets.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    open_nodes = materialize(buckets.join(mixed.select("band"), "band").select("node", "n", "label").distinct(), "open-nodes")
+    n = open_nodes.count()
+    if not n:
+        return None
+    members = materialize(sets.join(few(open_nodes, n), "node"), "open-sets")
+    spread = materialize(rare_shingles(members, range_counts(members)), "rare-shingles")
+    shared = (spread.groupBy("token", "label").agg(F.count("*").alias("times")).groupBy("token")
+              .agg(F.max(F.struct("times", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+              .select("token", F.col("top.label").alias("top")))
+    rows = materialize(spread.join(shared, "token"), "shared-shingles")
+    one = rows.where("7 * place <= n").select("token", F.expr("int(label = top)").alias("side"),
+                                              F.struct("node", "n", "label", "place").alias("x"))
+    two = rows.select("token", F.explode(F.expr("if(label = top, array(0), array(0, 1))")).alias("side"),
+                      F.struct("node", "n", "label", "place").alias("y"))
+    # A pair at SIMILAR has at least 3/7 of both sizes in common, and nothing in common before its first shared shingle.
+    pairs = one.join(two, ["token", "side"]).where(
+        f"""x.label != y.label and (x.n < y.n or x.n = y.n and x.node < y.node)
+        and {100 + SIMILAR} * least(x.n - x.place, y.n - y.place) >= {SIMILAR} * (x.n + y.n)""")
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest linked doc_id), kept (it is that one)."""
     known = materialize(features(docs), "features")
@@ -204,6 +283,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         named = buckets.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         buckets = materialize(named.select("band", "node", "n", "label"), "buckets")
 
+    pairs = prefix_pairs(buckets, sets)
+    if pairs is not None:
+        compared = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
+        found = materialize(confirm(materialize(compared, "pairs"), sets), "confirmed")
+        if not found.isEmpty():
+            labels = components(found if links is None else links.unionByName(found))
+
     out = known.select("doc_id", "n_shingles", "set_id").join(copies, "set_id", "left")
     if labels is not None:
         out = out.join(labels, F.col("rep") == F.col("node"), "left")

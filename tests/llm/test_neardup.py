@@ -61,6 +61,20 @@ def test_chains_groups_and_shared_passages(frame):
     compare(frame([(i * 3, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string").repartition(5))
 
 
+def test_pairs_on_one_template_whose_members_were_never_a_centre(frame):
+    rng = random.Random(8)
+    def words(n):
+        return ["w%d" % rng.randrange(1 << 40) for _ in range(n)]
+    template = words(204)
+    docs = [template + words(36) for _ in range(1000)]  # 200 of 272 shingles in common: no links
+    label = {i: i for i in range(1000)}
+    for i in range(40):  # 203 of 269: linked
+        docs.append(template + docs[i][204:207] + words(33))
+        label[1000 + i] = i
+    got = neardup.near_duplicates(frame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string").repartition(5))
+    assert {r.doc_id: r.component_id for r in got.collect()} == label
+
+
 def test_hard_rows(hard_docs):
     compare(hard_docs)
 
