@@ -1,7 +1,8 @@
 """A training corpus from raw documents: quality, near duplicates, personal data, mixture, packing.
 
 Each stage takes the documents its predecessor kept; all but the last return the columns of documents. The mixture's
-decision is the order of its rows: it writes them sorted, and packing takes them in the order of the files.
+decision is the order of its rows. Reading files does not keep an order, so packing works the places out again, from the same
+documents, and sorts by them: its tasks, and so its sequence ids, follow the mixture.
 """
 
 from __future__ import annotations
@@ -39,9 +40,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens, packed in the order the mixture wrote."""
+    """Pieces of sequences of at most 2048 tokens, packed in the order of the mixture whatever order the files are read in."""
     prepare(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    return packing.pack(mixing.mixed(docs), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
 STAGES = [

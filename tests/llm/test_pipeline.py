@@ -7,8 +7,9 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
-from blendscope.llm import pii, quality
+from blendscope.llm import mixing, pii, quality
 from blendscope.session import materialize
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .test_neardup import brute_force
@@ -66,3 +67,22 @@ def test_run_equals_its_stages(spark, stages):
     def total(df):
         return sorted((r.doc_id, r.n) for r in df.groupBy("doc_id").agg({"length": "sum"}).toDF("doc_id", "n").collect())
     assert total(corpus_pipeline.run(spark, SF)) == total(stages[5])
+
+
+def test_packing_follows_the_mixture_whatever_files_it_reads(spark, frame):
+    rows = [(i, "w " * (20_000 + i), "abc"[i % 7 % 3]) for i in range(60)]
+    mixed = mixing.mixed(frame(rows, "doc_id bigint, text string, source string"))
+    rank = {r.doc_id: i for i, r in enumerate(mixed.select("doc_id").collect())}
+    shuffled = materialize(mixed.repartitionByRange(6, F.xxhash64("doc_id")), "shuffled")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pieces = corpus_pipeline.pack(spark, shuffled, SF).where(f"sequence_id < {1 << 62}").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    tasks = collections.defaultdict(set)
+    for p in pieces:
+        tasks[rank[p.doc_id]].add(p.sequence_id >> 33)
+    assert all(len(t) == 1 for t in tasks.values()) and len(set.union(*tasks.values())) > 2
+    in_order = [min(tasks[r]) for r in sorted(tasks)]
+    assert in_order == sorted(in_order)
