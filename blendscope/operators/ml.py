@@ -21,6 +21,7 @@ from .rowindex import indexed
 from .schema import common_columns, to_common_types
 
 BROADCAST_BYTES = 32 << 20  # of all dictionaries of a call that go to every executor; the others are shuffled
+COPY_CHUNK = 10_000  # copies of a row dealt out at once
 
 
 # ---------------------------------------------------------------- samples and splits
@@ -30,10 +31,20 @@ def row_hash(columns, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", *[col(c).cast("string") for c in columns], F.lit(str(seed))))
 
 
-def numbered_copies(df: DataFrame, name: str = "_copy") -> DataFrame:
-    """``df`` with a number 1, 2, ... for the copies of equal rows: they are counted before the shuffle, then dealt out again."""
+def numbered_copies(df: DataFrame, name: str = "_copy", chunk: int = COPY_CHUNK) -> DataFrame:
+    """``df`` with a number 1, 2, ... for the copies of equal rows: they are counted before the shuffle, then dealt out again.
+
+    More than ``chunk`` copies are dealt out in chunks of so many, spread over all tasks.
+    """
     counted = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("_copies"))
-    return counted.withColumn(name, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).drop("_copies")
+    few = counted.where(F.col("_copies") <= chunk).withColumn("_first", F.lit(1).cast("bigint"))
+    many = counted.where(F.col("_copies") > chunk).withColumn(
+        "_first", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"), F.lit(chunk).cast("bigint"))))
+    # A number of partitions that is given is not made smaller for the few bytes of the chunks.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = many.repartition(tasks, row_hash(df.columns), "_first")
+    last = F.least(F.col("_copies"), F.col("_first") + (chunk - 1))
+    return few.unionByName(many).withColumn(name, F.explode(F.sequence("_first", last))).drop("_copies", "_first")
 
 
 def copy_hash(columns, seed: int, copy: str = "_copy") -> Column:

@@ -560,3 +560,12 @@ def test_scratch_block_deletes_what_it_wrote(spark):
         files = df.inputFiles()
     assert files and not [f for f in files if os.path.exists(f.removeprefix("file:").replace("///", "/"))]
     assert kept.count() == 3
+
+
+def test_many_copies_of_one_row_are_dealt_out_by_many_tasks(spark):
+    df = spark.range(400_000).select(F.when(F.col("id") < 350_000, 0).otherwise(F.col("id")).alias("v"))
+    numbered = ml.numbered_copies(df).withColumn("task", F.spark_partition_id())
+    hot = numbered.where("v = 0").groupBy("task").count().collect()
+    assert sum(r["count"] for r in hot) == 350_000 and max(r["count"] for r in hot) < 200_000
+    facts = numbered.where("v = 0").agg(F.count_distinct("_copy"), F.min("_copy"), F.max("_copy")).first()
+    assert tuple(facts) == (350_000, 1, 350_000) and numbered.count() == 400_000
