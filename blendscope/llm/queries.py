@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from blendscope.session import scratch_path
 
-from . import htmltext, mixing, neardup, packing, pii, quality, rans, search, toxicity, warc
+from . import balltree, divergence, htmltext, mixing, nbsvm, neardup, packing, pii, quality, rans, search, toxicity, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -211,3 +211,66 @@ def op9(spark, sf):
 def op7(spark, sf):
     pages = table(spark, sf, "pages")
     return htmltext.extract(pages, htmltext.fit(pages)).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+# ---------------------------------------------------------------- source divergence
+
+@register("op11_source_divergence", r"""
+    with d as (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+    t as (select rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+    c as (select lang, source, term, count(*) as n, count(distinct rid) as docs from t group by all),
+    k as (select lang, term, cast(sum(n) as bigint) as lang_n from c group by all having sum(docs) >= 30),
+    g as (select distinct lang, source from d),
+    v as (select lang, count(*) as v, sum(lang_n) as total from k group by lang),
+    s as (select lang, source, sum(n) as total from c semi join k using (lang, term) group by all),
+    h as (select g.lang, g.source, coalesce(s.total, 0) as total, v.v, v.total as lang_total
+          from g left join s using (lang, source) left join v using (lang)),
+    p as (select h.lang, h.source, k.term, coalesce(c.n, 0) as n,
+                 1 + (cast(1000000000 as hugeint) * (coalesce(c.n, 0) + 5)) // (h.total + 5 * h.v) as p,
+                 1 + (cast(1000000000 as hugeint) * (k.lang_n + 5)) // (h.lang_total + 5 * h.v) as q
+          from h join k using (lang) left join c on c.lang = h.lang and c.source = h.source and c.term = k.term),
+    f as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+          from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+    u as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(f.value, 0) as bigint) as value
+          from g a join g b on a.lang = b.lang and a.source <> b.source
+          left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+          union all select lang, source, 'term', term, cast(p - q as bigint) from p where n > 0 and p > q),
+    r as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from u)
+    select * from r where part = 'pair' or rank <= 50""")
+def op11(spark, sf):
+    return divergence.audit(table(spark, sf, "documents"), least_docs=30, terms=50)
+
+
+# ---------------------------------------------------------------- ranked search
+
+@register("op12_ball_tree_search", r"""
+    with d as (select row_number() over () as rid, doc_id,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+    i as (select item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+          from benchmark),
+    t as (select rid, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+    q as (select distinct item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from i),
+    c as (select rid, doc_id, term, count(*) as tf from t group by all),
+    l as (select rid, cast(sum(tf) as bigint) as n from c group by rid),
+    s as (select count(*) as docs, cast(sum(n) as bigint) as total from l),
+    w as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from c, s group by term, docs),
+    x as (select rid, doc_id, term,
+                 w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))) as x
+          from c join l using (rid) join w using (term), s),
+    r as (select item_id, doc_id, rid, cast(sum(x) as bigint) as score from q join x using (term) group by all having sum(x) > 0),
+    k as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank,
+                 doc_id, score from r)
+    select * from k where rank <= 10""")
+def op12(spark, sf):
+    return balltree.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
+
+
+# ---------------------------------------------------------------- quality classifier
+
+@register("op13_nbsvm_quality")
+def op13(spark, sf):
+    docs = table(spark, sf, "documents")
+    scored = nbsvm.score(docs, nbsvm.fit(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", nbsvm.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
