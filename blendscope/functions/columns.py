@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 NESTED = (T.ArrayType, T.MapType, T.StructType)
+VARIANT = (T.VariantType,)
 
 
 def col(name: str) -> Column:

@@ -10,6 +10,7 @@ from ..functions.values import clamp, number, percent, ratio
 from ..session import agg_row, together
 from ..sources.io import normalize
 from .profile import column_profile, duplicate_rows
+from .variant import mixed_variants, variant_names
 
 # Share of each component in the quality score.
 QUALITY_WEIGHTS = {
@@ -77,14 +78,15 @@ def components(df: DataFrame, consistency: str = "types", expected_types: dict =
                approx_distinct: bool = False, digest: bool = False) -> DataFrame:
     """One row with the seven components of ``df``.
 
-    A Spark column has one type, so consistency is 100 under ``types``; ``content`` looks for text
-    columns that mix numbers with other text. Validity counts raw values failing ``expected_types``.
+    A Spark column has one type, so consistency counts VARIANT columns that hold values of several kinds; ``content`` also
+    looks for text columns that mix numbers with other text. Validity counts raw values failing ``expected_types``.
     """
-    df = normalize(df)
-    columns, duplicates = together(
+    raw, df = df, normalize(df)
+    columns, duplicates, variants = together(
         df.sparkSession, lambda: column_profile(df, approx_distinct),
-        lambda: duplicate_rows(df, digest).first()["duplicate_rows"])
-    mixed = mixed_columns(df) if consistency == "content" else 0
+        lambda: duplicate_rows(df, digest).first()["duplicate_rows"], lambda: mixed_variants(raw) if variant_names(raw) else [])
+    plain = [col(c) for c in df.columns if c not in variant_names(raw)]
+    mixed = len(variants) + (mixed_columns(df.select(*plain)) if consistency == "content" and plain else 0)
     return components_of(columns, duplicates, mixed, invalid_columns(df, expected_types or {}))
 
 

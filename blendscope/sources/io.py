@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import NESTED, col, is_string
+from ..functions.columns import NESTED, VARIANT, col, is_string
 from ..functions.values import NUMBER_PATTERN, size_text
 from ..session import agg_row, local_table
 
@@ -64,7 +64,7 @@ def infer_types(text: DataFrame) -> DataFrame:
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
-    """Float NaN and NULL mean the same from here on; columns of no type become text."""
+    """Float NaN and NULL mean the same from here on; columns of no type become text, VARIANT its JSON (JSON null is NULL)."""
     out = []
     for f in df.schema.fields:
         c = col(f.name)
@@ -72,6 +72,8 @@ def nan_to_null(df: DataFrame) -> DataFrame:
             c = F.nanvl(c, F.lit(None).cast(f.dataType)).alias(f.name)
         elif isinstance(f.dataType, T.NullType):
             c = c.cast("string").alias(f.name)
+        elif isinstance(f.dataType, VARIANT):
+            c = F.when(~F.is_variant_null(c), F.to_json(c)).alias(f.name)
         out.append(c)
     return df.select(*out)
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blendscope import plans, profile, quality, rowindex
+from blendscope import plans, profile, quality, rowindex, variant
 from blendscope.session import local_table
 
 from .views import table, union_all, view, with_views
@@ -343,3 +343,35 @@ def r1(spark, sf):
 def r2(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     return rounded(rowindex.rank_quantile(li, ["l_extendedprice", "l_quantity", "l_orderkey"], [0.01, 0.25, 0.5, 0.9]))
+
+
+# ---------------------------------------------------------------- values of several types in one column
+
+KINDS = """case when {c} = 'null' then null when regexp_full_match({c}, '-?[0-9]+') then 'integer' when {c} in ('true', 'false')
+    then 'boolean' when starts_with({c}, '{{') then 'object' when {c} is not null then 'text' end"""
+
+
+def json_events(spark, sf):
+    return variant.to_variant(view(spark, sf, "ev_json"))
+
+
+@register("q6_value_kinds", with_views("ev_json", f"""with k as ({union_all([
+    f"select '{c}' as \"column\", {KINDS.format(c=c)} as kind from ev_json" for c in ("payload", "plain", "digits")])})
+    select "column", kind, count(*) as n, round(100.0e0 * count(*) / sum(count(*)) over (partition by "column"), 4) as percent
+    from k where kind is not null group by 1, 2"""))
+def q6_kinds(spark, sf):
+    return rounded(variant.value_kinds(json_events(spark, sf)))
+
+
+@register("q6_merged_types", """select * from (values ('payload', 'VARIANT'), ('plain', 'STRING'), ('digits', 'BIGINT')) t("column", type)""")
+def q6_types(spark, sf):
+    return variant.merged_types(json_events(spark, sf))
+
+
+@register("q6_variant_consistency", with_views("ev_json", f"""with k as (select ({KINDS.format(c='payload')}) as a,
+    ({KINDS.format(c='plain')}) as b, ({KINDS.format(c='digits')}) as c from ev_json)
+    select round(100.0e0 * (4 - (case when count(distinct a) > 1 then 1 else 0 end) - (case when count(distinct b) > 1 then 1 else 0 end)
+      - (case when count(distinct c) > 1 then 1 else 0 end)) / 4, 4) as data_consistency,
+      round(100.0e0 - 100.0e0 * count(*) filter (where a is null) / (4 * count(*)), 4) as missing_values from k"""))
+def q6_consistency(spark, sf):
+    return rounded(quality.components(json_events(spark, sf)).select("data_consistency", "missing_values"))

@@ -66,6 +66,11 @@ VIEWS = {
     "gaps": ("events", [
         "case when event_id % 4 = 0 then null else value end as value",
         "case when event_id % 8 = 0 then null else event_type end as event_type", "cast(null as double) as unnamed_1"]),
+    "ev_json": ("events", [
+        "event_id", "case when event_id % 6 = 0 then null when event_id % 7 = 0 then 'null' when event_id % 5 = 0 then "
+        "cast(user_id as varchar(20)) when event_id % 5 = 1 then '\"' || event_type || '\"' when event_id % 5 = 2 then 'true' "
+        "when event_id % 5 = 3 then '{\"k\": [1, 2]}' else event_type end as payload",
+        "event_type as plain", "cast(event_id as varchar(20)) as digits"]),
     "mixed": ("part", [
         "p_partkey", "case when p_partkey % 6 = 0 then p_brand else cast(p_size as varchar(10)) end as size_text",
         "p_type", "p_retailprice"]),
