@@ -12,7 +12,7 @@ from ..functions.columns import INTEGRAL, as_double, col, dtype_of, is_numeric,
 from ..functions.names import best_ratios, clean_name, name_ratio
 from ..session import agg_row, local_table, together
 from ..sources.io import normalize
-from .profile import correlation_dict, distinct_counts
+from .profile import correlation_dict, cross_correlation, distinct_counts
 from .rowindex import indexed, tie_digest
 from .schema import clean_names, common_columns, only_in_first, same_kind
 
@@ -121,6 +121,70 @@ def value_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
         "column", *[F.coalesce(k, F.lit(0)).cast("bigint").alias(k) for k in ("n_a", "n_b", "n_both")])
 
 
+WORD_BITS = 62  # tables per bitmap word
+
+
+def value_families(tables: dict, wanted: dict) -> dict:
+    """``{(table, column): [family, ...]}``: how values of a column are compared.
+
+    Whole numbers among themselves exactly (``whole``), with fractions as doubles (``real``), texts as ``text``.
+    """
+    fractions = {c for n, cols in wanted.items() for c in cols
+                 if is_numeric(dtype_of(tables[n], c)) and not isinstance(dtype_of(tables[n], c), INTEGRAL)}
+    out = {}
+    for n, cols in wanted.items():
+        for c in cols:
+            kind = dtype_of(tables[n], c)
+            if isinstance(kind, INTEGRAL):
+                out[n, c] = ["whole", "real"] if c in fractions else ["whole"]
+            else:
+                out[n, c] = ["real"] if is_numeric(kind) else ["text"]
+    return out
+
+
+def value_index(tables: dict, wanted: dict) -> DataFrame:
+    """Rows (column, family, members, n): n distinct non-NULL values of a column occur in exactly the tables ``members``.
+
+    ``wanted`` names the columns of each table. An inverted index from values to bitmaps of tables, in one shuffle whatever the
+    number of tables and pairs: a value moves once per task and table that holds it, and bitmaps merge on the way.
+    """
+    names = list(tables)
+    families = value_families(tables, wanted)
+    columns = sorted({c for cols in wanted.values() for c in cols})
+    words = [f"_w{k}" for k in range(-(-len(names) // WORD_BITS))]
+    kinds = {"whole": "bigint", "real": "double", "text": "string"}
+    parts = []
+    for i, n in enumerate(names):
+        cells = []
+        for c in wanted.get(n, []):
+            for family in families[n, c]:
+                cells += [F.lit(columns.index(c)), *[
+                    col(c).cast(kind) if f == family else F.lit(None).cast(kind) for f, kind in kinds.items()]]
+        if cells:
+            df = normalize(tables[n].select(*[col(c) for c in wanted[n]]))
+            flags = [F.lit(1 << (i % WORD_BITS) if k == i // WORD_BITS else 0).cast("bigint").alias(w) for k, w in enumerate(words)]
+            found = df.select(F.stack(F.lit(len(cells) // 4), *cells).alias("ordinal", *kinds))
+            parts.append(found.where("whole is not null or real is not null or text is not null").select("*", *flags))
+    spark = tables[names[0]].sparkSession
+    if not parts:
+        return local_table(spark, [], "column string, family string, members array<int>, n bigint")
+    values = reduce(DataFrame.unionByName, parts).groupBy("ordinal", *kinds).agg(*[F.bit_or(w).alias(w) for w in words])
+    family = F.when(F.col("whole").isNotNull(), "whole").when(F.col("real").isNotNull(), "real").otherwise("text")
+    sets = values.groupBy("ordinal", family.alias("family"), *words).agg(F.count("*").alias("n"))
+    members = F.array_compact(F.array(*[
+        F.when(F.col(words[i // WORD_BITS]).bitwiseAND(F.lit(1 << (i % WORD_BITS)).cast("bigint")) != 0, F.lit(i))
+        for i in range(len(names))]))
+    named = local_table(spark, list(enumerate(columns)), "ordinal int, column string")
+    return sets.join(F.broadcast(named), "ordinal").select("column", "family", members.alias("members"), "n")
+
+
+def shared_values(index: DataFrame) -> DataFrame:
+    """Rows (column, family, a, b, n): distinct values that the tables number a and b, a <= b, have in common."""
+    pairs = index.select("column", "family", "n", "members", F.posexplode("members").alias("_i", "a")).select(
+        "column", "family", "n", "a", F.explode(F.expr("slice(members, _i + 1, size(members) - _i)")).alias("b"))
+    return pairs.groupBy("column", "family", "a", "b").agg(F.sum("n").alias("n"))
+
+
 def row_overlap(a: DataFrame, b: DataFrame, key: str = None) -> DataFrame:
     """One row (row_overlap, key_info): Jaccard of key values in percent; without a key the mean share
     of common values over the common numeric columns."""
@@ -143,7 +207,18 @@ def correlation_similarity(a: DataFrame, b: DataFrame) -> float:
         return 100.0
     ra, rb = together(a.sparkSession, *[
         lambda df=df: correlation_dict(normalize(df.select(*[col(c) for c in shared])), shared) for df in (a, b)])
-    total = sum(abs(ra[p] - rb[p]) * (1 if p[0] == p[1] else 2) for p in ra)
+    return matrix_similarity(ra, rb, shared)
+
+
+def matrix_similarity(ra: dict, rb: dict, shared: list) -> float:
+    """The same from two upper triangles ``{(x, y): r}`` that hold the columns ``shared`` in any order."""
+    if len(shared) < 2:
+        return 100.0
+
+    def r(matrix, x, y):
+        return matrix[x, y] if (x, y) in matrix else matrix[y, x]
+
+    total = sum(abs(r(ra, x, y) - r(rb, x, y)) * (1 if x == y else 2) for i, x in enumerate(shared) for y in shared[i:])
     return max(0.0, 100.0 * (1.0 - total / len(shared) ** 2 / 2.0))
 
 
@@ -278,12 +353,16 @@ def compare(a: DataFrame, b: DataFrame, name_a: str = "a", name_b: str = "b", or
     (key, overlap), scores["correlation_similarity"], scores["missing_value_overlap"] = together(
         a.sparkSession, keyed, lambda: correlation_similarity(a, b), missing)
     scores["row_overlap"] = overlap["row_overlap"]
+    return local_table(a.sparkSession, [pair_row(a, b, name_a, name_b, scores, key, overlap["key_info"])], PAIR_COMPAT)
+
+
+def pair_row(a: DataFrame, b: DataFrame, name_a: str, name_b: str, scores: dict, key, key_info: str) -> tuple:
+    """A row of ``PAIR_COMPAT``."""
     total = sum(w * scores[k] for k, w in COMPATIBILITY_WEIGHTS.items())
-    row = (name_a, name_b, *[scores[k] for k in (
+    return (name_a, name_b, *[scores[k] for k in (
         "schema_similarity", "column_name_similarity", "dtype_compatibility", "common_columns_ratio",
         "unique_feature_gain", "row_overlap", "correlation_similarity", "missing_value_overlap")],
-        key, overlap["key_info"], common_columns(a, b), only_in_first(b, a), min(100.0, max(0.0, total)))
-    return local_table(a.sparkSession, [row], PAIR_COMPAT)
+        key, key_info, common_columns(a, b), only_in_first(b, a), min(100.0, max(0.0, total)))
 
 
 def pairs(datasets: DataFrame) -> DataFrame:
@@ -297,13 +376,96 @@ def pairs(datasets: DataFrame) -> DataFrame:
 
 
 def compare_all(tables: dict, order_by: dict = None) -> DataFrame:
-    """``compare`` for every unordered pair of the named tables."""
-    order_by = order_by or {}
+    """``compare`` for every unordered pair of the named tables.
+
+    Each table is counted once and correlated once, the values of all tables meet in one inverted index, and a
+    pair is then arithmetic on those; only the positions of NULLs, where an order is given, are joined by pair.
+    """
     spark = next(iter(tables.values())).sparkSession
-    rows = together(spark, *[
-        lambda x=x, y=y: compare(tables[x], tables[y], x, y, order_by.get(x), order_by.get(y))
-        for x, y in combinations(tables, 2)])
-    return reduce(DataFrame.unionByName, rows)
+    order_by = {n: [clean_name(k) for k in o] for n, o in (order_by or {}).items() if o}
+    names = list(tables)
+    tables = {n: normalize(clean_names(df)) for n, df in tables.items()}
+    couples = list(combinations(names, 2))
+    common = {p: common_columns(*[tables[n] for n in p]) for p in couples}
+    key = {p: key_by_name(common[p]) for p in couples}
+    wanted = {n: set() for n in names}
+    for p in couples:
+        for n in p:
+            wanted[n] |= {key[p]} if key[p] else set(common[p])
+    wanted = {n: [c for c in df.columns if c in wanted[n]] for n, df in tables.items()}
+    partners = {n: set().union(*[common[p] for p in couples if n in p]) if len(names) > 1 else set() for n in names}
+
+    def facts(n):
+        return agg_row(tables[n], {"*": F.count(F.lit(1)), **{(c, "n"): F.count(col(c)) for c in tables[n].columns}})
+
+    def matrix(n):
+        shared = [c for c in numeric_names(tables[n]) if c in partners[n]]
+        return correlation_dict(tables[n].select(*[col(c) for c in shared]), shared) if len(shared) > 1 else {}
+
+    jobs = [lambda: shared_values(value_index(tables, wanted)).collect(),  # one row per column and pair
+            *[lambda n=n: facts(n) for n in names], *[lambda n=n: matrix(n) for n in names]]
+    found, *rest = together(spark, *jobs)
+    seen, corr = dict(zip(names, rest)), dict(zip(names, rest[len(names):]))
+    both = {(r["column"], r["family"], names[r["a"]], names[r["b"]]): r["n"] for r in found}
+    families = value_families(tables, wanted)
+    nulls = _placed_nulls(tables, seen, common, order_by)
+
+    def counts(c, x, y):
+        """Distinct values of x, of y, of both."""
+        shared = [f for f in families[x, c] if f in families[y, c]]
+        own = [both.get((c, families[n, c][0], n, n), 0) for n in (x, y)]
+        return (*own, both.get((c, shared[0], x, y), 0) if shared else 0)
+
+    def unique(c, n):
+        return seen[n][c, "n"] == seen[n]["*"] == both.get((c, families[n, c][0], n, n), 0)
+
+    rows = []
+    for x, y in couples:
+        a, b = tables[x], tables[y]
+        scores = schema_scores(a, b)
+        chosen = key[x, y] or next((c for c in common[x, y] if unique(c, x) and unique(c, y)), None)
+        info = NO_KEY
+        if chosen:
+            n_a, n_b, n_both = counts(chosen, x, y)
+            either = n_a + n_b - n_both
+            scores["row_overlap"] = 100.0 * n_both / either if either else 0.0
+            if either:
+                info = f"Matched primary key '{chosen}' with {n_both} overlapping records."
+        else:
+            shares = [n_both / max(n_a, n_b) if n_a or n_b else 0.0 for n_a, n_b, n_both in (
+                counts(c, x, y) for c in common[x, y] if is_numeric(dtype_of(a, c)) and is_numeric(dtype_of(b, c)))]
+            scores["row_overlap"] = 100.0 * sum(shares) / len(shares) if shares else 0.0
+        shared = [c for c in common[x, y] if is_numeric(dtype_of(a, c)) and is_numeric(dtype_of(b, c))]
+        scores["correlation_similarity"] = matrix_similarity(corr[x], corr[y], shared)
+        scores["missing_value_overlap"] = nulls(x, y)
+        rows.append(pair_row(a, b, x, y, scores, chosen, info))
+    return local_table(spark, rows, PAIR_COMPAT)
+
+
+def _placed_nulls(tables: dict, seen: dict, common: dict, order_by: dict):
+    """A function (x, y) -> mean overlap of NULLs, None without an order that it needs; each table is put in order once."""
+    nulls = {(n, c): seen[n]["*"] - seen[n][c, "n"] for n in tables for c in tables[n].columns}
+    watched = {p: [c for c in cols if nulls[p[0], c] and nulls[p[1], c]] for p, cols in common.items()}
+    columns = {n: [c for c in tables[n].columns if any(n in p and c in cols for p, cols in watched.items())] for n in tables}
+    placed = {n: _null_flags(tables[n], columns[n], order_by[n], "f")[0] for n in tables if columns[n] and n in order_by}
+
+    def overlap(x, y):
+        cols, met = common[x, y], {}
+        if watched[x, y]:
+            if x not in placed or y not in placed:
+                return None
+            left, right = (placed[n].select(F.col("_f").alias(f"_{s}"), *[
+                F.col(f"f{columns[n].index(c)}").alias(f"{s}{i}") for i, c in enumerate(watched[x, y])]) for n, s in ((x, "l"), (y, "r")))
+            row = left.join(right, F.col("_l") == F.col("_r")).agg(*[
+                F.count_if(F.col(f"l{i}") & F.col(f"r{i}")) for i in range(len(watched[x, y]))]).first()
+            met = dict(zip(watched[x, y], row))
+        shares = []
+        for c in cols:
+            either = nulls[x, c] + nulls[y, c] - met.get(c, 0)
+            shares.append(100.0 * met.get(c, 0) / either if either else 100.0)
+        return sum(shares) / len(shares) if shares else 100.0
+
+    return overlap
 
 
 # ---------------------------------------------------------------- the second comparison
@@ -338,22 +500,15 @@ def complementarity(a: DataFrame, b: DataFrame, order_a, order_b, limit: int = N
                 slim = slim.orderBy(*keys).limit(limit)
             return indexed(slim, keys, f"_{side}", keep=[f"{side}{i}" for i in range(len(names))])[0]
 
-        left, right = together(a.sparkSession, lambda: placed(a, cols_a, order_a, "l"),
-                               lambda: placed(b, cols_b, order_b, "r"))
+        def centred(df, names, order, side):
+            found = placed(df, names, order, side)
+            return found, agg_row(found, {f"{side}{i}": F.avg(f"{side}{i}") for i in range(len(names))})
+
+        (left, means_a), (right, means_b) = together(a.sparkSession, lambda: centred(a, cols_a, order_a, "l"),
+                                                     lambda: centred(b, cols_b, order_b, "r"))
         rows = left.join(right, F.col("_l") == F.col("_r"))
-        parts = {}
-        for i in range(len(cols_a)):
-            for j in range(len(cols_b)):
-                x, y = F.col(f"l{i}"), F.col(f"r{j}")
-                parts.update({(i, j, "xy"): F.regr_sxy(y, x), (i, j, "xx"): F.regr_sxx(y, x),
-                              (i, j, "yy"): F.regr_syy(y, x)})
-        seen = agg_row(rows, parts)
-        for i in range(len(cols_a)):
-            for j in range(len(cols_b)):
-                xy, xx, yy = (seen[i, j, k] for k in ("xy", "xx", "yy"))
-                if xx and yy and xx > 0 and yy > 0:
-                    r = max(-1.0, min(1.0, xy / (xx ** 0.5 * yy ** 0.5)))
-                    scores.append((1.0 - abs(r)) * 100.0)
+        found = cross_correlation(rows, list(means_a), list(means_b), means_a | means_b)
+        scores = [(1.0 - abs(r)) * 100.0 for _, r in sorted(found.items())]
     only_a, only_b = len(only_in_first(a, b)), len(only_in_first(b, a))
     bonus = min(30.0, (only_a + only_b) / max(len(a.columns), len(b.columns)) * 50.0)
     mean = sum(scores) / len(scores) if scores else 50.0

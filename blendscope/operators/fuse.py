@@ -92,6 +92,46 @@ def join(a: DataFrame, b: DataFrame, key, how: str = "inner", distinct: bool = T
     return out
 
 
+ESTIMATE = "join_type string, n_rows decimal(38,0), null_cells decimal(38,0), largest_key string, largest_key_rows decimal(38,0)"
+
+
+def estimate(a: DataFrame, b: DataFrame, key, how: str = "inner", distinct: bool = True) -> DataFrame:
+    """One row: how many rows and NULL cells ``join`` would give, and the key with the most rows, without joining.
+
+    Both sides shrink to a histogram of keys (rows and NULL cells per key); rows multiply key by key, so the cost does not depend on
+    the size of the result. The numbers are exact.
+    """
+    if how not in ("inner", "left", "right", "outer"):
+        raise ValueError(f"unknown join type: {how}")
+    keys = [key] if isinstance(key, str) else list(key)
+    a, b = comparable_keys(normalize(a), normalize(b), keys)
+    widths = {s: len(df.columns) - len(keys) for s, df in (("a", a), ("b", b))}
+
+    def histogram(df, side):
+        df = df.distinct() if distinct else df
+        empty = sum((col(c).isNull().cast("bigint") for c in df.columns if c not in keys), F.lit(0).cast("bigint"))
+        return df.groupBy(*[col(k).alias(f"_{side}{i}") for i, k in enumerate(keys)]).agg(
+            F.count("*").cast("decimal(18,0)").alias(f"n_{side}"), F.sum(empty).cast("decimal(18,0)").alias(f"z_{side}"))
+
+    match = reduce(lambda x, y: x & y, [F.col(f"_a{i}").eqNullSafe(F.col(f"_b{i}")) for i in range(len(keys))])
+    both = histogram(a, "a").join(histogram(b, "b"), match, "full_outer")
+    none = sum((F.coalesce(F.col(f"_a{i}"), F.col(f"_b{i}")).isNull().cast("int") for i in range(len(keys))), F.lit(0))
+    n_a, n_b, z_a, z_b = (F.col(c) for c in ("n_a", "n_b", "z_a", "z_b"))
+    keep_a, keep_b = how in ("left", "outer"), how in ("right", "outer")
+    n = F.when(n_a.isNull(), n_b if keep_b else F.lit(0)).when(n_b.isNull(), n_a if keep_a else F.lit(0)).otherwise(n_a * n_b)
+    gaps = F.when(n_a.isNull(), z_b + n_b * widths["a"] if keep_b else F.lit(0)).when(
+        n_b.isNull(), z_a + n_a * widths["b"] if keep_a else F.lit(0)).otherwise(z_a * n_b + z_b * n_a)
+    whole = "decimal(38,0)"
+    per_key = both.select(n.cast(whole).alias("n"), gaps.cast(whole).alias("gaps"), none.alias("none"), F.concat_ws(
+        "|", *[F.coalesce(F.col(f"_a{i}"), F.col(f"_b{i}")).cast("string") for i in range(len(keys))]).alias("key"))
+    top = F.max(F.struct("n", "key"))
+    return per_key.where("n > 0").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast(whole).alias("n_rows"),
+        F.coalesce(F.sum(F.col("gaps") + F.col("n") * F.col("none")), F.lit(0)).cast(whole).alias("null_cells"),
+        top["key"].alias("largest_key"), F.coalesce(top["n"], F.lit(0)).cast(whole).alias("largest_key_rows"),
+    ).select(F.lit(how).alias("join_type"), "*")
+
+
 def union_all_named(tables: dict) -> DataFrame:
     """All rows over all columns plus the name of the table each row came from."""
     parts = [with_source(normalize(df), name) for name, df in tables.items()]

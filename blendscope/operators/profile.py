@@ -50,14 +50,15 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- distinct values and modes
 
-def value_counts(df: DataFrame, cols=None) -> DataFrame:
-    """Rows (ordinal, num_value, dbl_value, str_value, n): how often each non-NULL value occurs.
+def value_counts(df: DataFrame, cols=None, by=()) -> DataFrame:
+    """Rows (ordinal, num_value, dbl_value, str_value, n): how often each non-NULL value occurs, per value of the columns ``by``.
 
     Columns of a family share one shuffle of (column, value) keys that are counted before they move,
     so a value that fills a third of the table is one row per map task.
     """
     names = df.columns if cols is None else list(cols)
     types = {f.name: f.dataType for f in df.schema.fields}
+    by = [col(c) for c in by]
     fixed, text = [], []
     for i, c in enumerate(names):
         if isinstance(types[c], INTEGRAL):
@@ -68,14 +69,14 @@ def value_counts(df: DataFrame, cols=None) -> DataFrame:
             text += [F.lit(i), col(c).cast("string")]
     out = None
     if fixed:
-        cells = df.select(F.stack(F.lit(len(fixed) // 3), *fixed).alias("ordinal", "num_value", "dbl_value"))
+        cells = df.select(*by, F.stack(F.lit(len(fixed) // 3), *fixed).alias("ordinal", "num_value", "dbl_value"))
         out = (cells.where("num_value is not null or dbl_value is not null")
-               .groupBy("ordinal", "num_value", "dbl_value").agg(F.count("*").alias("n"))
-               .select("ordinal", "num_value", "dbl_value", F.lit(None).cast("string").alias("str_value"), "n"))
+               .groupBy(*by, "ordinal", "num_value", "dbl_value").agg(F.count("*").alias("n"))
+               .select(*by, "ordinal", "num_value", "dbl_value", F.lit(None).cast("string").alias("str_value"), "n"))
     if text:
-        cells = df.select(F.stack(F.lit(len(text) // 2), *text).alias("ordinal", "str_value"))
-        words = (cells.where("str_value is not null").groupBy("ordinal", "str_value").agg(F.count("*").alias("n"))
-                 .select("ordinal", F.lit(None).cast("bigint").alias("num_value"),
+        cells = df.select(*by, F.stack(F.lit(len(text) // 2), *text).alias("ordinal", "str_value"))
+        words = (cells.where("str_value is not null").groupBy(*by, "ordinal", "str_value").agg(F.count("*").alias("n"))
+                 .select(*by, "ordinal", F.lit(None).cast("bigint").alias("num_value"),
                          F.lit(None).cast("double").alias("dbl_value"), "str_value", "n"))
         out = words if out is None else out.unionByName(words)
     return out
@@ -83,7 +84,11 @@ def value_counts(df: DataFrame, cols=None) -> DataFrame:
 
 def distinct_and_mode(df: DataFrame, cols=None) -> DataFrame:
     """Rows (ordinal, unique_count, mode, mode_freq); the smallest of equally frequent values wins."""
-    counted = value_counts(df, cols)
+    return modes_of(value_counts(df, cols))
+
+
+def modes_of(counted: DataFrame) -> DataFrame:
+    """``distinct_and_mode`` from value counts."""
     best = counted.groupBy("ordinal").agg(F.count("*").alias("unique_count"), F.max("n").alias("mode_freq"))
     # Numbers aggregate by hash; only the text values that reach the highest count are compared with each other.
     top = counted.join(F.broadcast(best), "ordinal").where("n = mode_freq")  # best has one row per column
@@ -188,9 +193,15 @@ def column_profile(df: DataFrame, approx_distinct: bool = False, facts: tuple =
         return {r[0]: tuple(r[1:]) for r in distinct_and_mode(df).collect()}  # one row per column
 
     (bounds, wide), counted = together(df.sparkSession, spread, values)
+    return profile_rows(df, n, {c: seen[c, "n"] for c in df.columns}, facts, means, bounds, wide, counted)
+
+
+def profile_rows(df: DataFrame, n: int, filled: dict, facts: dict, means: dict, bounds: dict, wide: dict, counted: dict) -> DataFrame:
+    """The column profile from its parts: values per column, (count, min, max) and means of numeric ones, fences, sums of squares
+    and outliers, and (distinct, mode, mode frequency) by ordinal."""
     rows = []
     for i, c in enumerate(df.columns):
-        nulls = n - seen[c, "n"]
+        nulls = n - filled[c]
         unique, mode, freq = counted.get(i, (0, "N/A", 0))
         row = [i, c, "Numeric" if c in facts else "Categorical", n, nulls, 100.0 * nulls / n]
         if c in facts:
@@ -292,6 +303,38 @@ def gram_correlation(df: DataFrame, names: list, means: dict) -> dict:
     return out
 
 
+def cross_correlation(rows: DataFrame, left: list, right: list, means: dict) -> dict:
+    """``{(x, y): r}`` of every column of ``left`` with every one of ``right`` over the rows where both have a value.
+
+    One scan: each task multiplies the two halves of its Arrow batches and emits one row per pair. ``means`` of the columns, or anything near
+    them, keep the sums small. Pairs without variance are left out.
+    """
+    centre = np.array([means[c] or 0.0 for c in (*left, *right)])
+    width = len(left)
+
+    def products(batches):
+        total = 0.0
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            here = (~np.isnan(x)).astype(float)
+            z = np.where(here > 0, x - centre, 0.0)
+            (a, b), (ha, hb) = ((v[:, :width], v[:, width:]) for v in (z, here))
+            total = total + np.stack([ha.T @ hb, a.T @ hb, ha.T @ b, (a * a).T @ hb, ha.T @ (b * b), a.T @ b])
+        if isinstance(total, np.ndarray):
+            i, j = (v.ravel() for v in np.indices(total.shape[1:]))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (i, j, *(t.ravel() for t in total))], names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    parts = rows.select(*[as_double(c).alias(f"c{k}") for k, c in enumerate((*left, *right))]).mapInArrow(
+        products, "i bigint, j bigint, n double, x double, y double, xx double, yy double, xy double")
+    out = {}
+    for s in parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")]).collect():  # one row per pair
+        if s.n > 1:
+            xx, yy = s.xx - s.x * s.x / s.n, s.yy - s.y * s.y / s.n
+            if xx > FLAT_SHARE * s.xx and yy > FLAT_SHARE * s.yy:
+                out[left[s.i], right[s.j]] = pearson(s.xy - s.x * s.y / s.n, xx, yy)
+    return out
+
+
 def correlation(df: DataFrame, known: tuple = None) -> DataFrame:
     """Pearson matrix of the numeric columns as rows (col_x, col_y, r); empty below two such columns.
 
@@ -333,10 +376,9 @@ def null_heatmap(df: DataFrame, order_by, bins: int = 40) -> DataFrame:
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:
     """Rows (value, n, percent) of ``target``; NULL is a class of its own."""
-    df = normalize(df.select(col(target)))
-    n = df.count()
-    return df.groupBy(col(target).cast("string").alias("value")).agg(F.count("*").alias("n")).withColumn(
-        "percent", percent(F.col("n"), F.lit(n)))
+    counts = normalize(df.select(col(target))).groupBy(col(target).cast("string").alias("value")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("_all"))  # one row; the counts behind it are those of the left side, shuffled once
+    return counts.join(F.broadcast(total)).select("value", "n", percent(F.col("n"), F.col("_all")).alias("percent"))
 
 
 def describe(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 from itertools import combinations
 
@@ -121,9 +122,12 @@ def recommend_all(tables: dict, order_by: dict = None, scorer=recommend.rules) -
 
 
 def fuse_tables(a: DataFrame, b: DataFrame, strategy: str, key: str = None, impute_gaps: bool = False,
-                order_a=None, order_b=None, export_to: str = None, name: str = None) -> tuple:
+                order_a=None, order_b=None, export_to: str = None, name: str = None, warn_above: float = None) -> tuple:
     """Fuse two tables: (fused table, one row of statistics, {format: path}).
 
+    With ``warn_above`` a join is first estimated from its keys, and a warning given if it would have more than so many times the
+    rows of the larger table.
+
     Names are cleaned, the strategy applied, types standardised, gaps filled on request. The combined
     rows are written once; types and fillers are projections over that, read by statistics and exports.
     """
@@ -139,6 +143,8 @@ def fuse_tables(a: DataFrame, b: DataFrame, strategy: str, key: str = None, impu
     elif strategy == "concat":
         raw = fuse.concat(a, b, order_a, order_b)
     else:
+        if warn_above is not None:
+            warn_of_blow_up(a, b, key, fuse.JOINS[strategy], warn_above)
         raw = fuse.join(a, b, key, fuse.JOINS[strategy])
     fused = types.standardize(materialize(raw, "fused-raw"))
     if impute_gaps:
@@ -151,6 +157,14 @@ def fuse_tables(a: DataFrame, b: DataFrame, strategy: str, key: str = None, impu
     return fused, stats, paths
 
 
+def warn_of_blow_up(a: DataFrame, b: DataFrame, key: str, how: str, limit: float) -> None:
+    """Warn when a join gives more than ``limit`` times the rows of the larger table."""
+    size, n_a, n_b = together(a.sparkSession, lambda: fuse.estimate(a, b, key, how).first(), a.count, b.count)
+    if size["n_rows"] > limit * max(n_a, n_b):
+        warnings.warn(f"the {how} join on {key!r} gives {size['n_rows']} rows of tables of {n_a} and {n_b}; "
+                      f"key {size['largest_key']!r} alone gives {size['largest_key_rows']}", stacklevel=3)
+
+
 def study_fusion(tables: dict, order_by: dict, target: str = None, regressor=None, sample: int = None) -> dict:
     """N-table study: ``quality`` per table, ``pairs`` (overlap, complementarity, lift), ``overall``.
 

@@ -102,7 +102,12 @@ def source_files(df: DataFrame) -> DataFrame:
     files = df.inputFiles()
     if not files:
         return local_table(df.sparkSession, [], "path string, size_bytes bigint, modified timestamp")
-    return df.sparkSession.read.format("binaryFile").load(files).select(
+    return list_files(df.sparkSession, files)
+
+
+def list_files(spark: SparkSession, paths) -> DataFrame:
+    """One row per file at or below ``paths``: path, size, modification time. Hidden files are left out, nothing is read."""
+    return spark.read.format("binaryFile").load(paths).select(
         "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
 
 

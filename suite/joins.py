@@ -133,6 +133,29 @@ def j7(spark, sf):
     return fuse.concat(view(spark, sf, "cust_a"), view(spark, sf, "ord_pos"), ["id"], ["id"])
 
 
+def estimate_sql(how):
+    a, b = "select distinct * from cust_a", "select distinct * from ord_b"
+    cells = " + ".join(f"(count(*) - count({c}))" for c in ("id", "name", "balance", "segment", "nation", "balance_b", "segment_b", "status"))
+    sql = {"outer": "full outer"}.get(how, how)
+    return f"""select '{how}' as join_type, cast(count(*) as bigint) as n_rows, cast({cells} as bigint) as null_cells, (select max(n) from (
+      select count(*) as n from j group by id)) as largest_key_rows from j""", f"""j as (select coalesce(a.id, b.id) as id, name,
+      a.balance, a.segment, nation, b.balance as balance_b, b.segment as segment_b, status
+      from ({a}) a {sql} join ({b}) b on a.id is not distinct from b.id)"""
+
+
+def register_estimate(how):
+    body, joined = estimate_sql(how)
+
+    @register(f"j_estimate_{how}", with_views(["cust_a", "ord_b"], f"with {joined} {body}"))
+    def run(spark, sf):
+        found = fuse.estimate(view(spark, sf, "cust_a"), view(spark, sf, "ord_b"), "id", how).drop("largest_key")
+        return found.select("join_type", *[F.col(c).cast("bigint") for c in ("n_rows", "null_cells", "largest_key_rows")])
+
+
+for _how in ("inner", "left", "right", "outer"):
+    register_estimate(_how)
+
+
 DATASETS = "select source || '/' || lang as dataset, count(*) as n from documents group by 1"
 
 
@@ -263,6 +286,24 @@ def a5(spark, sf):
     return rounded(compat.row_overlap(view(spark, sf, "cust_a"), view(spark, sf, "ord_b"), "id"))
 
 
+CATALOG = {"cust_a": ["id", "balance", "segment", "nation"], "ord_b": ["id", "balance", "segment", "status"],
+           "supp_null_key": ["id", "balance", "nation"], "li_dup": ["l_returnflag", "l_linestatus", "l_linenumber"]}
+CATALOG_PAIRS = [(x, y, c) for i, x in enumerate(CATALOG) for y in list(CATALOG)[i + 1:] for c in CATALOG[x] if c in CATALOG[y]]
+
+
+@register("u5_catalog_overlap", with_views(list(CATALOG), union_all([
+    f"select '{x}' as dataset_a, '{y}' as dataset_b, '{c}' as \"column\", (select count(distinct a.{c}) from {x} a join {y} b on a.{c} = b.{c}) as n"
+    for x, y, c in CATALOG_PAIRS])))
+def catalog_overlap(spark, sf):
+    tables = {n: view(spark, sf, n) for n in CATALOG}
+    shared = compat.shared_values(compat.value_index(tables, CATALOG))
+    names = F.array(*[F.lit(n) for n in CATALOG])
+    pairs = local_table(spark, [(x, y, c) for x, y, c in CATALOG_PAIRS], "dataset_a string, dataset_b string, column string")
+    found = shared.where("a < b").groupBy(F.get(names, "a").alias("dataset_a"), F.get(names, "b").alias("dataset_b"), "column").agg(F.sum("n").alias("n"))
+    return F.broadcast(pairs).join(found, ["dataset_a", "dataset_b", "column"], "left").select(
+        "dataset_a", "dataset_b", "column", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
 LI_NUM = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount"]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blendscope import plans, profile, quality, rowindex, variant
-from blendscope.session import local_table
+from blendscope.session import local_table, scratch_path
 
 from .views import table, union_all, view, with_views
 
@@ -375,3 +375,16 @@ def q6_types(spark, sf):
       round(100.0e0 - 100.0e0 * count(*) filter (where a is null) / (4 * count(*)), 4) as missing_values from k"""))
 def q6_consistency(spark, sf):
     return rounded(quality.components(json_events(spark, sf)).select("data_consistency", "missing_values"))
+
+
+# ---------------------------------------------------------------- stored profiles
+
+@register("k4_stored_profile", with_views("ev_null", profile_rounded("ev_null", EV_COLS)))
+def k4_stored(spark, sf):
+    """Written in two goes; the second refresh reads the second file only."""
+    path, store = scratch_path(spark, "source"), scratch_path(spark, "store")
+    rows = view(spark, sf, "ev_null")
+    for part in (rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1")):
+        part.write.mode("append").parquet(path)
+        plans.refresh(spark, path, store)
+    return rounded(plans.stored_column_profile(spark, path, store))
