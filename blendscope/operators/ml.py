@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,6 +148,18 @@ def preprocess(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- the learned recommender
 
+# Rows of a training partition at least: every level of a forest shuffles the statistics of all its nodes once per partition.
+TRAINING_ROWS = 5_000
+TRAINING_MB = 1024  # statistics of a level that one pass may hold; levels beyond it take several passes
+
+
+def training_frame(df: DataFrame, label: str) -> DataFrame:
+    """``df``, written once, spread over all cores or as many as its rows justify: a small table would be read by one task."""
+    stored = materialize(df, label)
+    parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism, -(-stored.count() // TRAINING_ROWS)))
+    return stored.repartition(parts, *[col(c) for c in stored.columns if not isinstance(stored.schema[c].dataType, VectorUDT)])
+
+
 def _forest(label: str, trees: int, depth: int, seed: int) -> Pipeline:
     return Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol=f"{label}_index", stringOrderType="alphabetAsc"),
@@ -153,7 +167,7 @@ def _forest(label: str, trees: int, depth: int, seed: int) -> Pipeline:
         RandomForestClassifier(
             labelCol=f"{label}_index", featuresCol=f"{label}_features", predictionCol=f"{label}_prediction",
             probabilityCol=f"{label}_probability", rawPredictionCol=f"{label}_raw", numTrees=trees,
-            maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed),
+            maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=TRAINING_MB),
     ])
 
 
@@ -164,8 +178,10 @@ def train_recommender(pairs: DataFrame, trees: int = 100, depth: int = 30, seed:
     """
     labelled = rules(features(pairs)).select(
         *FEATURES, F.col("recommendation").alias("action"), F.col("suggested_strategy").alias("plan"))
-    labelled = materialize(labelled, "training-pairs")
-    return {label: _forest(label, trees, depth, seed).fit(labelled) for label in ("action", "plan")}
+    labelled = training_frame(labelled, "training-pairs")
+    fitted = together(pairs.sparkSession, *[
+        lambda label=label: _forest(label, trees, depth, seed).fit(labelled) for label in ("action", "plan")])
+    return dict(zip(("action", "plan"), fitted))
 
 
 def save(models: dict, path: str) -> None:
@@ -303,36 +319,48 @@ def fused_training_set(a: DataFrame, b: DataFrame, target: str) -> DataFrame:
 def score_arm(df: DataFrame, target: str, regressor=None, seed: int = 42, scale: bool = False):
     """(r2, mse, training rows) of a regressor on an 80/20 split, or None below the minimum of rows or with an empty side."""
     names = [c for c in df.columns if c != target]
-    data = df.select(*[as_double(c).alias(c) for c in names], as_double(target).alias(target))
-    if not names or data.count() <= MIN_ROWS:
+    if not names:
         return None
-    train, test = split(data, 0.8, seed)
-    if train.isEmpty() or test.isEmpty():
+    data = df.select(*[as_double(c).alias(c) for c in names], as_double(target).alias(target))
+    # Split and written in one go (both parts read the same numbered rows); everything below reads what was written.
+    parts = zip(split(data, 0.8, seed), (True, False))
+    both = materialize(reduce(DataFrame.unionByName, [x.withColumn("_train", F.lit(flag)) for x, flag in parts]), "arm")
+    sizes = {r["_train"]: r["count"] for r in both.groupBy("_train").count().collect()}
+    if sum(sizes.values()) <= MIN_ROWS or len(sizes) < 2:
         return None
+    train, test = both.where("_train").drop("_train"), both.where("not _train").drop("_train")
     if scale:
         train, test = standard_scale(train, names), standard_scale(test, names, fit_on=train)
     ready = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="keep")
-    train, test = (materialize(ready.transform(x).select("_features", col(target).alias("_label")), "arm")
-                   for x in (train, test))
+
+    def vectors(x):
+        return ready.transform(x).select("_features", col(target).alias("_label"), F.xxhash64(*[col(c) for c in names]).alias("_place"))
+
     model = (regressor or boosted_trees()).copy()
-    model = model.setFeaturesCol("_features").setLabelCol("_label").setPredictionCol("_guess").fit(train)
-    guessed = model.transform(test)
-    judge = RegressionEvaluator(labelCol="_label", predictionCol="_guess")
-    return (judge.evaluate(guessed, {judge.metricName: "r2"}), judge.evaluate(guessed, {judge.metricName: "mse"}),
-            train.count())
+    model = model.setFeaturesCol("_features").setLabelCol("_label").setPredictionCol("_guess").fit(training_frame(vectors(train), "arm-train"))
+    guessed = model.transform(vectors(test)).select("_label", "_guess")
+    # One scan of the test rows gives both scores.
+    seen = agg_row(guessed, {"mse": F.avg((F.col("_label") - F.col("_guess")) ** 2), "spread": F.regr_sxx("_label", "_label") / F.count("*")})
+    r2 = 1.0 - seen["mse"] / seen["spread"] if seen["spread"] else float("nan")
+    return r2, seen["mse"], sizes[True]
 
 
 def boosted_trees(rounds: int = 100, step: float = 0.1, depth: int = 5, seed: int = 42) -> GBTRegressor:
     return GBTRegressor(maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed)
 
 
-def fusion_lift(a: DataFrame, b: DataFrame, target: str = None, regressor=None, seed: int = 42) -> DataFrame:
+def prepared(df: DataFrame) -> DataFrame:
+    """``preprocess``, written once."""
+    return materialize(preprocess(df), "prepared")
+
+
+def fusion_lift(a: DataFrame, b: DataFrame, target: str = None, regressor=None, seed: int = 42, ready: bool = False) -> DataFrame:
     """Rows (arm, r2, mse, samples) for a model on A alone, on B alone and on the fused common columns.
 
     Any Spark regressor may be given; boosted trees are the default. The default target is the first
-    numeric column of the prepared A.
+    numeric column of the prepared A. ``ready`` says that both tables are ``prepared`` already.
     """
-    ready_a, ready_b = materialize(preprocess(a), "prepared"), materialize(preprocess(b), "prepared")
+    ready_a, ready_b = (a, b) if ready else together(a.sparkSession, lambda: prepared(a), lambda: prepared(b))
     target = target or next(iter([*numeric_names(ready_a), *numeric_names(ready_b)]), None)
     if target is None:
         raise ValueError("no numeric target column found")

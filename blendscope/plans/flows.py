@@ -173,17 +173,20 @@ def study_fusion(tables: dict, order_by: dict, target: str = None, regressor=Non
     if len(tables) < 2:
         raise ValueError("need at least 2 datasets for fusion analysis")
     spark = next(iter(tables.values())).sparkSession
-    found = together(spark, *[lambda df=df: quality.score_v2(df).first() for df in tables.values()])
+    # Each table is scored and prepared once, whatever the number of its partners; then the pairs run side by side.
+    found = together(spark, *[lambda df=df: quality.score_v2(df).first() for df in tables.values()],
+                     *[lambda df=df: ml.prepared(ml.stable_sample(df, sample) if sample else df) for df in tables.values()])
     scores = [(n, float(row["quality_score"])) for n, row in zip(tables, found)]
-    rows = []
-    for x, y in combinations(tables, 2):
-        a, b = tables[x], tables[y]
-        over = compat.feature_overlap(a, b).first()
-        comp = compat.complementarity(a, b, order_by[x], order_by[y]).first()
-        test = [ml.stable_sample(df, sample) if sample else df for df in (a, b)]
-        lift = ml.lift_summary(ml.fusion_lift(*test, target, regressor)).first()
-        rows.append((x, y, over["overlap_percentage"], over["type_match_percentage"], comp["complementarity_score"],
-                     lift["r2_a"], lift["r2_b"], lift["r2_fused"], lift["improvement_vs_a"], lift["improvement_vs_b"]))
+    ready = dict(zip(tables, found[len(tables):]))
+
+    def pair(x, y):
+        over = compat.feature_overlap(tables[x], tables[y]).first()
+        comp = compat.complementarity(tables[x], tables[y], order_by[x], order_by[y]).first()
+        lift = ml.lift_summary(ml.fusion_lift(ready[x], ready[y], target, regressor, ready=True)).first()
+        return (x, y, over["overlap_percentage"], over["type_match_percentage"], comp["complementarity_score"],
+                lift["r2_a"], lift["r2_b"], lift["r2_fused"], lift["improvement_vs_a"], lift["improvement_vs_b"])
+
+    rows = together(spark, *[lambda x=x, y=y: pair(x, y) for x, y in combinations(tables, 2)])
     pairs = local_table(spark, rows, (
         "dataset_a string, dataset_b string, overlap_percentage double, type_match_percentage double, "
         "complementarity_score double, r2_a double, r2_b double, r2_fused double, improvement_vs_a double, "
