@@ -6,6 +6,12 @@ and must be placed before ceil((i + 1) * period / a), its deadline. The earliest
 slot; so at any slot every source has had its target number of blocks, less or more than one block. The schedule repeats
 after ``period`` slots and is worked out once for one period: its size is that of the shares, whatever the input.
 
+Shares are the weights themselves where these are whole numbers with a sum of at most ``MOST_SLOTS``, the period. Other weights are
+rounded to a period in which the smallest has ``FINE`` slots, at most ``MOST_SLOTS`` in all; a source below the 1 / MOST_SLOTS part
+then has one slot, and the deviation against the unrounded weight grows by at most half a block a period. Sources of equal share are one
+class, whose turns go round its sources in order, as their windows are the same; the step for a slot looks at each class once. Above
+``MOST_CLASSES`` different shares, these are rounded to steps of about one percent.
+
 A document belongs to the block it begins in; one longer than a block leaves the slots of the blocks it covers empty.
 When a source runs out, its slots stay empty and the others keep their proportions. No document is dropped or repeated.
 
@@ -26,7 +32,11 @@ from pyspark.sql import functions as F
 from blendscope.session import materialize
 
 BLOCK = 65_536  # characters
-PERIOD = 1000  # slots shared out; the period is the sum of the shares, each at least 1
+MOST_SLOTS, LEAST_SLOTS = 100_000, 2_000  # of a period, where weights are rounded
+FINE = 16  # slots of the smallest weight, where that gives no longer period
+MOST_CLASSES = 256  # different shares
+STEPS = 64  # steps a doubling is cut into beyond that
+CHUNK = 512  # slots appended at once
 EXPONENT = 0.5  # target weight of a source of n characters, where none is given: n ** EXPONENT
 BUCKET_ROWS = 1_000_000
 LEAST_BUCKETS, MOST_BUCKETS = 256, 65_536
@@ -38,45 +48,69 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def shares(sizes: DataFrame, weights: DataFrame | None, exponent: float, period: int) -> DataFrame:
-    """(key, share) from (key, total) and, if given, (source, weight)."""
+def shares(sizes: DataFrame, weights: DataFrame | None, exponent: float, most: int = MOST_SLOTS) -> DataFrame:
+    """(key, share) from (key, total) and, if given, (source, weight). One row per source."""
     if weights is None:
         rated = sizes.select("key", F.pow(F.greatest(F.col("total"), F.lit(1)).cast("double"), F.lit(exponent)).alias("w"))
     else:
         given = weights.groupBy(source_key(F.col("source")).alias("key")).agg(F.max(F.col("weight").cast("double")).alias("w"))
         rated = sizes.select("key").join(given, "key", "left")
         rated = rated.withColumn("w", F.coalesce("w", F.avg("w").over(W.partitionBy()), F.lit(1.0)))
-    part = F.round(F.lit(period) * F.col("w") / F.sum("w").over(W.partitionBy()))
-    return rated.select("key", F.greatest(part.cast("bigint"), F.lit(1).cast("bigint")).alias("share"))
+    w, every = F.col("w"), W.partitionBy()
+    plain = F.min(((w == F.round(w)) & (w >= 1)).cast("int")).over(every) * (F.sum("w").over(every) <= most).cast("int")
+    wanted = F.ceil(FINE * F.sum("w").over(every) / F.min("w").over(every))
+    period = F.least(F.greatest(wanted, F.lit(LEAST_SLOTS)), F.lit(most))
+    part = F.greatest(F.round(period * w / F.sum("w").over(every)), F.lit(1.0))
+    rated = rated.select("key", F.when(plain == 1, w).otherwise(part).cast("bigint").alias("share"))
+    classes = F.size(F.collect_set("share").over(every))
+    coarse = F.round(F.pow(F.lit(2.0), F.round(F.log2("share") * STEPS) / STEPS)).cast("bigint")
+    return rated.select("key", F.when(classes > MOST_CLASSES, coarse).otherwise(F.col("share")).alias("share"))
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def schedule(shared: DataFrame) -> DataFrame:
     """(key, share, period, slots): the slot of each of a source's blocks within a period."""
-    ordered = shared.agg(F.array_sort(F.collect_list(F.struct("key", "share"))).alias("s"), F.sum("share").alias("period"))
-    ordered = ordered.where("period is not null")
-    share, period = (lambda s: F.get(F.col("s"), s)["share"]), F.col("period")
-    last = F.size("s") - 1
+    classes = shared.groupBy("share").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    ordered = classes.agg(F.array_sort(F.collect_list(F.struct("share", F.size("keys").cast("bigint").alias("m")))).alias("s"),
+                          F.sum(F.col("share") * F.size("keys")).alias("period")).where("period is not null")
+    period, none = F.col("period"), F.struct(F.lit(None).cast("bigint").alias("deadline"), F.lit(None).cast("int").alias("s"))
 
     def step(state: Column, slot: Column) -> Column:
-        def offer(done: Column, s: Column) -> Column:
-            release = F.floor(done * period / share(s))
-            deadline = F.ceil((done + 1) * period / share(s))
-            return F.when((done < share(s)) & (release <= slot), F.struct(deadline.alias("deadline"), s.alias("s")))
-
-        chosen = F.array_min(F.transform(state["done"], offer))["s"]
-        done = F.transform(state["done"], lambda n, s: n + F.when(s == chosen, 1).otherwise(0))
-        return F.struct(done.alias("done"), F.concat(state["slots"], F.array(chosen)).alias("slots"))
-
-    first = F.struct(F.transform(F.sequence(F.lit(0), last), lambda s: F.lit(0).cast("bigint")).alias("done"),
-                     F.array().cast("array<int>").alias("slots"))
-    slots = F.aggregate(F.sequence(F.lit(0).cast("bigint"), period - 1), first, step, lambda state: state["slots"])
-    placed = ordered.select("s", "period", F.posexplode(slots).alias("slot", "n"))
-    return (placed.select(F.get(F.col("s"), F.col("n")).alias("one"), "period", "slot").groupBy("one.key", "one.share", "period")
-            .agg(F.array_sort(F.collect_list("slot")).alias("slots")))
+        def offer(c: Column, s: Column) -> Column:
+            # Turn k of a class is block k div m of its source k mod m.
+            block = F.floor(F.get(state["done"], s) / c["m"])
+            ready = (block < c["share"]) & (F.floor(block * period / c["share"]) <= slot)
+            return F.when(ready, F.struct(F.ceil((block + 1) * period / c["share"]).alias("deadline"), s.alias("s"))).otherwise(none)
+
+        chosen = F.array_min(F.filter(F.transform("s", offer), lambda o: o["s"].isNotNull()))["s"]
+        return bound(chosen, lambda pick: F.struct(
+            F.transform(state["done"], lambda n, s: n + F.when(s == pick, 1).otherwise(0)).alias("done"),
+            F.concat(state["slots"], F.array(pick)).alias("slots")))
+
+    def chunk(state: Column, first: Column) -> Column:
+        start = F.struct(state["done"].alias("done"), F.array().cast("array<int>").alias("slots"))
+        last = F.least(first + (CHUNK - 1), period - 1)
+        after = F.aggregate(F.sequence(first, last), start, step)
+        return bound(after, lambda x: F.struct(x["done"].alias("done"), F.concat(state["parts"], F.array(x["slots"])).alias("parts")))
+
+    zero = F.lit(0).cast("bigint")
+    first = F.struct(F.transform("s", lambda c: F.lit(0).cast("bigint")).alias("done"), F.array().cast("array<array<int>>").alias("parts"))
+    parts = F.aggregate(F.sequence(zero, period - 1, F.lit(CHUNK).cast("bigint")), first, chunk, lambda state: state["parts"])
+    # Written here: one task works the slots out, the others read them.
+    slots = materialize(ordered.select("s", "period", F.flatten(parts).alias("slots")), "mix-slots")
+    turns = slots.select("s", "period", F.posexplode("slots").alias("slot", "n"))
+    turns = turns.select("period", "slot", F.get(F.col("s"), F.col("n"))["share"].alias("share"))
+    turns = turns.withColumn("turn", F.row_number().over(W.partitionBy("share").orderBy("slot")) - 1).join(classes, "share")
+    placed = turns.select("period", "share", "slot", F.get(F.col("keys"), (F.col("turn") % F.size("keys")).cast("int")).alias("key"))
+    return placed.groupBy("key", "share", "period").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
 
 
 def mix(docs: DataFrame, size: Column, weights: DataFrame | None = None, exponent: float = EXPONENT, block: int = BLOCK,
-        period: int = PERIOD) -> DataFrame:
+        most: int = MOST_SLOTS) -> DataFrame:
     """Each row as ``doc`` with source, start (characters of its source before it), block, release, deadline, slot.
 
     Rows ordered by (slot, start) are the mixture.
@@ -94,7 +128,7 @@ def mix(docs: DataFrame, size: Column, weights: DataFrame | None = None, exponen
     totals = materialize(sized.groupBy("key", "bucket").agg(F.sum("size").alias("total")), "mix-totals")
     before = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = totals.select("key", "bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    plan = materialize(schedule(shares(totals.groupBy("key").agg(F.sum("total").alias("total")), weights, exponent, period)),
+    plan = materialize(schedule(shares(totals.groupBy("key").agg(F.sum("total").alias("total")), weights, exponent, most)),
                        "mix-plan")
 
     inside = W.partitionBy("key", "bucket").orderBy("digest", "doc_id").rowsBetween(W.unboundedPreceding, -1)

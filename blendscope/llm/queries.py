@@ -174,8 +174,13 @@ def op10(spark, sf):
         select *, coalesce(sum(size) over (partition by key order by digest, doc_id
                            rows between unbounded preceding and 1 preceding), 0) as start from d),
     w as (select key, pow(greatest(sum(size), 1), 0.5) as w from d group by key),
-    a as (select key, greatest(1, cast(round(1000 * w / sum(w) over ()) as bigint)) as share from w),
-    s as (select list(key order by key) as keys, list(share order by key) as sh, cast(sum(share) as bigint) as q, count(*) as n from a),
+    a0 as (select key, cast(case when bool_and(w = round(w)) over () and sum(w) over () <= 100000 then w else
+               greatest(1, round(least(greatest(ceil(16 * sum(w) over () / min(w) over ()), 2000), 100000) * w / sum(w) over ())) end
+             as bigint) as share from w),
+    a as (select key, case when (select count(distinct share) from a0) > 256
+                      then cast(round(pow(2e0, round(log2(share) * 64) / 64)) as bigint) else share end as share from a0),
+    s as (select list(key order by share, key) as keys, list(share order by share, key) as sh, cast(sum(share) as bigint) as q,
+                 count(*) as n from a),
     e as (
         select cast(0 as bigint) as t, [cast(0 as bigint) for i in range(1, n + 1)] as done, cast(null as bigint) as pick from s
         union all

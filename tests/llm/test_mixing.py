@@ -1,6 +1,5 @@
 """Mixing: every slot inside its window, deviations below a block, a step-by-step schedule as brute force."""
 
-import math
 import random
 
 from blendscope.llm import mixing
@@ -8,22 +7,22 @@ from pyspark.sql import functions as F
 
 
 def edf(share):
-    """Slots of each source in one period, by simulation."""
+    """Slots of each source in one period, by simulation; among equal deadlines the smaller share first, then the source."""
     period, done, slots = sum(share), [0] * len(share), [[] for _ in share]
     for t in range(period):
-        ready = [(math.ceil((done[s] + 1) * period / a), s) for s, a in enumerate(share) if done[s] < a and done[s] * period // a <= t]
-        s = min(ready)[1]
+        ready = [(-(-(done[s] + 1) * period // a), a, s) for s, a in enumerate(share) if done[s] < a and done[s] * period // a <= t]
+        s = min(ready)[2]
         slots[s].append(t)
         done[s] += 1
     return slots
 
 
 def test_schedule_equals_simulation(frame):
-    for share in ([1], [3, 1], [5, 3, 1, 1], [7, 7, 7], [97, 2, 1], [13, 11, 6, 4, 3, 1]):
-        keys = frame([(f"k{i:02d}", a) for i, a in enumerate(share)], "key string, share bigint")
+    for share in ([1], [3, 1], [5, 3, 1, 1], [7, 7, 7], [97, 2, 1], [13, 11, 6, 4, 3, 1], [300] + [1] * 300, [5, 5, 2, 2, 2, 9]):
+        keys = frame([(f"k{i:03d}", a) for i, a in enumerate(share)], "key string, share bigint")
         got = {r.key: (r.share, r.period, r.slots) for r in mixing.schedule(keys).collect()}
         want = edf(share)
-        assert got == {f"k{i:02d}": (a, sum(share), want[i]) for i, a in enumerate(share)}
+        assert got == {f"k{i:03d}": (a, sum(share), want[i]) for i, a in enumerate(share)}
 
 
 def test_deviation_stays_below_a_block(frame):
@@ -36,6 +35,34 @@ def test_deviation_stays_below_a_block(frame):
             assert abs(sum(s < t for s in r.slots) - t * r.share / period) < 1
 
 
+def test_half_of_the_weight_beside_thousands(frame):
+    n = 4999
+    sizes = frame([("hot", 10**9)] + [(f"s{i:04d}", 10**6) for i in range(n)], "key string, total bigint")
+    weights = frame([("hot", float(n))] + [(f"s{i:04d}", 1.0) for i in range(n)], "source string, weight double")
+    keyed = sizes.withColumn("key", mixing.source_key(F.col("key")))
+    rows = {r.key: r for r in mixing.schedule(mixing.shares(keyed, weights, 0.5)).collect()}
+    hot = rows["=hot"]
+    assert (hot.share, hot.period, len(rows)) == (n, 2 * n, n + 1) and all(len(r.slots) == r.share for r in rows.values())
+    assert all(abs(i - s / 2) < 1 and abs(i + 1 - (s + 1) / 2) < 1 for i, s in enumerate(hot.slots))
+    assert sorted(s for r in rows.values() for s in r.slots) == list(range(2 * n))
+
+
+def test_shares_of_uneven_weights(frame):
+    sizes = frame([(f"k{i}", (i + 1) * 1_000_003) for i in range(40)], "key string, total bigint")
+    rows = {r.key: r.share for r in mixing.shares(sizes, None, 0.5).collect()}
+    whole, w = sum(rows.values()), {f"k{i}": ((i + 1) * 1_000_003) ** 0.5 for i in range(40)}
+    assert all(abs(rows[k] - whole * w[k] / sum(w.values())) < 1 for k in rows) and min(rows.values()) >= mixing.FINE
+
+
+def test_many_different_shares(frame):
+    sizes = frame([(f"k{i:04d}", (i + 1) ** 2) for i in range(1500)], "key string, total bigint")
+    shares = mixing.shares(sizes, None, 0.5, most=20_000)
+    rows = shares.collect()
+    assert len({r.share for r in rows}) <= mixing.MOST_CLASSES and min(r.share for r in rows) >= 1
+    placed = mixing.schedule(shares).collect()
+    assert sorted(s for r in placed for s in r.slots) == list(range(sum(r.share for r in rows)))
+
+
 def documents(frame, n=600):
     rng = random.Random(7)
     rows = [(i, "x" * rng.randint(0, 900), "hot" if rng.random() < 0.4 else f"s{rng.randrange(5)}", "clash") for i in range(n)]
@@ -45,7 +72,7 @@ def documents(frame, n=600):
 
 def test_windows_and_places(frame):
     docs = documents(frame)
-    rows = mixing.mix(docs, F.length("text"), block=1000, period=50).collect()
+    rows = mixing.mix(docs, F.length("text"), block=1000).collect()
     assert len(rows) == docs.count()
     streams = {}
     for r in rows:
@@ -62,7 +89,7 @@ def test_windows_and_places(frame):
 def test_given_weights(frame):
     docs = frame([(i, "x" * 100, "ab"[i % 2]) for i in range(400)], "doc_id bigint, text string, source string")
     weights = frame([("a", 3.0), ("b", 1.0), ("unused", 5.0)], "source string, weight double")
-    rows = mixing.mix(docs, F.length("text"), weights=weights, block=1000, period=4).orderBy("slot", "start").collect()
+    rows = mixing.mix(docs, F.length("text"), weights=weights, block=1000).orderBy("slot", "start").collect()
     head = [r.source for r in rows if r.slot < 16]
     assert head.count("a") == 3 * head.count("b") == 120
 
