@@ -125,14 +125,19 @@ class Encoder:
     ``spaced`` tells where a text may be cut without changing its ids. True: before a space that no white
     space precedes or that a visible character follows, as for byte-level vocabularies whose pieces take the
     space before them. False: around every run of white space, for vocabularies that drop it.
+
+    The strings of special tokens in a text have the special ids, as the library gives them by default; a text that holds one is
+    encoded whole. ``plain`` makes them ordinary text.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.specials = [] if plain else [t.content for t in added if t.special]
         self.spaced = spaced
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         # How the vocabulary spells Latin letters and the space: the model can then be asked directly.
@@ -201,9 +206,19 @@ class Encoder:
         return (np.concatenate([np.zeros(0, np.uint32), *(p[0] for p in parts)]),
                 np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)]))
 
+    def whole(self, texts, batch: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces, but each text that holds the string of a special token as one piece."""
+        held = np.array([t is not None and any(s in t for s in self.specials) for t in texts], bool)
+        if not held.any():
+            return starts, ends
+        cut = ~held[batch.owner(starts)]
+        starts, ends = np.concatenate((starts[cut], batch.starts[held])), np.concatenate((ends[cut], batch.ends[held]))
+        order = np.argsort(starts)
+        return starts[order], ends[order]
+
     def encode_chunk(self, texts) -> tuple[np.ndarray, np.ndarray]:
         batch = Texts(texts)
-        starts, ends = self.pieces(batch)
+        starts, ends = self.whole(texts, batch, *self.pieces(batch))
         keys = batch.hashes(starts, ends)
         unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
         spot = np.searchsorted(self.known, unique)

@@ -61,7 +61,6 @@ def files(spark, docs):
 def test_hard_rows(spark, hard_docs):
     _, got = files(spark, hard_docs)
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     want = sorted(((r.doc_id is not None, r.doc_id or 0, zlib.crc32(raw), raw) for r in hard_docs.collect()
                    for raw in [np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()]),
                   key=lambda x: x[:2])
