@@ -7,7 +7,8 @@ Base kinds, leftmost and non-overlapping per kind, kept whatever their score: ``
 strings that only a context word close by lifts over the threshold.
 
 The patterns' quantifiers are possessive and a match starts only where a run of its characters begins or the last match
-ended, which finds what the plain patterns find in linear time, also in a text that is one long run.
+ended, which finds what the plain patterns find in linear time, also in a text that is one long run. Matches are placed, scored
+and replaced in time linear in their number.
 
 Defined cases: null text is empty, without spans; a null doc_id stays null; repeated rows give repeated rows; an
 empty table gives no rows; extra columns are not looked at by ``find`` and kept by ``redact``.
@@ -39,6 +40,8 @@ NEEDED = {"email": "@", "ip": ".", "phone": "+"}
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 THRESHOLD = 0.5
 NEAR = 40  # code points before a span in which context words count
+CHUNK = 512  # matches gathered in one array at a time
+PIECE = 4096  # code points of a piece of a text that is rewritten
 
 
 def characters(text: Column) -> Column:
@@ -78,19 +81,46 @@ def confirmed(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def in_chunks(items: Column, first: Column, step, out: str, kind: str) -> Column:
+    """``aggregate`` whose state grows an array ``out``: ``CHUNK`` items fill a new one, so that the work is linear in the items.
+
+    ``first`` is the state without ``out``, whose fields ``step`` carries on; gives the whole array.
+    """
+    fields = list(first)
+
+    def chunk(acc: Column, number: Column) -> Column:
+        start = F.struct(*[acc[f].alias(f) for f in fields], F.array().cast(kind).alias(out))
+        after = F.aggregate(F.slice(items, number * CHUNK + 1, CHUNK), start, step)
+        return bound(after, lambda x: F.struct(*[x[f].alias(f) for f in fields], F.concat(acc["parts"], F.array(x[out])).alias("parts")))
+
+    start = F.struct(*[v.alias(f) for f, v in first.items()], F.array().cast(f"array<{kind}>").alias("parts"))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))
+    return F.flatten(F.aggregate(numbers, start, chunk, lambda acc: acc["parts"]))
+
+
+MATCH = "array<struct<start:int,end:int,m:string,context:string>>"
+
+
 def placed(text: Column, pattern: str, found: Column) -> Column:
-    """Every match with its place: the texts between the matches give the distances."""
+    """Every match with its place and the ``NEAR`` characters before it: the texts between the matches give the distances."""
     steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found,
                        lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["m"])
-        spans = F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))))
-        return F.struct(end.alias("at"), spans.alias("spans"))
+        before = F.right(F.concat(acc["tail"], x["gap"]), F.lit(NEAR))
+        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), before.alias("context"))
+        return bound(span, lambda s: F.struct(
+            s["end"].alias("at"), F.right(F.concat(s["context"], s["m"]), F.lit(NEAR)).alias("tail"),
+            F.concat(acc["spans"], F.array(s)).alias("spans")))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("spans"))
-    return F.aggregate(steps, first, step, lambda acc: acc["spans"])
+    return bound(steps, lambda items: in_chunks(items, {"at": F.lit(0), "tail": F.lit("")}, step, "spans", MATCH))
 
 
 def spans(text: Column, kind: str, found: Column) -> Column:
@@ -98,9 +128,7 @@ def spans(text: Column, kind: str, found: Column) -> Column:
     pattern, base, words, bonus = KINDS[kind]
 
     def scored(s: Column) -> Column:
-        begin = F.greatest(s["start"] - NEAR, F.lit(0))
-        context = F.lower(F.substring(text, begin + 1, s["start"] - begin))
-        score = F.lit(base) + F.when(context.rlike(words), F.lit(bonus)).otherwise(F.lit(0.0))
+        score = F.lit(base) + F.when(F.lower(s["context"]).rlike(words), F.lit(bonus)).otherwise(F.lit(0.0))
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
 
     good = F.filter(placed(text, pattern, found), lambda s: confirmed(kind, s["m"]))
@@ -135,15 +163,22 @@ def redact(docs: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.transform(F.col(inner), lambda s: F.struct(
         s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"), s["end"].alias("end"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.coalesce(out, acc["out"]).alias("out"))
+    # Pieces of the text: a place in it is found from the start of its piece, not of the text.
+    pieces = f"{inner}_pieces"
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / PIECE).cast("int")), lambda k: F.substring(F.col("text"), k * PIECE + 1, F.lit(PIECE)))
+    marked = marked.withColumn(pieces, F.when(F.size(inner) > 0, cut))
 
-    def close(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+    def between(a: Column, b: Column) -> Column:
+        first, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        return F.substring(F.array_join(F.slice(F.col(pieces), first + 1, last - first + 1), ""), a % PIECE + 1, b - a)
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    text = F.when(F.size(inner) > 0, F.aggregate(ordered, first, step, close)).otherwise(F.col("text"))
-    out = marked.withColumn("text", text).drop(inner)
+    def step(acc: Column, s: Column) -> Column:
+        marks = F.array(between(acc["at"], s["start"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], marks)).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    kept = bound(ordered, lambda items: in_chunks(items, {"at": F.lit(0)}, step, "out", "array<string>"))
+    rest = between(F.array_max(F.transform(F.col(inner), lambda s: s["end"])), F.length("text"))
+    text = F.when(F.size(inner) > 0, F.concat(F.array_join(kept, ""), rest)).otherwise(F.col("text"))
+    out = marked.withColumn("text", text).drop(inner, pieces)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
