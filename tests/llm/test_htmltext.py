@@ -1,5 +1,7 @@
 """Main text: the parser, gradients against differences, accuracy on pages and on held-out rewritten pages."""
 
+import time
+
 import numpy as np
 import pytest
 from blendscope.llm import htmltext as h
@@ -85,8 +87,64 @@ def test_batches_do_not_change_labels(pages, model):
     assert all((a == model.label([b])[0]).all() for a, b in zip(together, blocks))
 
 
+LONG = "The long morning walk went under the old stone bridge, along the river and up to the paper mill."
+
+
+def div_only(n):
+    menu = "".join(f"<li><a href=#{i}>Menu {i}</a>" for i in range(6))
+    bodies = [[f"{LONG} Part {i} and {j}." for j in range(2 + i % 3)] for i in range(n)]
+    return [(i, "u", f"<html><body><div class=menu><ul>{menu}</ul></div><div class=content>" + "".join(f"<p>{b}</p>" for b in body)
+             + "</div><div class=footer>All rights reserved, page " + str(i) + "</div></body></html>", "\n".join(body)) for i, body in enumerate(bodies)]
+
+
+@pytest.mark.parametrize("n", [5, 60])
+def test_pages_without_article_tags(frame, n):
+    pages = div_only(n)
+    table = frame([p[:3] for p in pages], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in h.extract(table, h.fit(table)).collect()}
+    assert sum(got[p[0]] == p[3] for p in pages) >= 0.9 * n
+
+
 def test_without_pages(frame):
     empty = frame([], "page_id bigint, url string, html string")
     model = h.fit(empty)
     assert h.extract(empty, model).count() == 0
-    assert h.extract(frame([(1, "u", "<p>text")], "page_id bigint, url string, html string"), model).first().text == ""
+    body = "".join(f"<p>{LONG}</p>" for _ in range(4))
+    page = f"<html><body><nav><ul><li><a href=#>a</a><li><a href=#>b</a></ul></nav><article>{body}</article><footer>imprint</footer></body></html>"
+    assert h.extract(frame([(1, "u", page)], "page_id bigint, url string, html string"), model).first().text == "\n".join([LONG] * 4)
+
+
+def test_untidy_markup_loses_no_text():
+    def texts(page):
+        return [b[0] for b in h.parse(page)]
+
+    assert texts("<p title=it's>Hello world</p><p>we don't stop</p>") == ["Hello world", "we don't stop"]
+    assert texts("<p>a</p><select><option>x<p>rest</p><p>more") == ["a", "x", "rest", "more"]
+    assert texts("<p>a</p><select><option>x</select><svg><text>no</text></svg><object>gone</object><p>b") == ["a", "b"]
+    assert texts('<p title="a > b" class=c>x</p><p title = \'>\'>y<p title="open>z') == ["x", "y", "z"]
+    assert texts("a<script>b<p>c") == ["a"] and texts("<div =>a</div><a b=\"c\"d='e'f>g") == ["a", "g"]
+    assert texts("</div></b><p>a</i></span>b</p></p>c") == ["ab", "c"]
+
+
+@pytest.mark.parametrize("page", ["<div>a" * 100_000, "<b>" * 100_000 + "x" + "</i>" * 100_000, "<div>" * 100_000 + "</p>" * 100_000 + "x",
+                                  "<select>" * 50_000 + "x", "<p a=\"b" * 50_000, "<p>x</p>" * 100_000])
+def test_long_and_deep_pages_take_linear_time(page):
+    started = time.perf_counter()
+    blocks = h.parse(page)
+    assert time.perf_counter() - started < 20 and max((len(b[1]) for b in blocks), default=0) <= h.PATH_DEPTH
+
+
+def test_a_long_page_does_not_widen_the_grid_of_others(model):
+    pages = [h.parse("<p>word here</p>" * n) for n in (30_000, 1, 2, 0, 5)]
+    sizes = []
+    plain = model.grid
+    model.grid = lambda lengths: sizes.append(len(lengths) * lengths.max(initial=0)) or plain(lengths)
+    labels = model.label(pages)
+    del model.grid
+    assert [len(x) for x in labels] == [30_000, 1, 2, 0, 5] and sizes == [15, 30_000]
+
+
+def test_repeated_page_ids_choose_the_same_sample(frame):
+    rows = [(i % 7, "u", f"<article><p>{LONG} {i}</p></article>") for i in range(70)]
+    one, two = (h.fit(frame(r, "page_id bigint, url string, html string")) for r in (rows, rows[::-1]))
+    assert all((one.p[k] == two.p[k]).all() for k in one.p)
