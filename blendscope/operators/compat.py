@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import INTEGRAL, as_double, col, dtype_of, is_numeric, numeric_names
-from ..functions.names import best_ratios, clean_name, name_ratio
+from ..functions.names import best_of, best_ratios, clean_name
 from ..session import agg_row, local_table, together
 from ..sources.io import normalize
 from .profile import correlation_dict, cross_correlation, distinct_counts
@@ -279,7 +279,7 @@ def _null_flags(df: DataFrame, columns: list, order_by, side: str) -> tuple:
 
 def name_matches(a: DataFrame, b: DataFrame) -> list:
     """(column of A, best ratio against the columns of B)."""
-    return [(x, max((name_ratio(x, y) for y in b.columns), default=0.0)) for x in a.columns]
+    return list(zip(a.columns, best_of(a.columns, b.columns)))
 
 
 def name_similarity(pairs: DataFrame) -> DataFrame:

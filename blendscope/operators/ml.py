@@ -66,6 +66,17 @@ def stable_sample(df: DataFrame, n: int = 1000, seed: int = 42, key=None) -> Dat
     return numbered_copies(df).orderBy(copy_hash(df.columns, seed)).limit(n).drop("_copy")
 
 
+def file_sample(df: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
+    """``n`` rows of a frame read from Parquet files, each row with the same chance, chosen by its file and its place there.
+
+    No row is shuffled or grouped: a task keeps the ``n`` of its rows with the smallest digests, the driver's plan merges these. Copies of a row
+    are rows of their own. The sample stays the same as long as the files do.
+    """
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    marked = df.withColumn("_place", F.to_json(place))
+    return marked.orderBy(F.md5(F.concat_ws("|", "_place", F.lit(str(seed)))), "_place").limit(n).drop("_place")
+
+
 def split_bucket(digest: Column, buckets: int = 10000) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
 

@@ -53,11 +53,17 @@ def scratch():
     finally:
         _OWNERS.remove(mine)
         for path in mine:
-            system, place = fs.FileSystem.from_uri(path)
+            system, place = fs.FileSystem.from_uri(arrow_uri(path))
             if system.get_file_info(place).type == fs.FileType.Directory:
                 system.delete_dir(place)
 
 
+def arrow_uri(path: str) -> str:
+    """A folder as Arrow's file systems spell it: Hadoop's names of the S3 scheme are plain ``s3`` there."""
+    scheme, mark, rest = path.partition("://")
+    return f"s3://{rest}" if mark and scheme.lower() in ("s3a", "s3n") else path
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_folder(spark)}/blendscope/{label}-{uuid.uuid4().hex}"
     if _OWNERS:

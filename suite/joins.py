@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from blendscope import compat, fuse, ml, plans, rowindex
+from blendscope.functions.names import ratio_bound
 from blendscope.session import local_table
 
 from .stats import CUST_COLS, ORD_COLS, WEIGHTED, components_sql, corr_sql, profile_sql, rounded
@@ -181,6 +182,22 @@ def j9(spark, sf):
     return compat.name_similarity(name_pairs(spark, sf)).select("p_partkey", "column_name_similarity")
 
 
+SHARED = """list_sum(list_transform(list_distinct(string_split(x, '')), lambda c: least(length(x) - length(replace(x, c, '')),
+    length(y) - length(replace(y, c, '')))))"""
+
+
+@register("j9_name_bound", f"""select p_partkey, i as place, round(max(2.0e0 * {SHARED} / (length(x) + length(y))), 6) + 0.0e0 as bound
+    from (select p_partkey, unnest(string_split(lower(p_name || ' ' || p_brand), ' ')) as x,
+        generate_subscripts(string_split(lower(p_name || ' ' || p_brand), ' '), 1) as i from part) a
+    join (select p_partkey as k, unnest(string_split(lower(p_type || ' ' || p_name), ' ')) as y from part) b
+      on p_partkey = k group by 1, 2""")
+def j9_bound(spark, sf):
+    """What the search for the best ratio prunes by: never below the ratio itself."""
+    best = F.transform("names_a", lambda x: F.array_max(F.transform("names_b", lambda y: ratio_bound(x, y))))
+    return name_pairs(spark, sf).select("p_partkey", F.posexplode(best).alias("place", "bound")).select(
+        "p_partkey", (F.col("place") + 1).cast("bigint").alias("place"), (F.round("bound", 6) + 0.0).alias("bound"))
+
+
 @register("j9_name_levenshtein", """select p_partkey, round(100.0e0 * avg(best), 4) as column_name_similarity from (
     select p_partkey, i, max(greatest(0.0e0, 1 - levenshtein(x, y) / greatest(length(x), length(y), 1)::double)) as best
     from (select p_partkey, unnest(string_split(lower(p_name || ' ' || p_brand), ' ')) as x,
