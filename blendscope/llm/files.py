@@ -8,11 +8,13 @@ from functools import lru_cache
 
 from pyarrow import fs
 
+from blendscope.session import arrow_uri
+
 
 @lru_cache(maxsize=64)
 def locate(folder: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a folder given as a URI of any store that Arrow reads, or as an absolute path."""
-    return fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri(arrow_uri(folder))
 
 
 class Output:
