@@ -206,8 +206,9 @@ def op1(spark, sf):
 @register("op9_warc_index")
 def op9(spark, sf):
     folder = scratch_path(spark, "warc")
-    index = warc.write(table(spark, sf, "pages"), folder)
-    return warc.read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf, "pages")
+    warc.write(pages, folder)
+    return warc.read(pages.select(warc.url_key(F.col("url")).alias("key")), folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 # ---------------------------------------------------------------- main text of pages

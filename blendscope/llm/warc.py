@@ -3,10 +3,12 @@
 Captures are sorted by URL key, the host's labels reversed, then path and query (``org,example,www)/a?b``), and page_id. Each
 task writes a range of keys: ``part-N.warc.gz``, one gzip member per record, and ``part-N.cdx``, the sorted capture lines
 (key, page_id, offset, size) in compressed blocks, then a sparse directory with the first key of every block, and
-its place in the last 16 bytes. The table ``_blocks`` beside them has one row per block.
+its place in the last 16 bytes. Nothing else is stored.
 
 A lookup binary-searches the files' first keys, reads a file's directory, binary-searches it, reads one block,
-binary-searches its lines and reads the records found.
+binary-searches its lines and reads the records found. ``read`` looks up a table of keys that way: sorted keys first find their blocks in the
+directories, a key of many captures in many of them; then each block is read once, its lines searched for its keys, and one range of the
+archive holds the records found.
 
 Of the captures with equal payloads, that with the largest page_id is stored as response, the others as revisits of
 it: their record keeps the HTTP header, with the payload's length, and the payload's digest.
@@ -26,17 +28,21 @@ import zlib
 from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blendscope.session import local_table
+
 from .files import Output, locate, read_range
 
 LINES = 1000  # capture lines of a block at most
 BLOCK_BYTES = 8 << 20  # of records that the lines of a block point to, from which it is closed
 LEVEL = 3
 TAIL = struct.Struct("<QQ")
-BLOCKS = "file int, first_key string, last_key string, offset bigint, size bigint, n bigint"
+WRITTEN = "file int, blocks bigint"
+PLACES = "file int, offset bigint, size bigint, key string"
 CAPTURES = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
@@ -103,13 +109,13 @@ class Writer:
         self.index = Output(folder, f"part-{number:05d}.cdx")
         self.number, self.date = number, date
         self.lines: list[str] = []
-        self.bytes, self.keys = 0, ("", "")
+        self.bytes, self.first = 0, ""
         self.blocks: list[tuple] = []
 
     def add(self, key: str, page_id, url, payload: bytes, refers_to) -> None:
         data = gzipped(record(page_id, url, payload, refers_to, self.date))
         at = self.records.write(data)
-        self.keys = (self.keys[0] if self.lines else key, key)
+        self.first = self.first if self.lines else key
         self.lines.append(f"{key} {page_id} {at} {len(data)}")
         self.bytes += len(data)
         if len(self.lines) >= LINES or self.bytes >= BLOCK_BYTES:
@@ -118,20 +124,18 @@ class Writer:
     def close_block(self) -> None:
         if self.lines:
             data = gzipped("\n".join(self.lines).encode("utf-8", "surrogatepass"))
-            self.blocks.append((self.number, *self.keys, self.index.write(data), len(data), len(self.lines)))
+            self.blocks.append((self.first, self.index.write(data), len(data)))
             self.lines, self.bytes = [], 0
 
     def close(self) -> pa.RecordBatch:
         self.close_block()
-        directory = gzipped(json.dumps([[b[1], b[3], b[4]] for b in self.blocks]).encode())
+        directory = gzipped(json.dumps(self.blocks).encode())
         self.index.write(directory + TAIL.pack(self.index.size, len(directory)))
-        names = [c.split()[0] for c in BLOCKS.split(", ")]
-        kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([b[i] for b in self.blocks], k) for i, k in enumerate(kinds)], names=names)
+        return pa.RecordBatch.from_pydict({"file": pa.array([self.number], pa.int32()), "blocks": [len(self.blocks)]})
 
 
-def write(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Write all pages below ``folder`` and return the blocks of the index.
+def write(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Write all pages below ``folder``.
 
     Payloads are shuffled once. Which captures are revisits is found on digests alone; those marks travel with the
     captures to the same range of keys, where each comes just before its capture.
@@ -166,12 +170,37 @@ def write(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") ->
 
     (both.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "is_page")
      .select("key", "page_id", "url", "payload", "is_page", "digest", "top")
-     .mapInArrow(run, BLOCKS).write.parquet(f"{folder}/_blocks"))
-    return blocks(pages.sparkSession, folder)
+     .mapInArrow(run, WRITTEN).write.format("noop").mode("overwrite").save())
+
+
+def directory_of(folder: str, file: int) -> list[list]:
+    """[first key, offset, size] of each block of an index file."""
+    name = f"part-{file:05d}.cdx"
+    system, path = locate(folder)
+    size = system.get_file_info(f"{path}/{name}").size
+    place = TAIL.unpack(read_range(folder, name, size - TAIL.size, TAIL.size))
+    return json.loads(gunzipped(read_range(folder, name, *place)))
+
+
+def first_keys(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(file, first key) of the index files that hold a line, in key order; one row per file."""
+    system, path = locate(folder)
+    listed = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    files = sorted(int(f.base_name[5:-4]) for f in listed if f.base_name.startswith("part-") and f.base_name.endswith(".cdx"))
 
+    def run(batches):
+        for batch in batches:
+            found = [(f, directory_of(folder, f)) for f in batch.column(0).to_pylist()]
+            found = [(f, d[0][0]) for f, d in found if d]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int32()), pa.array([k for _, k in found], pa.string())], names=["file", "first"])
+
+    rows = local_table(spark, [(f,) for f in files], "file int").repartition(max(1, min(len(files), spark.sparkContext.defaultParallelism)), "file")
+    return sorted(tuple(r) for r in rows.mapInArrow(run, "file int, first string").collect()) if files else []
 
-def blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(BLOCKS).parquet(f"{folder}/_blocks")
+
+def span(firsts: list[str], key: str) -> range:
+    """The parts that may hold a key, given the first key of each: it may begin in the part before the first one that reaches it."""
+    return range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key))
 
 
 def block_lines(folder: str, file: int, offset: int, size: int) -> list[list[str]]:
@@ -179,53 +208,72 @@ def block_lines(folder: str, file: int, offset: int, size: int) -> list[list[str
     return [line.rsplit(" ", 3) for line in data.decode("utf-8", "surrogatepass").split("\n")]
 
 
-def read(index: DataFrame, folder: str) -> DataFrame:
-    """One row per record of the given index blocks, parsed from the archives."""
+def captures(folder: str, file: int, lines: list[list[str]], keys: list[str]) -> list[dict]:
+    """The records of the given keys among the sorted lines of a block, by one range read of the archive."""
+    names = [line[0] for line in lines]
+    found = [(int(line[2]), int(line[3])) for key in keys for line in lines[bisect_left(names, key):bisect_right(names, key)]]
+    if not found:
+        return []
+    first, end = found[0][0], sum(found[-1])
+    data = read_range(folder, f"part-{file:05d}.warc.gz", first, end - first)
+    return [parse(gunzipped(data[at - first:at - first + size])) for at, size in found]
+
+
+def read(keys: DataFrame, folder: str) -> DataFrame:
+    """One row per record of the URL keys in the column ``key``, found through the index; a repeated key counts once."""
+    spark = keys.sparkSession
+    files = first_keys(spark, folder)
+    numbers, firsts = [f for f, _ in files], [k for _, k in files]
+
+    def locate_blocks(batches):
+        file, directory = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for key in batch.column(0).to_pylist():
+                for i in span(firsts, key):
+                    if numbers[i] != file:  # keys come sorted, so each directory is read once
+                        file, directory = numbers[i], directory_of(folder, numbers[i])
+                        begins = [d[0] for d in directory]
+                    out += [(file, directory[k][1], directory[k][2], key) for k in span(begins, key)]
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["file", "offset", "size", "key"])
+
     names = [c.split()[0] for c in CAPTURES.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
-    def run(batches):
+    def fetch(batches):
+        def one(place: tuple, wanted: list[str]):
+            found = captures(folder, place[0], block_lines(folder, *place), wanted)
+            return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], k) for c, k in zip(names, kinds)], names=names)
+
+        place, wanted = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                lines = [(int(at), int(size)) for _, _, at, size in block_lines(folder, row["file"], row["offset"], row["size"])]
-                first, end = lines[0][0], sum(lines[-1])
-                data = read_range(folder, f"part-{row['file']:05d}.warc.gz", first, end - first)
-                found = [parse(gunzipped(data[at - first:at - first + size])) for at, size in lines]
-                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], k) for c, k in zip(names, kinds)], names=names)
+            for *here, key in zip(*(c.to_pylist() for c in batch.columns)):
+                if tuple(here) != place:
+                    if wanted:
+                        yield one(place, wanted)
+                    place, wanted = tuple(here), []
+                wanted.append(key)
+        if wanted:
+            yield one(place, wanted)
 
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return index.select("file", "offset", "size").repartition(parts, "file", "offset").mapInArrow(run, CAPTURES)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_keys = keys.select("key").where("key is not null").distinct().repartitionByRange(parts, "key").sortWithinPartitions("key")
+    places = sorted_keys.mapInArrow(locate_blocks, PLACES)
+    return places.repartition(parts, "file", "offset").sortWithinPartitions("file", "offset", "key").mapInArrow(fetch, CAPTURES)
 
 
 class Lookup:
-    """Captures of a key, by range reads; ``blocks`` gives the first key of each file."""
+    """Captures of single keys, by range reads from where this is used."""
 
-    def __init__(self, index: DataFrame, folder: str):
-        self.folder = folder
-        firsts = index.groupBy("file").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).orderBy("file").collect()
-        self.files = [r["file"] for r in firsts]
-        self.firsts, self.lasts = [r["first"] for r in firsts], [r["last"] for r in firsts]
+    def __init__(self, spark: SparkSession, folder: str):
+        self.folder, self.files = folder, first_keys(spark, folder)
 
     def find(self, key: str) -> list[dict]:
         out = []
-        at = bisect_left(self.lasts, key)
-        while at < len(self.files) and self.firsts[at] <= key:
-            out += self.find_in(self.files[at], key)
-            at += 1
-        return out
-
-    def find_in(self, file: int, key: str) -> list[dict]:
-        name = f"part-{file:05d}.cdx"
-        system, path = locate(self.folder)
-        size = system.get_file_info(f"{path}/{name}").size
-        directory = json.loads(gunzipped(read_range(self.folder, name, *TAIL.unpack(
-            read_range(self.folder, name, size - TAIL.size, TAIL.size)))))
-        keys = [d[0] for d in directory]
-        out = []
-        # The key may begin in the block before the first whose first key reaches it.
-        for _, offset, length in directory[max(0, bisect_left(keys, key) - 1):bisect_right(keys, key)]:
-            lines = block_lines(self.folder, file, offset, length)
-            names = [line[0] for line in lines]
-            for line in lines[bisect_left(names, key):bisect_right(names, key)]:
-                out.append(parse(gunzipped(read_range(self.folder, f"part-{file:05d}.warc.gz", int(line[2]), int(line[3])))))
+        for i in span([k for _, k in self.files], key):
+            file = self.files[i][0]
+            directory = directory_of(self.folder, file)
+            for k in span([d[0] for d in directory], key):
+                out += captures(self.folder, file, block_lines(self.folder, file, *directory[k][1:]), [key])
         return out

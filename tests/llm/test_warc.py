@@ -14,7 +14,8 @@ def sha(text):
 
 def stored(spark, pages):
     folder = scratch_path(spark, "warc")
-    return warc.write(pages, folder), folder
+    warc.write(pages, folder)
+    return pages.select(warc.url_key(F.col("url")).alias("key")), folder
 
 
 def test_round_trip_and_revisits(spark, frame, monkeypatch):
@@ -22,8 +23,8 @@ def test_round_trip_and_revisits(spark, frame, monkeypatch):
     rows += [(1000, None, None, 0), (1001, "no url", "", 0), (1002, "http://u@H.org:80/a b", "z" * 300_000, 0),
              (1003, "http://a.b/\r\nc", "\r\n\r\nWARC/1.1\r\n\r\n", 0), (None, "http://n/", "page 1 é", 0), (5, "http://twin/", "page 5 é", 0)]
     pages = frame(rows, "page_id bigint, url string, html string, payload int").repartition(3)
-    index, folder = stored(spark, pages)
-    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(index, folder).collect()), key=repr)
+    keys, folder = stored(spark, pages)
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(keys, folder).collect()), key=repr)
     top = {}
     for page, _, html, _ in rows:
         if page is not None:
@@ -32,7 +33,7 @@ def test_round_trip_and_revisits(spark, frame, monkeypatch):
                    for p, _, h, _ in rows), key=repr)
     assert got == want
 
-    look = warc.Lookup(index, folder)
+    look = warc.Lookup(spark, folder)
     for row in pages.select(warc.url_key(F.col("url")).alias("key")).groupBy("key").count().collect():
         assert len(look.find(row["key"])) == row["count"]
     assert look.find("org,nowhere)/") == []
@@ -50,7 +51,10 @@ def test_small_blocks_are_searched(spark, frame):
     finally:
         warc.LINES = lines
     look = object.__new__(warc.Lookup)
-    look.folder, look.files, look.firsts, look.lasts = folder, [0], ["k00"], ["k05"]
+    look.folder, look.files = folder, warc.first_keys(spark, folder)
+    assert look.files == [(0, "k00")] and len(warc.directory_of(folder, 0)) == 13
+    some = frame([("k03",), ("k01",), ("k03",), ("k09",), (None,)], "key string")
+    assert sorted(r.page_id for r in warc.read(some, folder).collect()) == [i for i in range(50) if i // 9 in (1, 3)]
     for k in range(6):
         assert [r["page_id"] for r in look.find(f"k{k:02d}")] == [i for i in range(50) if i // 9 == k]
     assert look.find("k03x") == [] and look.find("a") == [] and look.find("z") == []
@@ -62,5 +66,14 @@ def test_key_reverses_the_host(frame):
 
 
 def test_empty_table(spark, frame):
-    index, folder = stored(spark, frame([], "page_id bigint, url string, html string"))
-    assert warc.read(index, folder).count() == 0 and warc.Lookup(index, folder).find("x") == []
+    keys, folder = stored(spark, frame([], "page_id bigint, url string, html string"))
+    assert warc.read(keys, folder).count() == 0 and warc.Lookup(spark, folder).find("x") == []
+
+
+def test_a_key_of_most_captures_spreads_over_blocks(spark, frame):
+    """Also rows equal in page_id and payload: each has its record."""
+    pages = frame([(i, "http://hot/", f"p{i}") for i in range(3500)] + [(7, "http://hot/", "p7"), (9, "http://cold/", "c")],
+                  "page_id bigint, url string, html string").repartition(4)
+    keys, folder = stored(spark, pages)
+    got = sorted(r.page_id for r in warc.read(keys, folder).collect())
+    assert got == sorted([*range(3500), 7, 9])
