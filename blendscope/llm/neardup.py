@@ -8,15 +8,16 @@ them with a probability of about 5e-6.
 
 Copies with equal sets are grouped first; only one of each takes part. In every bucket one member is the centre and
 is compared with each other one, so pairs grow with the members, not with their square. Buckets that still hold several
-components after that get another centre, compared with the members of other components, and so on until a
-round finds no link, after ``LEAST_ROUNDS`` rounds at least.
+components after that get another centre, compared with the members of other components, for ``ROUNDS`` rounds. A round's
+links are contracted to links of components, so later rounds work on ever fewer nodes.
 
 Members of buckets that hold several components even then meet in an exact prefix join: shingles of every set are ordered
 rare ones first, and a pair at 0.75 has a shingle in common within the first seventh of the smaller set and the first
 quarter of the larger one, at places that leave enough shingles behind them. So pairs that no centre linked are found,
 while members of one template, whose own shingles come first, do not meet. How rare a shingle is decides only the cost:
 it is read from counts per 2^20 hash ranges. Nothing is capped: any bucket, however large, takes part in full, and a hot
-one is aggregated before the shuffle and split in joins.
+one is aggregated before the shuffle and split in joins. Sets that more than one in ``HOT`` documents share, at most ``HOT``
+of them, are broadcast to their documents; the others meet theirs in a shuffle.
 
 Defined cases: null or empty text, or text of white space, has an empty set and is linked with nothing; fewer than
 five words are one shingle; rows with a null doc_id are linked with nothing, get a null component and are
@@ -44,7 +45,8 @@ ROWS, BANDS = 4, 32
 BINS = ROWS * BANDS
 BIN_BITS = BINS.bit_length() - 1
 PROBES = 512
-LEAST_ROUNDS = 3
+ROUNDS = 3
+HOT = 10_000
 RANGE_BITS = 20  # hash ranges in which shingles are counted, to put rare ones first
 
 # A table of ids or pairs of ids of at most so many rows (8 or 16 bytes each) may be broadcast; above, the join shuffles.
@@ -254,7 +256,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest linked doc_id), kept (it is that one)."""
     known = materialize(features(docs), "features")
     with_id = known.where("doc_id is not null")
-    copies = (with_id.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep")))
+    copies = (with_id.where("n_shingles > 0").groupBy("set_id")
+              .agg(F.min("doc_id").alias("rep"), F.count("*").alias("times")))
+    copies = materialize(copies, "copies")
     single = with_id.where("bands is not null").join(
         copies, (with_id.set_id == copies.set_id) & (with_id.doc_id == copies.rep), "left_semi")
     rows = single.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
@@ -265,40 +269,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = materialize(buckets.select("node").distinct(), "nodes")
     sets = materialize(full_sets(docs.join(few(nodes, nodes.count()), F.col("doc_id") == F.col("node"), "left_semi")), "sets")
 
-    links, seen, labels, turn = None, None, None, 0
-    while True:
+    labels, seen = nodes.select("node", F.col("node").alias("label")), None
+    for turn in range(ROUNDS):
         pairs = star_pairs(buckets, turn)
         pairs = materialize(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(confirm(pairs, sets), "confirmed")
-        none = found.isEmpty()
-        turn += 1
-        if not none:
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        if none and turn >= LEAST_ROUNDS:
-            break
         seen = pairs if seen is None else seen.unionByName(pairs)
-        if labels is None:
+        found = materialize(confirm(pairs, sets), "confirmed")
+        if found.isEmpty():
             continue
-        named = buckets.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        buckets = materialize(named.select("band", "node", "n", "label"), "buckets")
+        labels = joined_by(labels, found)
+        buckets = materialize(buckets.drop("label").join(labels, "node"), "buckets")
 
     pairs = prefix_pairs(buckets, sets)
     if pairs is not None:
-        compared = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
-        found = materialize(confirm(materialize(compared, "pairs"), sets), "confirmed")
+        found = materialize(confirm(materialize(pairs.join(seen, ["a", "b"], "left_anti"), "pairs"), sets), "confirmed")
         if not found.isEmpty():
-            labels = components(found if links is None else links.unionByName(found))
-
-    out = known.select("doc_id", "n_shingles", "set_id").join(copies, "set_id", "left")
-    if labels is not None:
-        out = out.join(labels, F.col("rep") == F.col("node"), "left")
-        out = out.withColumn("component_id", F.coalesce("label", "rep", "doc_id"))
-    else:
-        out = out.withColumn("component_id", F.coalesce("rep", "doc_id"))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id",
-                      F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+            labels = joined_by(labels, found)
+
+    named = materialize(copies.join(labels, copies.rep == labels.node, "left")
+                        .select("set_id", "times", F.coalesce("label", "rep").alias("component_id")), "named-sets")
+    return labelled(known, named)
+
+
+def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, label) after links (a, b) between nodes joined their components; the smallest node stays the label."""
+    one, two = (labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
+    between = (links.join(one, "a").join(two, "b").where("label_a != label_b")
+               .select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+    moved = components(materialize(between, "label-links")).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    after = labels.join(few(moved, moved.count()), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return materialize(after, "labels")
+
+
+def labelled(known: DataFrame, named: DataFrame, hot_share: int = HOT) -> DataFrame:
+    """Documents with the component of their set; no task gets all copies of a hot set, nor all documents without one."""
+    known = known.select("doc_id", "n_shingles", "set_id")
+    least = known.count() // hot_share
+    hot = named.where(F.col("times") > least).select("set_id", "component_id")
+    with_set = known.where("doc_id is not null and set_id is not null")
+    near = with_set.join(F.broadcast(hot), "set_id", "left") if least else with_set.withColumn("component_id", F.lit(None).cast("bigint"))
+    rest = near.where("component_id is null").drop("component_id").join(
+        named.where(F.col("times") <= least) if least else named, "set_id")
+    alone = known.where("doc_id is null or set_id is null").withColumn("component_id", F.col("doc_id"))
+    columns = ["doc_id", "n_shingles", "component_id"]
+    out = alone.select(columns).unionByName(near.where("component_id is not null").select(columns)).unionByName(rest.select(columns))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

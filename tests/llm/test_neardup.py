@@ -89,6 +89,21 @@ def test_empty_table_and_no_links(frame):
     compare(frame([(1, "nothing alike here at all"), (2, "something else is written there")], "doc_id bigint, text string"))
 
 
+def test_hot_sets_and_missing_ids_are_labelled_like_others(frame):
+    sets = {b"hot": 300, b"warm": 9, b"one": 1}
+    rows, named, at = [], [], 0
+    for set_id, times in sets.items():
+        rows += [(at + i, 3, set_id) for i in range(times)]
+        named.append((set_id, times, at))
+        at += times
+    rows += [(at, 0, None), (None, 3, b"hot"), (None, 0, None)]
+    got = neardup.labelled(frame(rows, "doc_id bigint, n_shingles bigint, set_id binary"),
+                           frame(named, "set_id binary, times bigint, component_id bigint"), hot_share=10).collect()
+    label = {set_id: first for set_id, _, first in named}
+    want = {(d, n, None if d is None else label.get(s, d), d is None or label.get(s, d) == d) for d, n, s in rows}
+    assert len(got) == len(rows) and {tuple(r) for r in got} == want
+
+
 def test_deduplicate_keeps_one_row_of_a_document(hard_docs):
     got = neardup.deduplicate(hard_docs)
     assert got.columns == hard_docs.columns
