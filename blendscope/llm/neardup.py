@@ -240,7 +240,8 @@ def prefix_pairs(buckets: DataFrame, sets: DataFrame) -> DataFrame | None:
     shared = (spread.groupBy("token", "label").agg(F.count("*").alias("times")).groupBy("token")
               .agg(F.max(F.struct("times", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
               .select("token", F.col("top.label").alias("top")))
-    rows = materialize(spread.join(shared, "token"), "shared-shingles")
+    # Written first: a join of two plain shuffles can be split at a hot shingle, one with an aggregate in its stage cannot.
+    rows = materialize(spread.join(materialize(shared, "shared-tokens"), "token"), "shared-shingles")
     one = rows.where("7 * place <= n").select("token", F.expr("int(label = top)").alias("side"),
                                               F.struct("node", "n", "label", "place").alias("x"))
     two = rows.select("token", F.explode(F.expr("if(label = top, array(0), array(0, 1))")).alias("side"),
