@@ -1,5 +1,6 @@
 """Toxicity: held-out accuracy on a planted vocabulary, and what a score may depend on."""
 
+import math
 import random
 import zlib
 
@@ -63,3 +64,30 @@ def test_calibration_recovers_a_scale():
     scale, shift = toxicity.calibration(sums, labels)
     assert abs(scale - 2) < 0.15 and abs(shift + 1) < 0.15
     assert toxicity.calibration(sums, np.zeros(20_000, int)) == toxicity.calibration(np.zeros(0), np.zeros(0, int)) == (1.0, 0.0)
+
+
+def test_ftrl_equals_a_plain_version():
+    rng = random.Random(4)
+    rows = [(sorted(rng.sample(range(40), rng.randint(0, 12))), rng.randint(0, 1)) for _ in range(400)]
+    model, z, n = toxicity.Ftrl(), {}, {}
+
+    def weight(i):
+        l1, l2 = (0.0, 0.0) if i == toxicity.BUCKETS else (toxicity.L1, toxicity.L2)
+        zi = z.get(i, 0.0)
+        if abs(zi) <= l1:
+            return 0.0
+        return ((l1 if zi > 0 else -l1) - zi) / ((toxicity.BETA + math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA + l2)
+
+    for at, label in rows:
+        model.learn(np.array(at, np.int64), label)
+        at = [*at, toxicity.BUCKETS]
+        w = [weight(i) for i in at]
+        g = 1 / (1 + math.exp(-sum(w))) - label
+        for i, wi in zip(at, w):
+            old = n.get(i, 0.0)
+            z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / toxicity.ALPHA * wi
+            n[i] = old + g * g
+    places = np.array([*range(40), toxicity.BUCKETS])
+    want = [weight(i) for i in places.tolist()]
+    assert np.allclose(model.weights(places), want, rtol=1e-9, atol=1e-12)
+    assert 0 < sum(w == 0 for w in want) < len(want)
