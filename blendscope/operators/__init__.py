@@ -1,3 +1,3 @@
-from . import clean, compat, fuse, ml, profile, quality, recommend, report, rowindex, schema, types, variant
+from . import clean, compat, fuse, ml, profile, quality, recommend, report, rowindex, schema, sketch, types, variant
 
-__all__ = ["clean", "compat", "fuse", "ml", "profile", "quality", "recommend", "report", "rowindex", "schema", "types", "variant"]
+__all__ = ["clean", "compat", "fuse", "ml", "profile", "quality", "recommend", "report", "rowindex", "schema", "sketch", "types", "variant"]

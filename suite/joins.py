@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blendscope import compat, fuse, ml, plans, rowindex
+from blendscope import compat, fuse, ml, plans, profile, rowindex, sketch
 from blendscope.functions.names import ratio_bound
 from blendscope.session import local_table
 
@@ -321,6 +324,38 @@ def catalog_overlap(spark, sf):
         "dataset_a", "dataset_b", "column", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
+SKETCHED = {"cust_a": ["id", "name", "balance", "segment"], "ord_b": ["id", "balance", "segment", "status"],
+            "li_a": ["l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"]}
+SKETCH_LG = 10  # 1,024 values a sketch, so that larger columns are estimated at every scale
+
+
+@register("u5_sketch_distinct", with_views(list(SKETCHED), union_all([
+    f"select '{t}' as dataset, '{c}' as \"column\", count(distinct {c}) as n, true as within, count(distinct {c}) <= {1 << SKETCH_LG} as exact from {t}"
+    for t, cols in SKETCHED.items() for c in cols])))
+def sketch_distinct(spark, sf):
+    """Distinct values by sketches: do the stated bounds hold the exact count, and are small counts exact?"""
+    out = []
+    for t, cols in SKETCHED.items():
+        df = view(spark, sf, t)
+        exact = local_table(spark, list(profile.distinct_counts(df, cols).items()), "column string, n bigint")
+        seen = sketch.distinct(sketch.states(df, cols, SKETCH_LG)).select("column", "low", "high")
+        out.append(F.broadcast(exact).join(seen, "column").select(
+            F.lit(t).alias("dataset"), "column", "n", F.col("n").between(F.col("low"), F.col("high")).alias("within"),
+            (F.col("low") == F.col("high")).alias("exact")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@register("u5_sketch_overlap", with_views(list(CATALOG), union_all([
+    f"select '{x}' as dataset_a, '{y}' as dataset_b, '{c}' as \"column\", (select count(distinct a.{c}) from {x} a join {y} b on a.{c} = b.{c}) as n, "
+    "true as within" for x, y, c in CATALOG_PAIRS])))
+def sketch_overlap(spark, sf):
+    """Common values of all pairs of a catalog by sketches: do the stated bounds hold the exact number?"""
+    tables = {n: view(spark, sf, n) for n in CATALOG}
+    seen = sketch.catalog_overlap(tables, CATALOG, SKETCH_LG).select("dataset_a", "dataset_b", "column", "low", "high")
+    return catalog_overlap(spark, sf).join(seen, ["dataset_a", "dataset_b", "column"], "left").select(
+        "dataset_a", "dataset_b", "column", "n", F.col("n").between(F.col("low"), F.col("high")).alias("within"))
+
+
 LI_NUM = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount"]
 
 
