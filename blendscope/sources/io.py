@@ -21,11 +21,12 @@ INFINITE_PATTERN = r"(?i)^[+-]?inf(inity)?$"
 EXACT_DIGITS = r"^[+-]?0*[0-9]{1,15}$"  # integers that a double holds exactly
 
 
-def read_csv(spark: SparkSession, path, schema=None, na_tokens=None, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path, schema=None, na_tokens=None, multi_line: bool = False, strict: bool = False) -> DataFrame:
     """Read delimited text with a header; every NA token becomes NULL and types follow the values.
 
     Give ``schema`` on large data: it saves the inference pass. ``multi_line`` allows line breaks inside quotes, at the
-    price that a file is no longer split.
+    price that a file is no longer split. A cell that does not fit its type in ``schema`` is read as NULL; with ``strict`` it
+    fails the read.
     """
     tokens = NA_TOKENS if na_tokens is None else list(na_tokens)
     raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line)
@@ -34,8 +35,12 @@ def read_csv(spark: SparkSession, path, schema=None, na_tokens=None, multi_line:
     ])
     if schema is not None:
         want = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        return text.select(*[F.trim(col(f.name)).cast(f.dataType).alias(f.name)
-                             if not is_string(f.dataType) else col(f.name) for f in want.fields])
+
+        def typed(f):
+            cell = F.trim(col(f.name))
+            return (cell.cast(f.dataType) if strict else cell.try_cast(f.dataType)).alias(f.name)
+
+        return text.select(*[col(f.name) if is_string(f.dataType) else typed(f) for f in want.fields])
     return infer_types(text)
 
 

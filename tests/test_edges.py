@@ -569,3 +569,13 @@ def test_many_copies_of_one_row_are_dealt_out_by_many_tasks(spark):
     assert sum(r["count"] for r in hot) == 350_000 and max(r["count"] for r in hot) < 200_000
     facts = numbered.where("v = 0").agg(F.count_distinct("_copy"), F.min("_copy"), F.max("_copy")).first()
     assert tuple(facts) == (350_000, 1, 350_000) and numbered.count() == 400_000
+
+
+def test_csv_cells_that_do_not_fit_the_schema(spark, tmp_path):
+    path = tmp_path / "cells.csv"
+    path.write_text("a,b,c\n1,2.5,x\noops, 3 ,y\n 4 ,,z\n99999999999999999999,1e2,\n")
+    schema = "a bigint, b double, c string"
+    got = sorted(io.read_csv(spark, str(path), schema=schema).collect(), key=str)
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 2.5, "x"), (None, 3.0, "y"), (4, None, "z"), (None, 100.0, None)], key=str)
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        io.read_csv(spark, str(path), schema=schema, strict=True).collect()
