@@ -178,7 +178,9 @@ def _forest(label: str, trees: int, depth: int, seed: int) -> Pipeline:
         RandomForestClassifier(
             labelCol=f"{label}_index", featuresCol=f"{label}_features", predictionCol=f"{label}_prediction",
             probabilityCol=f"{label}_probability", rawPredictionCol=f"{label}_raw", numTrees=trees,
-            maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=TRAINING_MB),
+            maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=TRAINING_MB,
+            # Rows keep their node in each tree: otherwise every level sends all trees and walks each row down from the roots again.
+            cacheNodeIds=True),
     ])
 
 

@@ -1,6 +1,6 @@
 """Model tests prepare their inputs once."""
 
-from blendscope import ml, plans
+from blendscope import ml, plans, recommend
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
@@ -33,3 +33,12 @@ def test_arm_without_spread_or_rows(spark):
 def test_training_frames_use_few_tasks_for_few_rows(spark):
     assert ml.training_frame(spark.range(100).toDF("x"), "t").rdd.getNumPartitions() == 1
     assert ml.training_frame(spark.range(12_000).toDF("x"), "t").rdd.getNumPartitions() == 3
+
+
+def test_forests_keep_the_nodes_of_rows(spark):
+    data = ml.training_frame(recommend.rules(recommend.features(recommend.synthetic_pairs(spark, 400))).select(
+        *recommend.FEATURES, F.col("recommendation").alias("action")), "t")
+    kept, walked = ml._forest("action", 5, 30, 42), ml._forest("action", 5, 30, 42)
+    assert kept.getStages()[-1].getCacheNodeIds()
+    walked.getStages()[-1].setCacheNodeIds(False)
+    assert kept.fit(data).stages[-1].toDebugString.split("\n", 1)[1] == walked.fit(data).stages[-1].toDebugString.split("\n", 1)[1]
