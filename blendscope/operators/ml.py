@@ -209,9 +209,15 @@ def load(path: str) -> dict:
         raise FileNotFoundError(f"no recommender models in {path}; train and save them first") from error
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores: two forests cost far more per row than a shuffle, and a small file is read by one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def predict(models: dict, pairs: DataFrame) -> DataFrame:
     """Add ``recommendation``, ``suggested_strategy`` and ``confidence_score`` from the two forests."""
-    out = features(pairs)
+    out = features(spread(pairs))
     for label, target in (("action", "recommendation"), ("plan", "suggested_strategy")):
         model = models[label]
         out = IndexToString(inputCol=f"{label}_prediction", outputCol=target,

@@ -42,3 +42,9 @@ def test_forests_keep_the_nodes_of_rows(spark):
     assert kept.getStages()[-1].getCacheNodeIds()
     walked.getStages()[-1].setCacheNodeIds(False)
     assert kept.fit(data).stages[-1].toDebugString.split("\n", 1)[1] == walked.fit(data).stages[-1].toDebugString.split("\n", 1)[1]
+
+
+def test_prediction_of_a_small_file_uses_all_cores(spark):
+    pairs = recommend.synthetic_pairs(spark, 200)
+    models = ml.train_recommender(pairs, trees=2, depth=3)
+    assert ml.predict(models, pairs.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
