@@ -2,8 +2,8 @@
 
 Two multinomials over ``BUCKETS`` hashed byte ``GRAM``-grams are counted: one over all trusted documents, one over
 all documents. A document's score is the mean over its n-grams of the log ratio of the two; it passes from a threshold
-on, the same for every document. The threshold is set where, of labelled documents (at most ``SAMPLE``, those with
-the smallest hashes of their ids), the fewest errors are made, a lost good document counting ``LOSS`` times a kept bad one.
+on, the same for every document. The threshold is set where, of all labelled documents that the base rules pass, the fewest
+errors are made, a lost good document counting ``LOSS`` times a kept bad one. Equal scores fall on one side.
 
 Defined cases: null or empty text has no words and fails the base rule; a null doc_id stays null; repeated rows give
 repeated rows and count each; without trusted documents, or labelled ones of both kinds, every score passes; an empty
@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from blendscope.session import local_table, materialize
+
 from .textvec import BASE, SPACES, Texts, chunks, mix
 
 GRAM = 4
@@ -26,8 +28,8 @@ PRIOR = 0.5  # added to every bucket of both counts
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent of the words
-SAMPLE = 20_000
-# Trusted ids (8 bytes each) of at most so many documents are broadcast; above, the texts are shuffled to them.
+# Trusted or labelled ids (8 bytes each) of at most so many documents are broadcast; above, the texts are shuffled to the trusted
+# ones, and all texts are scored and only scores are shuffled to the labels.
 BROADCAST_ROWS = 2_000_000
 LOSS = 20
 SYMBOLS = np.zeros(256, bool)
@@ -143,8 +145,37 @@ def cut(scores: np.ndarray, good: np.ndarray) -> float:
     lost = np.concatenate(([0], np.cumsum(good)))
     kept = (~good).sum() - np.concatenate(([0], np.cumsum(~good)))
     place = int(np.argmin(LOSS * lost + kept))
-    return -np.inf if place == 0 else float(
-        scores[-1] + 1e-9 if place == len(scores) else 0.75 * scores[place - 1] + 0.25 * scores[place])
+    return -np.inf if place == 0 else between(scores[place - 1], scores[place] if place < len(scores) else None)
+
+
+def between(worse: float, better: float | None) -> float:
+    return float(worse + 1e-9 if better is None else 0.75 * worse + 0.25 * better)
+
+
+def cut_rows(scored: DataFrame) -> float:
+    """``cut`` of all rows (score, quality), between different scores only.
+
+    Scores are counted, sorted by a range exchange and written once; each part tries its own places on top of what lies before it,
+    and one row per part meets the driver.
+    """
+    counted = scored.groupBy("score").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
+    stored = materialize(counted.orderBy("score").withColumn("place", F.monotonically_increasing_id()), "quality-scores")
+    stored = stored.withColumn("part", F.shiftright("place", 33)).drop("place")
+    parts = stored.groupBy("part").agg(F.sum("good"), F.sum("bad"), F.min("score")).orderBy("part").collect()
+    n_good, n_bad = sum(p[1] for p in parts), sum(p[2] for p in parts)
+    if not n_good or not n_bad:
+        return -np.inf
+    rows, good, bad = [], 0, 0
+    for i, (part, more_good, more_bad, _) in enumerate(parts):
+        rows.append((part, good, bad, parts[i + 1][3] if i + 1 < len(parts) else None))
+        good, bad = good + more_good, bad + more_bad
+    before = local_table(scored.sparkSession, rows, "part bigint, good_before bigint, bad_before bigint, next_part double")
+    inside = Window.partitionBy("part").orderBy("score")
+    cost = (LOSS * (F.col("good_before") + F.sum("good").over(inside)) + n_bad - F.col("bad_before") - F.sum("bad").over(inside))
+    tried = stored.join(F.broadcast(before), "part").select(F.struct(
+        cost.alias("cost"), "score", F.coalesce(F.lead("score").over(inside), "next_part").alias("better")).alias("x"))
+    best = tried.agg(F.min("x")).first()[0]
+    return -np.inf if n_bad <= best["cost"] else between(best["score"], best["better"])
 
 
 class Rules:
@@ -168,15 +199,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Rules:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                counts, scores = score_texts(part.column(0).to_pylist(), ratio)
+                counts, scores = score_texts(part.column(1).to_pylist(), ratio)
                 keep = ~base_failed(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(scores), part.column(1).cast(pa.int64())],
-                                                 names=["score", "quality"]).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], names=["doc_id", "score"]).filter(pa.array(keep))
 
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality")
-    scored = sample.mapInArrow(run, "score double, quality bigint").toArrow()
-    return Rules(ratio, cut(scored["score"].to_numpy(), scored["quality"].to_numpy() == 1))
+    few = marks.count() <= BROADCAST_ROWS
+    labelled = texts.join(F.broadcast(marks), "doc_id", "left_semi") if few else texts
+    scored = labelled.mapInArrow(run, "doc_id bigint, score double").join(F.broadcast(marks) if few else marks, "doc_id")
+    return Rules(ratio, cut_rows(scored))
 
 
 def base_failed(counts: list[np.ndarray]) -> np.ndarray:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from blendscope.llm import quality
 from blendscope.llm.textvec import Texts
+from pyspark.sql import functions as F
 
 
 def plain_counts(text):
@@ -94,3 +95,27 @@ def test_cut_weighs_lost_good_documents():
     scores, good = np.array([0.0, 1.0, 2.0, 3.0]), np.array([False, True, False, True])
     assert 0 < quality.cut(scores, good) < 1
     assert quality.cut(scores, np.ones(4, bool)) == -np.inf
+
+
+def test_cut_of_rows_is_that_of_arrays(frame):
+    rng = np.random.default_rng(4)
+    for n, shift in ((1, 0), (40, 2), (3000, 1), (3000, 0), (500, -4)):
+        good = rng.random(n) < 0.5
+        scores = rng.normal(size=n) + shift * good
+        rows = frame([(float(s), int(g)) for s, g in zip(scores, good)], "score double, quality bigint").repartition(7)
+        assert quality.cut_rows(rows) == quality.cut(scores, good)
+    tied = frame([(0.0, 0), (1.0, 1), (1.0, 0), (1.0, 0), (2.0, 1)], "score double, quality bigint")
+    assert quality.cut_rows(tied) == 0.25
+
+
+def test_threshold_takes_every_labelled_document(frame, monkeypatch):
+    docs, labels, _ = fixture(frame)
+    seen = []
+    monkeypatch.setattr(quality, "cut_rows", lambda scored: seen.append(scored.count()) or 0.0)
+    many = docs.crossJoin(docs.sparkSession.range(150).toDF("again")).withColumn("doc_id", docs.doc_id + 1000 * F.col("again"))
+    ids = labels.crossJoin(docs.sparkSession.range(300).toDF("again")).withColumn("doc_id", labels.doc_id + 1000 * F.col("again"))
+    more = many.unionByName(many.withColumn("doc_id", F.col("doc_id") + 150_000))
+    quality.fit(more, ids)
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
+    quality.fit(more, ids)
+    assert seen == [24_000, 24_000]
