@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import re
 from functools import reduce
+from operator import add
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -356,14 +359,69 @@ def score_arm(df: DataFrame, target: str, regressor=None, seed: int = 42, scale:
         return ready.transform(x).select("_features", col(target).alias("_label"), F.xxhash64(*[col(c) for c in names]).alias("_place"))
 
     model = (regressor or boosted_trees()).copy()
-    model = model.setFeaturesCol("_features").setLabelCol("_label").setPredictionCol("_guess").fit(training_frame(vectors(train), "arm-train"))
-    guessed = model.transform(vectors(test)).select("_label", "_guess")
+    model = model.setFeaturesCol("_features").setLabelCol("_label").setPredictionCol("_guess")
+    frame = training_frame(vectors(train), "arm-train")
+    cuts = candidate_cuts(frame, train, names, model) if sums_up(model) else None
+    cells = binned_cells(train, target, cuts) if cuts else None
+    if cells:
+        model, frame = model.setWeightCol("_n").setMaxBins(CELL_BINS), training_frame(ready.transform(cells), "arm-cells")
+        test = binned(test, cuts)
+    guessed = model.fit(frame).transform(vectors(test)).select("_label", "_guess")
     # One scan of the test rows gives both scores.
     seen = agg_row(guessed, {"mse": F.avg((F.col("_label") - F.col("_guess")) ** 2), "spread": F.regr_sxx("_label", "_label") / F.count("*")})
     r2 = 1.0 - seen["mse"] / seen["spread"] if seen["spread"] else float("nan")
     return r2, seen["mse"], sizes[True]
 
 
+CELL_BINS = 1024
+CELLS = CELL_BINS ** 2  # so many rows a tree reads whole for its cut points, with so many bins
+
+
+def sums_up(model) -> bool:
+    """Whether ``model`` sees of rows in equal bins only their number and the mean of their labels."""
+    return (isinstance(model, GBTRegressor) and model.getLossType() == "squared" and model.getSubsamplingRate() == 1.0
+            and model.getMinInstancesPerNode() == 1 and not model.isSet("weightCol") and not model.isSet("validationIndicatorCol"))
+
+
+def candidate_cuts(frame: DataFrame, train: DataFrame, names, model) -> dict | None:
+    """``{feature: thresholds}`` that ``model`` would try on ``frame``; None where they cannot be read off.
+
+    MLlib draws them from the rows, by seed. A tree that learns a feature from itself, with the same rows, bins and seed, splits at every
+    one of them. Only sums per bin leave the tasks, a few times per feature.
+    """
+    facts, _, seen = number_facts(train, names, {"*": F.count("*")})
+    cuts = {}
+    for i, c in enumerate(names):
+        n, low, high = facts[c]
+        if n < seen["*"] or not all(map(math.isfinite, (low, high))):
+            return None
+        # Values far from 0 for their spread would lose it in the squares.
+        near = low if 0 < low and high < 2 * low else high if high < 0 and low > 2 * high else 0.0
+        alone = VectorSlicer(inputCol="_features", outputCol="_one", indices=[i]).transform(frame).select(
+            "_one", (vector_to_array("_one")[0] - F.lit(float(near))).alias("_value"))
+        tree = DecisionTreeRegressor(featuresCol="_one", labelCol="_value", maxDepth=30, maxBins=model.getMaxBins(), seed=model.getSeed()).fit(alone)
+        if tree.depth == 30:
+            return None
+        cuts[c] = sorted({float(x) for x in re.findall(r"<= (\S+)\)", tree.toDebugString)})
+    return cuts
+
+
+def binned(df: DataFrame, cuts: dict) -> DataFrame:
+    """Each feature as the number of its bin, from 1; a value on a threshold belongs below it, as in trees."""
+    return df.withColumns({c: reduce(add, [(col(c) > F.lit(x)).cast("int") for x in edges], F.lit(1)).cast("double") for c, edges in cuts.items()})
+
+
+def binned_cells(train: DataFrame, target: str, cuts: dict) -> DataFrame | None:
+    """One row per combination of bins: mean ``_label`` and number ``_n`` of its rows; None where there are more than ``CELLS``.
+
+    Trees tell rows apart by bins only. With squared errors the rows of a cell then have one prediction and, up to a constant that falls
+    out of every gain, act as their mean with their number as weight.
+    """
+    cells = materialize(binned(train, cuts).groupBy(*[col(c) for c in cuts]).agg(
+        F.avg(col(target)).alias("_label"), F.count("*").cast("double").alias("_n")), "arm-bins")
+    return cells if cells.count() <= CELLS else None
+
+
 def boosted_trees(rounds: int = 100, step: float = 0.1, depth: int = 5, seed: int = 42) -> GBTRegressor:
     return GBTRegressor(maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed)
 

@@ -48,3 +48,40 @@ def test_prediction_of_a_small_file_uses_all_cores(spark):
     pairs = recommend.synthetic_pairs(spark, 200)
     models = ml.train_recommender(pairs, trees=2, depth=3)
     assert ml.predict(models, pairs.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def untidy(spark, n=3000):
+    """Features with few, many, tied, far and zero values, and a target that depends on them."""
+    i = F.col("id")
+    return spark.range(n).select(
+        (i * 7919 % 1009 - 300.0).alias("many"), (i % 3).cast("double").alias("few"), F.when(i % 4 > 0, 0.0).otherwise(i * 13 % 97).alias("zeros"),
+        (i * 31 % 211 * 1.0 + 1.7e12).alias("far"), (i * 7919 % 1009 * 3.0 + i % 3 * 500 + F.sin(i * 1.0) * 200).alias("y"))
+
+
+def test_rows_put_together_by_bins_give_the_same_trees(spark, monkeypatch):
+    fitted, plain = [], ml.training_frame
+    monkeypatch.setattr(ml, "training_frame", lambda df, label: fitted.append((label, df.count())) or plain(df, label))
+    data, trees = untidy(spark).select("many", "few", "y"), ml.boosted_trees(rounds=6, step=0.3)
+    together = ml.score_arm(data, "y", trees, scale=True)
+    assert fitted[-1][0] == "arm-cells" and fitted[-1][1] < together[2] / 20  # before, every row went through every round
+    monkeypatch.setattr(ml, "sums_up", lambda model: False)
+    by_row = ml.score_arm(data, "y", trees, scale=True)
+    assert fitted[-1][0] == "arm-train" and all(abs(x - y) <= 1e-9 * abs(y) for x, y in zip(together, by_row))
+
+
+def test_cells_with_ties_zeros_and_far_values(spark, monkeypatch):
+    trees = ml.boosted_trees(rounds=4, step=0.3)
+    together = ml.score_arm(untidy(spark), "y", trees)
+    monkeypatch.setattr(ml, "sums_up", lambda model: False)
+    assert all(abs(x - y) <= 1e-9 * abs(y) for x, y in zip(together, ml.score_arm(untidy(spark), "y", trees)))
+
+
+def test_arms_that_stay_with_rows(spark, monkeypatch):
+    assert not ml.sums_up(LinearRegression()) and not ml.sums_up(ml.boosted_trees().setSubsamplingRate(0.5))
+    assert not ml.sums_up(ml.boosted_trees().setMinInstancesPerNode(2)) and not ml.sums_up(ml.boosted_trees().setLossType("absolute"))
+    holes = untidy(spark, 300).withColumn("few", F.when(F.col("few") > 0, F.col("few")))
+    endless = untidy(spark, 300).withColumn("few", F.when(F.col("few") > 0, F.col("few")).otherwise(float("inf")))
+    trees = ml.boosted_trees(rounds=2)
+    assert ml.candidate_cuts(None, holes, ["few"], trees) is None and ml.candidate_cuts(None, endless, ["few"], trees) is None
+    monkeypatch.setattr(ml, "CELLS", 10)
+    assert ml.score_arm(untidy(spark, 300), "y", trees)[2] > 200
