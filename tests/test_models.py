@@ -85,3 +85,11 @@ def test_arms_that_stay_with_rows(spark, monkeypatch):
     assert ml.candidate_cuts(None, holes, ["few"], trees) is None and ml.candidate_cuts(None, endless, ["few"], trees) is None
     monkeypatch.setattr(ml, "CELLS", 10)
     assert ml.score_arm(untidy(spark, 300), "y", trees)[2] > 200
+
+
+def test_study_learns_from_cells(spark, monkeypatch):
+    fitted, plain = [], ml.training_frame
+    monkeypatch.setattr(ml, "training_frame", lambda df, label: fitted.append((label, df.count())) or plain(df, label))
+    found = plans.study_fusion(tables(spark, 2), {"t0": ["y"], "t1": ["y"]}, target="y", regressor=ml.boosted_trees(rounds=2))
+    rows = [n for label, n in fitted if label == "arm-cells"]
+    assert found["overall"].count() == 1 and len(rows) == 3 and max(rows) <= 17 * 6  # x and z of both tables
