@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from functools import reduce
-from operator import add
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import Bucketizer, IndexToString, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
@@ -84,10 +82,14 @@ def split_bucket(digest: Column, buckets: int = 10000) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
 
 
+def in_train(digest: Column, share: float) -> Column:
+    return split_bucket(digest) < int(round(share * 10000))
+
+
 def split(df: DataFrame, share: float = 0.8, seed: int = 42, key=None) -> tuple:
     """(train, test) by digest, the same in every run. Without ``key`` each copy of a row falls by itself."""
     rows = df if key else numbered_copies(df)
-    first = split_bucket(row_hash(key, seed) if key else copy_hash(df.columns, seed)) < int(round(share * 10000))
+    first = in_train(row_hash(key, seed) if key else copy_hash(df.columns, seed), share)
     return rows.where(first).drop("_copy"), rows.where(~first).drop("_copy")
 
 
@@ -344,15 +346,14 @@ def score_arm(df: DataFrame, target: str, regressor=None, seed: int = 42, scale:
     if not names:
         return None
     data = df.select(*[as_double(c).alias(c) for c in names], as_double(target).alias(target))
-    # Split and written in one go (both parts read the same numbered rows); everything below reads what was written.
-    parts = zip(split(data, 0.8, seed), (True, False))
-    both = materialize(reduce(DataFrame.unionByName, [x.withColumn("_train", F.lit(flag)) for x, flag in parts]), "arm")
+    # ``split``, as a mark: rows are numbered, hashed and written in one pass; everything below reads what was written.
+    both = materialize(numbered_copies(data).withColumn("_train", in_train(copy_hash(data.columns, seed), 0.8)).drop("_copy"), "arm")
     sizes = {r["_train"]: r["count"] for r in both.groupBy("_train").count().collect()}
     if sum(sizes.values()) <= MIN_ROWS or len(sizes) < 2:
         return None
-    train, test = both.where("_train").drop("_train"), both.where("not _train").drop("_train")
     if scale:
-        train, test = standard_scale(train, names), standard_scale(test, names, fit_on=train)
+        both = standard_scale(both, names, fit_on=both.where("_train"))
+    train, test = both.where("_train").drop("_train"), both.where("not _train").drop("_train")
     ready = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="keep")
 
     def vectors(x):
@@ -375,6 +376,7 @@ def score_arm(df: DataFrame, target: str, regressor=None, seed: int = 42, scale:
 
 CELL_BINS = 1024
 CELLS = CELL_BINS ** 2  # so many rows a tree reads whole for its cut points, with so many bins
+FEW_VALUES = 24  # by a sketch: so many values have a bin each
 
 
 def sums_up(model) -> bool:
@@ -387,9 +389,10 @@ def candidate_cuts(frame: DataFrame, train: DataFrame, names, model) -> dict | N
     """``{feature: thresholds}`` that ``model`` would try on ``frame``; None where they cannot be read off.
 
     MLlib draws them from the rows, by seed. A tree that learns a feature from itself, with the same rows, bins and seed, splits at every
-    one of them. Only sums per bin leave the tasks, a few times per feature.
+    one of them. Only sums per bin leave the tasks, a few times per feature. A feature with a bin for
+    each value is learned from its values, with their numbers as weights.
     """
-    facts, _, seen = number_facts(train, names, {"*": F.count("*")})
+    facts, _, seen = number_facts(train, names, {"*": F.count("*"), **{(c, "values"): F.approx_count_distinct(col(c)) for c in names}})
     cuts = {}
     for i, c in enumerate(names):
         n, low, high = facts[c]
@@ -397,9 +400,13 @@ def candidate_cuts(frame: DataFrame, train: DataFrame, names, model) -> dict | N
             return None
         # Values far from 0 for their spread would lose it in the squares.
         near = low if 0 < low and high < 2 * low else high if high < 0 and low > 2 * high else 0.0
-        alone = VectorSlicer(inputCol="_features", outputCol="_one", indices=[i]).transform(frame).select(
-            "_one", (vector_to_array("_one")[0] - F.lit(float(near))).alias("_value"))
-        tree = DecisionTreeRegressor(featuresCol="_one", labelCol="_value", maxDepth=30, maxBins=model.getMaxBins(), seed=model.getSeed()).fit(alone)
+        tree = DecisionTreeRegressor(featuresCol="_one", labelCol="_value", maxDepth=30, maxBins=model.getMaxBins(), seed=model.getSeed())
+        if seen[c, "values"] <= FEW_VALUES:
+            values = train.groupBy(col(c).alias("_x")).agg(F.count("*").cast("double").alias("_n"))
+            alone, tree = VectorAssembler(inputCols=["_x"], outputCol="_one").transform(values), tree.setWeightCol("_n")
+        else:
+            alone = VectorSlicer(inputCol="_features", outputCol="_one", indices=[i]).transform(frame)
+        tree = tree.fit(alone.withColumn("_value", vector_to_array("_one")[0] - F.lit(float(near))))
         if tree.depth == 30:
             return None
         cuts[c] = sorted({float(x) for x in re.findall(r"<= (\S+)\)", tree.toDebugString)})
@@ -408,7 +415,13 @@ def candidate_cuts(frame: DataFrame, train: DataFrame, names, model) -> dict | N
 
 def binned(df: DataFrame, cuts: dict) -> DataFrame:
     """Each feature as the number of its bin, from 1; a value on a threshold belongs below it, as in trees."""
-    return df.withColumns({c: reduce(add, [(col(c) > F.lit(x)).cast("int") for x in edges], F.lit(1)).cast("double") for c, edges in cuts.items()})
+    edges = {c: [-math.inf, *(math.nextafter(x, math.inf) for x in xs), math.inf] for c, xs in cuts.items() if xs}
+    if not edges:
+        return df.withColumns({c: F.lit(1.0) for c in cuts})
+    found = {c: f"_bin{i}" for i, c in enumerate(edges)}
+    # One binary search a value: a comparison per threshold made generated code too long to be compiled.
+    bins = Bucketizer(inputCols=[*edges], outputCols=[*found.values()], splitsArray=[*edges.values()]).transform(df)
+    return bins.withColumns({c: F.col(found[c]) + 1.0 if c in found else F.lit(1.0) for c in cuts}).drop(*found.values())
 
 
 def binned_cells(train: DataFrame, target: str, cuts: dict) -> DataFrame | None:

@@ -181,8 +181,10 @@ def study_fusion(tables: dict, order_by: dict, target: str = None, regressor=Non
 
     def pair(x, y):
         over = compat.feature_overlap(tables[x], tables[y]).first()
-        comp = compat.complementarity(tables[x], tables[y], order_by[x], order_by[y]).first()
-        lift = ml.lift_summary(ml.fusion_lift(ready[x], ready[y], target, regressor, ready=True)).first()
+        # The many short jobs of the models leave cores to the sorts and joins.
+        comp, lift = together(
+            spark, lambda: compat.complementarity(tables[x], tables[y], order_by[x], order_by[y]).first(),
+            lambda: ml.lift_summary(ml.fusion_lift(ready[x], ready[y], target, regressor, ready=True)).first())
         return (x, y, over["overlap_percentage"], over["type_match_percentage"], comp["complementarity_score"],
                 lift["r2_a"], lift["r2_b"], lift["r2_fused"], lift["improvement_vs_a"], lift["improvement_vs_b"])
 

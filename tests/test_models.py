@@ -1,5 +1,7 @@
 """Model tests prepare their inputs once."""
 
+import math
+
 from blendscope import ml, plans, recommend
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
@@ -93,3 +95,40 @@ def test_study_learns_from_cells(spark, monkeypatch):
     found = plans.study_fusion(tables(spark, 2), {"t0": ["y"], "t1": ["y"]}, target="y", regressor=ml.boosted_trees(rounds=2))
     rows = [n for label, n in fitted if label == "arm-cells"]
     assert found["overall"].count() == 1 and len(rows) == 3 and max(rows) <= 17 * 6  # x and z of both tables
+
+
+def test_an_arm_numbers_and_scales_its_rows_in_one_pass(spark, monkeypatch):
+    written, scaled, plain, scale = [], [], ml.materialize, ml.standard_scale
+    monkeypatch.setattr(ml, "materialize", lambda df, label: written.append((label, df._jdf.queryExecution().analyzed().toString())) or plain(df, label))
+    monkeypatch.setattr(ml, "standard_scale", lambda *a, **k: scaled.append(1) or scale(*a, **k))
+    data = untidy(spark).select("many", "few", "y")
+    found = ml.score_arm(data, "y", ml.boosted_trees(rounds=2), scale=True)
+    assert found[2] == ml.split(data, 0.8, 42)[0].count()
+    arm = dict(written)["arm"]
+    assert arm.count("Union") == 1 and scaled == [1]  # before, rows were numbered for each part, and each part was scaled by scans of its own
+
+
+def test_cuts_of_few_values_come_from_their_numbers(spark, monkeypatch):
+    fitted = []
+
+    class Tree(ml.DecisionTreeRegressor):
+        def fit(self, rows):
+            fitted.append(rows.count())
+            return super().fit(rows)
+
+    monkeypatch.setattr(ml, "DecisionTreeRegressor", Tree)
+    data, names = untidy(spark), ["many", "few"]
+    frame = ml.VectorAssembler(inputCols=names, outputCol="_features").transform(data)
+    by_value = ml.candidate_cuts(frame, data, names, ml.boosted_trees())
+    assert fitted == [3000, 3] and by_value["few"] == [0.5, 1.5]  # before, every row of each feature
+    monkeypatch.setattr(ml, "FEW_VALUES", 0)
+    assert ml.candidate_cuts(frame, data, names, ml.boosted_trees()) == by_value
+
+
+def test_bins_of_values_on_and_beside_thresholds(spark):
+    cuts = {"x": [-2.5, -5e-324, 0.0, 1.0, 1e300], "flat": []}
+    values = [y for x in cuts["x"] for y in (math.nextafter(x, -math.inf), x, math.nextafter(x, math.inf))] + [-0.0, -1e308, 1e308]
+    rows = ml.binned(spark.createDataFrame([(v, v, 7.0) for v in values], "v double, x double, flat double"), cuts)
+    assert rows.columns == ["v", "x", "flat"]
+    assert all(r.x == 1.0 + sum(r.v > c for c in cuts["x"]) and r.flat == 1.0 for r in rows.collect())
+    assert {r.flat for r in ml.binned(rows, {"flat": []}).collect()} == {1.0}
