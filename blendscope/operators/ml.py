@@ -86,8 +86,18 @@ def in_train(digest: Column, share: float) -> Column:
     return split_bucket(digest) < int(round(share * 10000))
 
 
+TRAIN_MARK = "_falls_to_train"
+
+
+def marked(df: DataFrame, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """``df`` with the side each copy of a row falls to, which ``split`` then goes by: written, it is worked out once."""
+    return numbered_copies(df).withColumn(TRAIN_MARK, in_train(copy_hash(df.columns, seed), share)).drop("_copy")
+
+
 def split(df: DataFrame, share: float = 0.8, seed: int = 42, key=None) -> tuple:
     """(train, test) by digest, the same in every run. Without ``key`` each copy of a row falls by itself."""
+    if TRAIN_MARK in df.columns:
+        return df.where(col(TRAIN_MARK)).drop(TRAIN_MARK), df.where(~col(TRAIN_MARK)).drop(TRAIN_MARK)
     rows = df if key else numbered_copies(df)
     first = in_train(row_hash(key, seed) if key else copy_hash(df.columns, seed), share)
     return rows.where(first).drop("_copy"), rows.where(~first).drop("_copy")
@@ -346,14 +356,14 @@ def score_arm(df: DataFrame, target: str, regressor=None, seed: int = 42, scale:
     if not names:
         return None
     data = df.select(*[as_double(c).alias(c) for c in names], as_double(target).alias(target))
-    # ``split``, as a mark: rows are numbered, hashed and written in one pass; everything below reads what was written.
-    both = materialize(numbered_copies(data).withColumn("_train", in_train(copy_hash(data.columns, seed), 0.8)).drop("_copy"), "arm")
-    sizes = {r["_train"]: r["count"] for r in both.groupBy("_train").count().collect()}
-    if sum(sizes.values()) <= MIN_ROWS or len(sizes) < 2:
+    # Rows are numbered, hashed and written in one pass; everything below reads what was written.
+    both = materialize(marked(data, 0.8, seed), "arm")
+    train, test = split(both, 0.8, seed)
+    learned, kept = train.count(), test.count()
+    if learned + kept <= MIN_ROWS or not (learned and kept):
         return None
     if scale:
-        both = standard_scale(both, names, fit_on=both.where("_train"))
-    train, test = both.where("_train").drop("_train"), both.where("not _train").drop("_train")
+        train, test = split(standard_scale(both, names, fit_on=train), 0.8, seed)
     ready = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="keep")
 
     def vectors(x):
@@ -371,7 +381,7 @@ def score_arm(df: DataFrame, target: str, regressor=None, seed: int = 42, scale:
     # One scan of the test rows gives both scores.
     seen = agg_row(guessed, {"mse": F.avg((F.col("_label") - F.col("_guess")) ** 2), "spread": F.regr_sxx("_label", "_label") / F.count("*")})
     r2 = 1.0 - seen["mse"] / seen["spread"] if seen["spread"] else float("nan")
-    return r2, seen["mse"], sizes[True]
+    return r2, seen["mse"], learned
 
 
 CELL_BINS = 1024
