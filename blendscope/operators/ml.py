@@ -11,12 +11,13 @@ from pyspark.ml.feature import Bucketizer, IndexToString, StringIndexer, VectorA
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, col, is_numeric, numeric_names, string_names
 from ..functions.values import ratio
 from ..session import agg_row, local_table, materialize, together
+from . import forest
 from .clean import drop_sparse_columns, impute, target_rows
 from .profile import deviation, number_facts
 from .recommend import FEATURES, features, rules, with_gain
@@ -177,12 +178,18 @@ def preprocess(df: DataFrame) -> DataFrame:
 # Rows of a training partition at least: every level of a forest shuffles the statistics of all its nodes once per partition.
 TRAINING_ROWS = 5_000
 TRAINING_MB = 1024  # statistics of a level that one pass may hold; levels beyond it take several passes
+# Pairs up to which MLlib grows the recommender's forests. Beyond, the shuffled statistics of their nodes outgrow the rows: see ``forest``.
+MLLIB_PAIRS = 50_000
 
 
 def training_frame(df: DataFrame, label: str) -> DataFrame:
     """``df``, written once, spread over all cores or as many as its rows justify: a small table would be read by one task."""
-    stored = materialize(df, label)
-    parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism, -(-stored.count() // TRAINING_ROWS)))
+    return dealt(materialize(df, label))
+
+
+def dealt(stored: DataFrame) -> DataFrame:
+    """A written table spread as ``training_frame`` says."""
+    parts = max(1, min(stored.sparkSession.sparkContext.defaultParallelism, -(-stored.count() // TRAINING_ROWS)))
     return stored.repartition(parts, *[col(c) for c in stored.columns if not isinstance(stored.schema[c].dataType, VectorUDT)])
 
 
@@ -206,7 +213,10 @@ def train_recommender(pairs: DataFrame, trees: int = 100, depth: int = 30, seed:
     """
     labelled = rules(features(pairs)).select(
         *FEATURES, F.col("recommendation").alias("action"), F.col("suggested_strategy").alias("plan"))
-    labelled = training_frame(labelled, "training-pairs")
+    stored = materialize(labelled, "training-pairs")
+    if stored.count() > MLLIB_PAIRS:
+        return forest.fit(stored, FEATURES, ("action", "plan"), trees, depth, seed)
+    labelled = dealt(stored)
     fitted = together(pairs.sparkSession, *[
         lambda label=label: _forest(label, trees, depth, seed).fit(labelled) for label in ("action", "plan")])
     return dict(zip(("action", "plan"), fitted))
@@ -214,12 +224,21 @@ def train_recommender(pairs: DataFrame, trees: int = 100, depth: int = 30, seed:
 
 def save(models: dict, path: str) -> None:
     for label, model in models.items():
-        model.write().overwrite().save(f"{path}/{label}")
+        if isinstance(model, forest.Forest):
+            model.save(f"{path}/{label}")
+        else:
+            model.write().overwrite().save(f"{path}/{label}")
 
 
 def load(path: str) -> dict:
+    def one(place):
+        try:
+            return PipelineModel.load(place)
+        except Exception:
+            return forest.Forest.load(SparkSession.active(), place)
+
     try:
-        return {label: PipelineModel.load(f"{path}/{label}") for label in ("action", "plan")}
+        return {label: one(f"{path}/{label}") for label in ("action", "plan")}
     except Exception as error:
         raise FileNotFoundError(f"no recommender models in {path}; train and save them first") from error
 
@@ -235,9 +254,13 @@ def predict(models: dict, pairs: DataFrame) -> DataFrame:
     out = features(spread(pairs))
     for label, target in (("action", "recommendation"), ("plan", "suggested_strategy")):
         model = models[label]
-        out = IndexToString(inputCol=f"{label}_prediction", outputCol=target,
-                            labels=model.stages[0].labels).transform(model.transform(out))
-    sure = F.array_max(vector_to_array("action_probability")) * 100.0
+        if isinstance(model, forest.Forest):
+            out = model.predict(out, target, f"{label}_probability")
+        else:
+            out = IndexToString(inputCol=f"{label}_prediction", outputCol=target,
+                                labels=model.stages[0].labels).transform(model.transform(out))
+            out = out.withColumn(f"{label}_probability", vector_to_array(f"{label}_probability"))
+    sure = F.array_max("action_probability") * 100.0
     made = [f"{label}_{x}" for label in ("action", "plan")
             for x in ("index", "features", "prediction", "probability", "raw")]
     return out.withColumn("confidence_score", F.round(sure, 1)).drop(*made)
@@ -245,8 +268,9 @@ def predict(models: dict, pairs: DataFrame) -> DataFrame:
 
 def recommend(models: dict, pairs: DataFrame) -> DataFrame:
     """Prediction, estimate and gain under the predicted strategy, and the driving features."""
-    importances = dict(zip(FEATURES, models["action"].stages[-1].featureImportances.toArray().tolist()))
-    return explain(with_gain(predict(models, pairs)), importances)
+    model = models["action"]
+    shares = (model if isinstance(model, forest.Forest) else model.stages[-1]).featureImportances.toArray().tolist()
+    return explain(with_gain(predict(models, pairs)), dict(zip(FEATURES, shares)))
 
 
 # Sentences of the model recommendation.

@@ -2,7 +2,10 @@
 
 import math
 
+import numpy as np
+import pytest
 from blendscope import ml, plans, recommend
+from blendscope.operators import forest
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
@@ -132,3 +135,102 @@ def test_bins_of_values_on_and_beside_thresholds(spark):
     assert rows.columns == ["v", "x", "flat"]
     assert all(r.x == 1.0 + sum(r.v > c for c in cuts["x"]) and r.flat == 1.0 for r in rows.collect())
     assert {r.flat for r in ml.binned(rows, {"flat": []}).collect()} == {1.0}
+
+
+def numbers(spark, models, pairs):
+    """Shares of the predicted labels that the rules give as well."""
+    wanted = recommend.rules(pairs).select("id", F.col("recommendation").alias("a"), F.col("suggested_strategy").alias("p"))
+    got = ml.predict(models, pairs).select("id", "recommendation", "suggested_strategy", "confidence_score")
+    return got.join(wanted, "id").agg(
+        F.avg((F.col("a") == F.col("recommendation")).cast("int")), F.avg((F.col("p") == F.col("suggested_strategy")).cast("int")),
+        F.count("*"), F.min("confidence_score"), F.max("confidence_score")).first()
+
+
+def test_many_pairs_grow_one_tree_a_task(spark, monkeypatch, tmp_path):
+    pairs, fresh = recommend.synthetic_pairs(spark, 3000, seed=1), recommend.synthetic_pairs(spark, 1000, seed=99)
+    small = ml.train_recommender(pairs, trees=12, depth=30)
+    assert not isinstance(small["action"], ml.forest.Forest)
+    monkeypatch.setattr(ml, "MLLIB_PAIRS", 1000)
+    monkeypatch.setattr(ml, "_forest", None)  # before, MLlib grew forests of any number of pairs, level by level through a shuffle
+    models = ml.train_recommender(pairs, trees=12, depth=30)
+    assert [models[c].trees.count() for c in ("action", "plan")] == [12, 12] and sum(models["action"].featureImportances) > 0.999
+    assert models["plan"].labels == sorted(models["plan"].labels) == small["plan"].stages[0].labels
+    got, as_before = numbers(spark, models, fresh), numbers(spark, small, fresh)
+    assert got[2] == 1000 and 0 <= got[3] <= got[4] <= 100
+    assert all(a > b - 0.02 for a, b in zip(got[:2], as_before[:2])) and got[0] > 0.9 and got[1] > 0.9
+    ml.save(models, str(tmp_path / "kept"))
+    again = ml.load(str(tmp_path / "kept"))
+    assert ml.recommend(again, fresh).orderBy("id").collect() == ml.recommend(models, fresh).orderBy("id").collect()
+    ml.save(small, str(tmp_path / "kept"))
+    assert ml.load(str(tmp_path / "kept"))["action"].stages
+
+
+def plain_best(x, y, w, rows, feats, classes):
+    """The best Gini split of a node, cut by cut."""
+    def score(some):
+        n = [w[some][y[some] == c].sum() for c in range(classes)]
+        return sum(v * v for v in map(int, n)) / sum(map(int, n)) if len(some) else 0.0
+
+    found = [(score(rows[x[f, rows] <= c]) + score(rows[x[f, rows] > c]), f, c) for f in feats for c in range(31)
+             if 0 < (x[f, rows] <= c).sum() < len(rows)]
+    return max(found, default=(-1.0,))[0]
+
+
+def rows_of_bins(n, width=7, classes=3):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 32, (width, n)).astype(np.uint8)
+    x[2] = 4  # one bin only
+    y = ((x[0] > 12).astype(int) + (x[1] + x[3] > 40)).astype(np.uint8)
+    return x, np.where(rng.random(n) < 0.1, rng.integers(0, classes, n), y).astype(np.uint8), rng.integers(1, 5, n).astype(np.uint8)
+
+
+def test_splits_are_the_best_ones(monkeypatch):
+    x, y, w = rows_of_bins(900)
+    sizes = np.array([600, 3, 200, 20, 1, 76])
+    rows = np.random.default_rng(6).permutation(900).astype(np.int32)
+    mine = np.split(rows, np.cumsum(sizes)[:-1])
+    totals = np.stack([np.bincount(y[r], w[r], 3) for r in mine]).astype(np.int64)
+    feats = np.array([[0, 2, 5], [1, 3, 6], [2, 3, 4], [6, 5, 4], [0, 1, 2], [2, 0, 1]])
+    for step, few in ((1 << 16, 48), (64, 48), (64, 0), (1 << 16, 10_000)):
+        monkeypatch.setattr(forest, "STEP_ROWS", step)
+        monkeypatch.setattr(forest, "FEW_ROWS", few)
+        score, feature, cut, left = forest.best_splits(x.reshape(-1), y, w, rows, sizes, feats, totals)
+        for k, r in enumerate(mine):
+            assert abs(score[k] - plain_best(x, y, w, r, feats[k], 3)) < 1e-9
+            if score[k] >= 0:
+                down = r[x[feature[k], r] <= cut[k]]
+                assert feature[k] in feats[k] and list(left[k]) == list(np.bincount(y[down], w[down], 3))
+
+
+def test_a_tree_from_blocks_counts_every_row_of_its_bag():
+    x, y, _ = rows_of_bins(5000)
+
+    def blocks():
+        for i in range(0, 5000, 700):
+            yield i, x.T[i:i + 700], y[i:i + 700]
+
+    for held in (100_000, 600, 50):  # gathered at once; large nodes counted block by block, others gathered in groups
+        made = forest.one_tree(blocks, 7, 3, 30, 42, 3, 0, held)
+        nodes = [np.frombuffer(made[c], t) for c, t in (("feature", np.uint8), ("cut", np.uint8), ("left", np.int32))]
+        counts = np.frombuffer(made["counts"], np.int64).reshape(-1, 3)
+        want = np.zeros_like(counts)
+        for i, rows, labels in blocks():
+            at = -1 - nodes[2][forest.walk(*nodes, rows)]
+            np.add.at(want, (at, labels), forest.bag(42, 3, i, len(labels)))
+        assert (want == counts).all() and len(counts) > 200
+        # Fully grown: a leaf has rows of several classes only where no drawn feature divided them.
+        assert (counts.max(1) == counts.sum(1)).mean() > 0.6
+    flat = forest.one_tree(blocks, 7, 3, 2, 42, 3, 0, 600)
+    assert len(flat["left"]) // 4 <= 7
+    assert len(forest.one_tree(lambda: iter([(0, x.T[:9], y[:9] * 0)]), 7, 3, 30, 42, 0, 0, 600)["left"]) == 4  # one class, one leaf
+
+
+def test_cuts_of_few_tied_and_missing_values(spark):
+    i = F.col("id")
+    rows = spark.range(2000).select((i % 3).cast("double").alias("few"), (i * 1.0).alias("many"), F.lit(5.0).alias("flat"),
+                                    F.when(i % 10 > 0, 0.0).otherwise(i * 1.0).alias("tied"))
+    cuts = forest.find_cuts(rows, rows.columns)
+    assert cuts["few"] == [0.5, 1.5] and cuts["flat"] == [] and len(cuts["many"]) == 31 and 1 < len(cuts["tied"]) < 31
+    for bad in (None, float("nan")):
+        with pytest.raises(ValueError, match="few"):
+            forest.find_cuts(rows.withColumn("few", F.when(F.col("many") > 0, F.col("few")).otherwise(F.lit(bad).cast("double"))), rows.columns)
