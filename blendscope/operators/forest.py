@@ -254,10 +254,12 @@ def best_splits(flat, y, w, rows, sizes, feats, totals) -> tuple:
                 pieces = [(node, rows[np.arange(len(node)) + np.repeat(starts[some] - np.cumsum(n) + n, n)])]
             cells = np.zeros((feats.shape[1], c * len(some) * BINS))
             for node, mine in pieces:
-                yy, ww = y[mine].astype(np.int64), w[mine].astype(np.int64)
-                key = (yy * len(some) + node) * BINS
+                yy, ww = y[mine].astype(np.int64), w[mine].astype(np.int64 if few else np.float64)
+                key, lines = (yy * len(some) + node) * BINS, feats[some] * len(y)
                 for s in range(feats.shape[1]):
-                    b = flat[(feats[some, s] * len(y))[node] + mine]
+                    # A single node's rows are looked up in one line.
+                    place = mine + lines[0, s] if len(some) == 1 else lines[:, s].take(node) + mine
+                    b = flat.take(place)
                     if few:
                         take(by_sorting(b.astype(np.int64), yy, ww, node, totals[some]), some, feats[:, s], score, feature, cut, left)
                     else:

@@ -234,3 +234,33 @@ def test_cuts_of_few_tied_and_missing_values(spark):
     for bad in (None, float("nan")):
         with pytest.raises(ValueError, match="few"):
             forest.find_cuts(rows.withColumn("few", F.when(F.col("many") > 0, F.col("few")).otherwise(F.lit(bad).cast("double"))), rows.columns)
+
+
+def test_predictions_of_a_forest_are_means_over_its_trees(spark, monkeypatch):
+    monkeypatch.setattr(ml, "MLLIB_PAIRS", 100)
+    pairs = recommend.synthetic_pairs(spark, 500)
+    models = ml.train_recommender(pairs, trees=7, depth=4)
+    model = models["action"]
+    trees = [r.asDict() for r in model.trees.collect()]
+
+    def voted(values):
+        bins, votes = [sum(x > c for c in cuts) for x, cuts in zip(values, model.cuts)], [0.0] * len(model.labels)
+        for t in trees:
+            feature, cut, left, counts = (np.frombuffer(t[c], k) for c, k in (("feature", "u1"), ("cut", "u1"), ("left", "i4"), ("counts", "i8")))
+            node = 0
+            while left[node] >= 0:
+                node = left[node] + (bins[feature[node]] > cut[node])
+            leaf = counts.reshape(-1, len(votes))[-1 - left[node]]
+            votes = [v + n / leaf.sum() for v, n in zip(votes, leaf)]
+        return [v / len(trees) for v in votes]
+
+    wanted = {r["id"]: voted([r[c] for c in recommend.FEATURES]) for r in recommend.features(pairs).collect()}
+    for at_once, walked in ((100_000, 1 << 14), (64, 16)):
+        monkeypatch.setattr(forest, "PREDICTED_AT_ONCE", at_once)
+        monkeypatch.setattr(forest, "WALKED_AT_ONCE", walked)
+        rows = ml.recommend(models, pairs).collect()
+        assert len(rows) == 500 and {len(r.top_features) for r in rows} == {3}
+        for r in rows:
+            want = wanted[r["id"]]
+            # Before, forests of this many pairs were MLlib's, walked row by row.
+            assert r.recommendation == model.labels[want.index(max(want))] and abs(r.confidence_score - 100 * max(want)) < 0.051
