@@ -62,7 +62,10 @@ def bin_rows(columns, cuts) -> np.ndarray:
     """One byte a feature: the number of thresholds below the value."""
     out = np.empty((len(columns[0]), len(cuts)), np.uint8)
     for i, (values, edges) in enumerate(zip(columns, cuts)):
-        out[:, i] = np.searchsorted(np.asarray(edges, float), values.to_numpy(zero_copy_only=False), side="left")
+        numbers = values.to_numpy(zero_copy_only=False).astype(float)
+        if np.isnan(numbers).any():  # as MLlib's assembler does
+            raise ValueError("NULL or NaN among the features")
+        out[:, i] = np.searchsorted(np.asarray(edges, float), numbers, side="left")
     return out
 
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from blendscope import ml, plans, recommend
 from blendscope.operators import forest
@@ -255,12 +256,23 @@ def test_predictions_of_a_forest_are_means_over_its_trees(spark, monkeypatch):
         return [v / len(trees) for v in votes]
 
     wanted = {r["id"]: voted([r[c] for c in recommend.FEATURES]) for r in recommend.features(pairs).collect()}
-    for at_once, walked in ((100_000, 1 << 14), (64, 16)):
-        monkeypatch.setattr(forest, "PREDICTED_AT_ONCE", at_once)
-        monkeypatch.setattr(forest, "WALKED_AT_ONCE", walked)
-        rows = ml.recommend(models, pairs).collect()
-        assert len(rows) == 500 and {len(r.top_features) for r in rows} == {3}
-        for r in rows:
-            want = wanted[r["id"]]
-            # Before, forests of this many pairs were MLlib's, walked row by row.
-            assert r.recommendation == model.labels[want.index(max(want))] and abs(r.confidence_score - 100 * max(want)) < 0.051
+    rows = ml.recommend(models, pairs).collect()
+    assert len(rows) == 500 and {len(r.top_features) for r in rows} == {3}
+    for r in rows:
+        want = wanted[r["id"]]
+        # Before, forests of this many pairs were MLlib's, walked row by row.
+        assert r.recommendation == model.labels[want.index(max(want))] and abs(r.confidence_score - 100 * max(want)) < 0.051
+
+
+def test_batches_are_gathered_before_trees_are_read(monkeypatch):
+    monkeypatch.setattr(forest, "PREDICTED_AT_ONCE", 64)
+    batches = [pa.StructArray.from_arrays([pa.array(np.arange(n) * 1.0), pa.array(np.arange(n) % 2 * 1.0)], ["a", "b"]) for n in (40, 0, 30, 5)]
+    got = list(forest.gathered(batches, [[9.0, 10.0], []]))
+    assert [sizes for _, sizes in got] == [[40, 0, 30], [5]] and [len(x) for x, _ in got] == [70, 5]
+    assert got[0][0][:12, 0].tolist() == [0] * 10 + [1, 2] and got[0][0][:, 1].max() == 0
+    with pytest.raises(ValueError, match="NaN"):
+        list(forest.gathered([pa.StructArray.from_arrays([pa.array([1.0, float("nan")])], ["a"])], [[0.5]]))
+    monkeypatch.setattr(forest, "WALKED_AT_ONCE", 3)
+    nodes = np.array([0, 1, 0, 0, 0], np.uint8), np.array([4, 1, 0, 0, 0], np.uint8), np.array([1, 3, -1, -2, -3], np.int32)
+    x = np.array([[4, 1], [5, 0], [0, 2], [9, 9], [4, 2]], np.uint8)
+    assert forest.walk(*nodes, x).tolist() == [3, 2, 4, 2, 4]
